@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, toxicity
+from tickloom.llm import mixing, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,3 +69,12 @@ SELECT d.doc_id, d.size, r2.source_size, r2.target,
        least(whole + CASE WHEN u <= coalesce(cut1, -1) OR (d.size <= gap AND u <= coalesce(cut2, -1)) THEN 1 ELSE 0 END, 3) * d.size AS taken
 FROM d JOIN r2 ON d.source IS NOT DISTINCT FROM r2.source
 """
+
+
+@query
+def op9_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and the terms that reveal it."""
+    found = pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["rank"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
