@@ -6,12 +6,15 @@ for the same rows where SQL can express them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, ngram_join, pii, toxicity
+from tickloom.llm import bpe, mixing, ngram_join, pii, toxicity
+from tickloom.llm.common import sliced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,6 +44,33 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def digest_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id and digests of the ids of each text and of what they decode to."""
+    data = docs.sparkSession.sparkContext.broadcast(bpe.read_ranks(docs.sparkSession, path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = bpe.codec(data.value, pattern)
+        digits = [b"%d" % i for i in range(max(codec.ranks.values()) + 1)]
+        for batch in sliced(batches, "text", 4 << 20):
+            ids, decoded = codec.round_trip(batch.column("text").to_pylist())
+            shown = [sha256(b" ".join([digits[i] for i in x.tolist()])).hexdigest() for x in ids]
+            yield pa.record_batch(
+                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(shown), pa.array([sha256(x).hexdigest() for x in decoded])],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+@query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every document by the public vocabulary and decode the ids."""
+    import public_tokenizers
+
+    return digest_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents: sources weigh 1, 2, 3 in turn and give at most 3 times their size."""
