@@ -160,9 +160,9 @@ def disclosures(held: DataFrame, docs: DataFrame, disclosure: float, support: in
     term = term.join(frequent, "t", "left_semi")
     pairs = entity.join(term, "text_key").groupBy("e", "t").agg(F.count("*").alias("texts"), F.sum("m").alias("df_et"), F.first("df_e").alias("df_e"))
     pairs = materialize(pairs.filter(F.col("texts") >= support).drop("texts"), "pii-pairs")
-    wanted = pairs.select("t").distinct()
     df_t = docs.select(F.explode(_terms(F.coalesce(F.col("text_"), F.lit("")))).alias("t"))
-    df_t = df_t.groupBy("t").agg(F.count("*").alias("df_t")).join(wanted, "t", "left_semi")
+    # An inner join below, as a semi join would be pushed under the counts and shuffle every word.
+    df_t = df_t.groupBy("t").agg(F.count("*").alias("df_t"))
     n = F.lit(float(docs.count()))
     pmi = F.log(n * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
     ic = F.log(n / F.col("df_e"))
