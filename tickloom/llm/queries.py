@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, html_text, mixing, ngram_join, pii, secrets, toxicity
+from tickloom.llm import bpe, html_text, knn, mixing, ngram_join, pii, secrets, toxicity
 from tickloom.llm.common import sliced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,23 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+@query
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5 best inner products of every vector whose id is divisible by 50, against all rows."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return knn.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256.0)
+
+
+ORACLE_SQL["op3_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
 def digest_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and digests of the ids of each text and of what they decode to."""
     data = docs.sparkSession.sparkContext.broadcast(bpe.read_ranks(docs.sparkSession, path))
