@@ -137,7 +137,7 @@ def scan(docs: DataFrame) -> DataFrame:
             spans = [[{"start": a, "kind": KINDS[k], "end": b} for a, k, b in f(t)] for t in batch.column("text").to_pylist()]
             yield batch.append_column("spans", pa.array(spans, kind))
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields).add("spans", SPANS))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("spans", SPANS))
 
 
 def listed(spans: Column) -> Column:
