@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, html_text, knn, mixing, ngram_join, pii, secrets, toxicity
+from tickloom.llm import bpe, dedup, html_text, knn, mixing, ngram_join, pii, secrets, toxicity, warc
 from tickloom.llm.common import sliced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,12 @@ FROM s QUALIFY rank <= 5
 """
 
 
+@query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors at cosine 0.95, and their components."""
+    return dedup.dedup(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def digest_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and digests of the ids of each text and of what they decode to."""
     data = docs.sparkSession.sparkContext.broadcast(bpe.read_ranks(docs.sparkSession, path))
@@ -147,3 +153,59 @@ def op9_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda x: x["rank"] == k)).cast("long")
     counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """A crawl log of the pages: each page is a full response, visited again later and found not modified.
+
+    The second visit has the page's own validator, or none when the page's etag ends in
+    0 to 3; so it agrees with the latest earlier response of the URL only if no other
+    page was fetched there in between.
+    """
+    etag = F.substring(F.md5("html"), 1, 8)
+    day = lambda n: F.concat(F.lit("day "), n.cast("string"))
+    full = pages.select(
+        (2 * F.col("page_id")).alias("record_id"),
+        "url",
+        (2 * F.col("page_id")).alias("ts"),
+        F.lit(200).alias("status"),
+        F.create_map(F.lit("ETag"), etag, F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), day(2 * F.col("page_id"))).alias("headers"),
+        F.col("page_id").alias("payload_id"),
+    )
+    later = 2 * F.col("page_id") + 1 + 2 * F.pmod(F.col("page_id") * 37, F.lit(500))
+    asked = F.when(F.substring(F.md5("html"), 8, 1) < "4", F.create_map(F.lit("date"), day(later), F.lit("Server"), F.lit("x")))
+    asked = asked.otherwise(F.create_map(F.lit("date"), day(later), F.lit("etag"), F.concat(F.lit("W/"), etag)))
+    again = pages.select(
+        (2 * F.col("page_id") + 1).alias("record_id"), "url", later.alias("ts"), F.lit(304).alias("status"), asked.alias("headers"), F.lit(None).cast("long").alias("payload_id")
+    )
+    return full.unionByName(again)
+
+
+@query
+def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of the crawl log with the response that it stands for."""
+    found = warc.resolve(captures(table(spark, sf_dir, "pages")))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+    return found.select("record_id", "canonical", "refers_to", "verdict", "payload_id", shown.alias("headers"))
+
+
+ORACLE_SQL["op10_revisits"] = r"""
+WITH u AS (SELECT page_id, substr(md5(html), 1, 8) AS etag, substr(md5(html), 8, 1) AS last,
+    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages),
+p AS (SELECT page_id, etag, last,
+    regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), ':(?:80|443)$', ''), '^www\.', '')
+    || regexp_replace(regexp_extract(regexp_extract(u, '^[^/?]*(.*)$', 1), '^[^?]*'), '/+$', '') AS place,
+    list_sort(list_filter(string_split(regexp_extract(regexp_extract(u, '^[^/?]*(.*)$', 1), '\?(.*)$', 1), '&'),
+      lambda q: q <> '' AND NOT regexp_matches(regexp_extract(q, '^[^=]*'), '^(?:utm_[a-z]+|ref|gclid|fbclid)$'))) AS query FROM u),
+c AS (SELECT *, place || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS canonical FROM p),
+r AS (SELECT 2 * page_id + 1 AS record_id, canonical, 2 * page_id + 1 + 2 * (page_id * 37 % 500) AS ts, etag, last < '4' AS bare FROM c),
+f AS (SELECT page_id, 2 * page_id AS ts, canonical, etag FROM c),
+j AS (SELECT r.*, f.page_id, f.etag AS f_etag, CASE WHEN f.page_id IS NULL THEN 'orphan' WHEN bare THEN 'unverified' WHEN f.etag = r.etag THEN 'resolved' ELSE 'mismatch' END AS verdict
+  FROM r ASOF LEFT JOIN f ON r.canonical = f.canonical AND r.ts > f.ts)
+SELECT record_id, canonical, CASE WHEN verdict IN ('resolved', 'unverified') THEN 2 * page_id END AS refers_to, verdict,
+  CASE WHEN verdict IN ('resolved', 'unverified') THEN page_id END AS payload_id,
+  CASE WHEN verdict = 'resolved' THEN 'content-type=text/html;date=day ' || ts || ';etag=W/' || etag
+       WHEN verdict = 'unverified' THEN 'content-type=text/html;date=day ' || ts || ';etag=' || f_etag
+       WHEN bare THEN 'date=day ' || ts || ';server=x' ELSE 'date=day ' || ts || ';etag=W/' || etag END AS headers
+FROM j
+"""
