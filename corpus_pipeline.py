@@ -1,19 +1,74 @@
-"""From raw documents to token ids in five stages."""
+"""From raw documents to token ids: five stages over the operators of tickloom.llm.
+
+Every stage reads what its predecessor wrote. Toxic documents go, one document of each
+group of near copies stays, personal data is generalised, sources are mixed to their
+target weights (a document taken n times is n rows), and the texts are encoded.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.llm import bpe, mixing, ngram_join, pii, toxicity
+from tickloom.llm.common import materialize
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the threshold of toxicity."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.train(docs, labels))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of 5-word shingles at 80 %: the one with the smallest doc_id.
+
+    Documents without words stay. Of repeated rows with that doc_id one stays, the
+    smallest text of those that have words.
+    """
+    found = ngram_join.join(docs, words=5, percent=80)
+    leaders = found.filter("doc_id = component_id or doc_id is null or n_shingles = 0").select(F.col("doc_id").alias("kept")).distinct()
+    kept = docs.join(leaders, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with personal data and the terms that reveal it generalised; n_chars follows."""
+    names = docs.columns
+    out = pii.sanitise(docs).withColumn("text", F.col("redacted"))
+    changed = F.size("spans") > 0
+    return out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(names)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    names = docs.columns
+    return mixing.mix(docs).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(names)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source and the token ids of each document."""
+    return bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxic),
+    ("ngram_join", near_copies),
+    ("sanitise", personal_data),
+    ("mix", mixed),
+    ("bpe", tokens),
+]
+#: A fitted model, components and pre-tokens are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each one's result written and read again."""
-    from tickloom.llm.common import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
