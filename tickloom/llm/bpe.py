@@ -31,31 +31,33 @@ from tickloom.llm.common import sliced
 
 #: Bytes of a pre-token from which a heap does the merges.
 LONG = 192
-#: Words that a worker remembers.
-CACHE = 500_000
+#: Words in a generation of what a worker remembers.
+CACHE = 450_000
 #: Words in one recursive query.
-BLOCK = 20_000
+BLOCK = 50_000
 
+#: A place is word * 256 + position; positions stay without gaps, so a row's successor is the next place.
 MERGE = """
-WITH RECURSIVE step(word, pos, tok, open) AS (
-    SELECT word, pos, tok, true FROM start_rows
+WITH RECURSIVE step(id, tok, open) AS (
+    SELECT word::BIGINT * 256 + pos, tok, true FROM start_rows
   UNION ALL (
-    WITH pairs AS (
-      SELECT word, pos, tok, lead(tok) OVER own AS next_tok, lead(pos) OVER own AS next_pos
-      FROM step WHERE open WINDOW own AS (PARTITION BY word ORDER BY pos)),
-    ranked AS (
-      SELECT p.word, p.pos, p.tok, p.next_pos, m.merged::BIGINT * 4294967296 + p.pos AS place
-      FROM pairs p LEFT JOIN merges m ON m.a = p.tok AND m.b = p.next_tok),
-    first_pair AS (SELECT word, min(place) AS best, arg_min(next_pos, place) AS gone FROM ranked GROUP BY word)
-    SELECT word, pos, CASE WHEN pos = (best & 4294967295) THEN (best >> 32)::INTEGER ELSE tok END, best IS NOT NULL
-    FROM ranked JOIN first_pair USING (word) WHERE gone IS NULL OR pos <> gone))
-SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE NOT open GROUP BY word
+    WITH ranked AS (
+      SELECT s.id, s.tok, m.merged::BIGINT * 256 + (s.id & 255) AS place
+      FROM step s
+      LEFT JOIN (SELECT id - 1 AS id, tok FROM step WHERE open) n ON n.id = s.id
+      LEFT JOIN merges m ON m.pair = s.tok::BIGINT * 4294967296 + n.tok
+      WHERE s.open),
+    first_pair AS (SELECT id >> 8 AS word, min(place) AS best FROM ranked GROUP BY id >> 8)
+    SELECT CASE WHEN (id & 255) > (best & 255) THEN id - 1 ELSE id END,
+           CASE WHEN (id & 255) = (best & 255) THEN (best >> 8)::INTEGER ELSE tok END,
+           best IS NOT NULL
+    FROM ranked JOIN first_pair ON word = id >> 8
+    WHERE best IS NULL OR (id & 255) <> (best & 255) + 1))
+SELECT id, tok FROM step WHERE NOT open ORDER BY id
 """
 
 DECODE = """
-SELECT r.text, string_agg(v.bytes, '' ORDER BY r.pos) AS bytes
-FROM (SELECT text, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM id_lists) r JOIN vocabulary v ON v.id = r.id
-GROUP BY r.text
+SELECT r.text, string_agg(v.bytes, '' ORDER BY r.pos) AS bytes FROM id_rows r JOIN vocabulary v ON v.id = r.id GROUP BY r.text
 """
 
 
@@ -64,6 +66,23 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
+class Memory:
+    """A cache of two generations: what the older one holds and nobody asked for is forgotten."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def lacking(self, keys: set) -> set:
+        """The keys that neither holds; all others are in young afterwards."""
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        missing = keys - self.young.keys()
+        known = missing & self.old.keys()
+        self.young.update({k: self.old[k] for k in known})
+        return missing - known
+
+
 class Codec:
     """Encoder and decoder over one rank file and pattern."""
 
@@ -73,15 +92,14 @@ class Codec:
 
         self.ranks = parse_ranks(data)
         self.pattern = regex.compile(pattern)
-        self.words: dict[str, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
+        self.words, self.decoded = Memory(), Memory()
         self.tokens = {t: np.array([r], np.int32).tobytes() for t, r in self.ranks.items()}
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": "1", "memory_limit": "400MB", "temp_directory": ""})
         names = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]})
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         a, b, m = zip(*pairs, strict=True) if pairs else ((), (), ())
-        rows = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "merged": pa.array(m, pa.int32())})
+        rows = pa.table({"pair": np.array(a, np.int64) * (1 << 32) + np.array(b, np.int64), "merged": pa.array(m, pa.int32())})
         self.pairs = {(x, y): z for x, y, z in pairs}
         for name, rel in (("vocabulary", names), ("merges", rows)):
             self.db.register("given", rel)
@@ -102,8 +120,11 @@ class Codec:
                 "tok": self.bytes[np.frombuffer(b"".join(words[k] for k in block), np.uint8)],
             }
             got = self._run(MERGE, "start_rows", pa.table(rows))
-            for k, ids in zip(got.column("word").to_pylist(), packed(got.column("ids")), strict=True):
-                out[block[k]] = ids
+            word = got.column("id").to_numpy() >> 8
+            raw = got.column("tok").to_numpy().astype(np.int32).tobytes()
+            cuts = (np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1, [len(word)]]) * 4).tolist()
+            for k, lo_, hi_ in zip(block, cuts[:-1], cuts[1:], strict=True):
+                out[k] = raw[lo_:hi_]
         for k, w in enumerate(words):
             if len(w) > LONG:
                 out[k] = np.array(self._heap(self.bytes[np.frombuffer(w, np.uint8)].tolist()), np.int32).tobytes()
@@ -140,28 +161,31 @@ class Codec:
         cut = {p: self.pattern.findall(p) for p in pieces}
         known: dict[str, bytes] = {}
         todo: dict[str, bytes] = {}
+        young, old = self.words.young, self.words.old
         for tokens in cut.values():
             for t in tokens:
                 if t not in known and t not in todo:
-                    raw = t.encode("utf-8", "replace")
-                    own = self.tokens.get(raw)
+                    own = young.get(t) or old.get(t)
                     if own is None:
-                        todo[t] = raw
-                    else:
-                        known[t] = own
-        known.update(zip(todo, self._merge(list(todo.values())), strict=True))
+                        raw = t.encode("utf-8", "replace")
+                        own = self.tokens.get(raw)
+                        if own is None:
+                            todo[t] = raw
+                            continue
+                    known[t] = own
+        merged = dict(zip(todo, self._merge(list(todo.values())), strict=True))
+        known |= merged
+        young |= merged  # a word with another mark behind it is then known
         for p, tokens in cut.items():
-            self.words[p] = known[tokens[0]] if len(tokens) == 1 else b"".join([known[t] for t in tokens])
+            young[p] = known[tokens[0]] if len(tokens) == 1 else b"".join([known[t] for t in tokens])
 
     def _pieces(self, texts: list[str | None]) -> list[list[bytes]]:
         """Packed ids of the pieces of each text."""
-        if len(self.words) > CACHE:
-            self.words.clear()
         pieces = [split_at_spaces(t) if t else [] for t in texts]
-        lacking = set().union(*pieces) - self.words.keys() if pieces else set()
+        lacking = self.words.lacking(set().union(*pieces))
         if lacking:
             self._learn(lacking)
-        words = self.words
+        words = self.words.young
         return [[words[p] for p in own] for own in pieces]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -170,19 +194,24 @@ class Codec:
 
     def round_trip(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bytes]]:
         """Ids of each text and what they decode to; like pieces of ids are decoded once."""
-        if len(self.decoded) > CACHE:
-            self.decoded.clear()
         pieces = self._pieces(texts)
-        lacking = list(set().union(*pieces) - self.decoded.keys()) if pieces else []
+        lacking = list(self.decoded.lacking(set().union(*pieces)))
+        decoded = self.decoded.young
         if lacking:
-            self.decoded.update(zip(lacking, self.decode([np.frombuffer(x, np.int32) for x in lacking]), strict=True))
-        decoded = self.decoded
+            decoded.update(zip(lacking, self.decode([np.frombuffer(x, np.int32) for x in lacking]), strict=True))
         return [np.frombuffer(b"".join(own), np.int32) for own in pieces], [b"".join([decoded[x] for x in own]) for own in pieces]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each list of ids."""
         out = [b""] * len(ids)
-        got = self._run(DECODE, "id_lists", pa.table({"text": pa.array(np.arange(len(ids), dtype=np.int32)), "ids": lists_of(ids)}))
+        sizes = np.array([len(x) for x in ids], np.int64)
+        ends = np.cumsum(sizes)
+        rows = {
+            "text": np.repeat(np.arange(len(ids), dtype=np.int32), sizes),
+            "pos": (np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)).astype(np.int32),
+            "id": np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32),
+        }
+        got = self._run(DECODE, "id_rows", pa.table(rows))
         for k, s in zip(got.column("text").to_pylist(), got.column("bytes").to_pylist(), strict=True):
             out[k] = s.encode("latin-1")
         return out
@@ -193,16 +222,6 @@ def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
 
 
-def packed(lists: pa.ChunkedArray) -> list[bytes]:
-    """The int32 lists of a column as bytes."""
-    out: list[bytes] = []
-    for chunk in lists.chunks:
-        raw = chunk.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
-        cuts = ((chunk.offsets.to_numpy() - chunk.offsets[0].as_py()) * 4).tolist()
-        out += [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-    return out
-
-
 #: A space between two characters that are no white space always begins a pre-token.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -252,7 +271,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields).add("ids", ArrayType(IntegerType())))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType())))
 
 
 def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -270,4 +289,4 @@ def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
 
     from pyspark.sql.types import BinaryType, StructType
 
-    return rows.mapInArrow(run, StructType(rows.schema.fields).add("decoded", BinaryType()))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("decoded", BinaryType()))
