@@ -24,7 +24,7 @@ def average_rank(x: str, key: list[str]) -> Column:
 
 def _corr(x: str, y: str) -> Column:
     flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-    return F.when(~flat, F.corr(x, y))
+    return F.when(~flat, div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def ic(rows: DataFrame, key: list[str], x: str = "x", y: str = "y", method: str = "spearman", least: int = 10) -> DataFrame:
@@ -52,7 +52,7 @@ def rolling_ic(rows: DataFrame, s: Series, n: int, method: str = "pearson", x: s
         value = rho(c(x), c(y)).over(w)
     else:
         flat = (F.min(a).over(w) == F.max(a).over(w)) | (F.min(b).over(w) == F.max(b).over(w))
-        value = F.when((F.count(a).over(w) > 10) & ~flat, F.corr(a, b).over(w))
+        value = F.when((F.count(a).over(w) > 10) & ~flat, div(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w)))
     return rows.withColumn("rolling_ic", F.when(s.index() > n, value))
 
 
@@ -67,7 +67,7 @@ def autocorrelation(rows: DataFrame, key: list[str], order: str, x: str, lags: l
 def _corr_pair(x: str, y: str) -> Column:
     a = F.when(c(y).isNotNull(), c(x))
     flat = (F.min(a) == F.max(a)) | (F.min(y) == F.max(y)) | (F.count(y) < 2)
-    return F.when(~flat, F.corr(a, c(y)))
+    return F.when(~flat, div(F.covar_pop(a, c(y)), F.stddev_pop(F.when(a.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), c(y)))))
 
 
 def half_life(rows: DataFrame, key: list[str], order: str, x: str, most: int = 50) -> DataFrame:

@@ -67,7 +67,8 @@ def trade_diff_spread(tape: DataFrame, n: int = 100) -> DataFrame:
 
 def roll_spread(tape: DataFrame, n: int = 200) -> DataFrame:
     rows = tape.withColumn("_d", _step()).withColumn("_l", F.lag(_step()).over(T.p))
-    return rows.withColumn("roll_spread", 2 * F.sqrt(F.greatest(F.lit(0.0), -T.cov(c("_d"), c("_l"), n, 30)))).drop("_d", "_l")
+    cov = T.cov(c("_d"), c("_l"), n, 30)
+    return rows.withColumn("roll_spread", F.when(cov.isNotNull(), 2 * F.sqrt(F.greatest(F.lit(0.0), -cov)))).drop("_d", "_l")
 
 
 def effective_spread(tape: DataFrame, ms: int = 5000) -> DataFrame:
@@ -81,7 +82,7 @@ def effective_spread(tape: DataFrame, ms: int = 5000) -> DataFrame:
 
 def spread_percentile(rows: DataFrame, column: str, n: int = 500, s: Series = T) -> DataFrame:
     """Average-tie percentile rank of the last value of n."""
-    return rows.withColumn("spread_percentile", F.when(F.count(column).over(s.r(n)) >= 20, ts_rank(s, c(column), n) * 100))
+    return rows.withColumn("spread_percentile", ts_rank(s, c(column), n, 20) * 100)
 
 
 # --- order flow -----------------------------------------------------------------------------------

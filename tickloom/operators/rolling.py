@@ -72,13 +72,13 @@ def ts_argmax(s: Series, x: Column, d: int) -> Column:
     return F.lit(d) - F.array_position(a, F.array_max(a))
 
 
-def ts_rank(s: Series, x: Column, d: int) -> Column:
+def ts_rank(s: Series, x: Column, d: int, least: int | None = None) -> Column:
     """Average rank of the last value in its frame, as a share."""
     a = _frame(s, x, d)
     less = F.size(F.filter(a, lambda v: v < x))
     same = F.size(F.filter(a, lambda v: v == x))
     n = F.size(a)
-    return F.when(n >= max(2, d // 2), (less + (same + 1) / 2) / n)
+    return F.when(n >= (max(2, d // 2) if least is None else least), (less + (same + 1) / 2) / n)
 
 
 def decay_linear(s: Series, x: Column, d: int) -> Column:

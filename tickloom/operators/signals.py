@@ -82,7 +82,7 @@ SIGNALS: dict[str, Callable[..., Column]] = {
     "quantile": lambda x, n=60, low=0.2, high=0.8: _sides(x > S.quantile(x, high, n, _w(n, 10)), x < S.quantile(x, low, n, _w(n, 10))),
     "ma_cross": lambda x, fast=5, slow=20: (lambda a, b: _sides(a > b, a < b))(S.mean(x, fast, 1), S.mean(x, slow, 1)),
     "bollinger": lambda x, n=20, k=2.0: (lambda m, s: _sides(x < m - k * s, x > m + k * s))(S.mean(x, n, _w(n)), S.std(x, n, _w(n))),
-    "rank": lambda x, n=60, low=0.2, high=0.8: (lambda r: _sides(r > high, r < low))(F.when(F.count(x).over(S.r(n)) >= _w(n, 10), ts_rank(S, x, n))),
+    "rank": lambda x, n=60, low=0.2, high=0.8: (lambda r: _sides(r > high, r < low))(ts_rank(S, x, n, _w(n, 10))),
     "delta": lambda x, d=1, least=0.0: _sides(x - S.lag(x, d) > least, x - S.lag(x, d) < -least),
     "threshold": lambda x, up=0.5, down=-0.5: _sides(x > up, x < down),
 }

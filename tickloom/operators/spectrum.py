@@ -76,7 +76,7 @@ def intraday_panel(tape: DataFrame, sec: int, coverage: float = 0.95) -> DataFra
     day, at = F.to_date("ts"), F.floor((F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")) / sec)
     rows = tape.groupBy("symbol", day.alias("day"), at.alias("bin")).agg(F.sum("qty").alias("volume"))
     ends = rows.groupBy("symbol", "day").agg(((F.max("bin") - F.min("bin") + 1) * sec / 86400).alias("_c")).filter(c("_c") >= coverage)
-    full = ends.select("symbol", "day", F.explode(F.sequence(F.lit(0), F.lit(86400 // sec - 1))).cast("long").alias("bin"))
+    full = ends.select("symbol", "day", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(86400 // sec - 1).cast("long"))).alias("bin"))
     return full.join(rows, ["symbol", "day", "bin"], "left").fillna(0.0, ["volume"])
 
 

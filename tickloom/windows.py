@@ -18,7 +18,12 @@ class Series:
     """Frames over one series order. ``key`` and ``order`` name columns."""
 
     def __init__(self, key: tuple[str, ...] = KEY, order: tuple[str, ...] = ORDER) -> None:
-        self.p = Window.partitionBy(*key).orderBy(*order)
+        self.key, self.order = key, order
+
+    @property
+    def p(self) -> WindowSpec:
+        """The whole partition in order. Made on demand: Python workers import this module without a session."""
+        return Window.partitionBy(*self.key).orderBy(*self.order)
 
     def r(self, d: int) -> WindowSpec:
         """The last d rows, this one included."""
@@ -66,7 +71,9 @@ class Series:
         a, b = paired(x, y)
         w = self.r(d)
         flat = (F.min(a).over(w) == F.max(a).over(w)) | (F.min(b).over(w) == F.max(b).over(w))
-        return F.when((F.count(a).over(w) >= max(2, least)) & ~flat, F.corr(a, b).over(w))
+        # Not F.corr, which raises where the product of tiny variances underflows.
+        rho = div(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w))
+        return F.when((F.count(a).over(w) >= max(2, least)) & ~flat, rho)
 
     def cov(self, x: Column, y: Column, d: int, least: int) -> Column:
         a, b = paired(x, y)
