@@ -32,7 +32,7 @@ from tickloom.llm.common import sliced
 #: Bytes of a pre-token from which a heap does the merges.
 LONG = 192
 #: Words in a generation of what a worker remembers.
-CACHE = 450_000
+CACHE = 600_000
 #: Words in one recursive query.
 BLOCK = 50_000
 
@@ -226,13 +226,14 @@ def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
 BREAK = re.compile(r"(?<=\S) (?=\S)")
 
 
-#: White space beside a space, or at an end.
-UNEVEN = re.compile(r" \s|\s |^\s|\s\Z")
+#: White space other than a space or a line feed.
+OTHER = re.compile(r"[^\S \n]")
 
 
 def split_at_spaces(text: str) -> list[str]:
     """Pieces that concatenate to the text, cut where every pre-token of the pattern ends."""
-    parts = BREAK.split(text) if UNEVEN.search(text) else text.split(" ")
+    even = "  " not in text and " \n" not in text and "\n " not in text and not text[0].isspace() and not text[-1].isspace()
+    parts = text.split(" ") if even and not OTHER.search(text) else BREAK.split(text)
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 
