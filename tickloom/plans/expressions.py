@@ -70,7 +70,7 @@ def parse(text: str) -> Node:
             raise ValueError(f"unknown operator {name} in {text!r}")
         n = REGISTRY[name][1]
         series, rest = args[:n], args[n:]
-        if len(series) < n or not all(isinstance(x, Const) for x in rest):
+        if len(series) < n or any(isinstance(x, Const) for x in series) or not all(isinstance(x, Const) for x in rest):
             raise ValueError(f"{name} takes {n} series, then numbers, in {text!r}")
         params = [x.value for x in rest]
         if not params and name not in ("log1p_safe", "abs_val"):
