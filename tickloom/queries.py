@@ -194,7 +194,7 @@ T_COLS = ("total_volume", "total_cost", "fills_per_level_mean", "fills_per_level
 register("taker_orders", lambda s, d: br.taker_orders(tape(s, d)).drop("ts"), f"WITH {TAKER_SQL} SELECT symbol, taker_id, side, levels_swept, total_fills, {', '.join(r(x, x) for x in T_COLS)} FROM taker")
 
 
-def side_sql(side: str) -> str:
+def side_sql(side: str, f: Callable[[str, str], str]) -> str:
     dist = "price - first_price" if side == "buy" else "first_price - price"
     on, multi, single = f"FILTER (side = '{side}')", f"FILTER (side = '{side}' AND n_raw_trades > 1)", f"FILTER (side = '{side}' AND n_raw_trades <= 1)"
     slope = lambda y: f"CASE WHEN count(*) {on} >= 3 AND var_pop(ln(qty)) {on} >= 1e-15 THEN covar_pop({y}, ln(qty)) {on} / var_pop(ln(qty)) {on} ELSE 0 END"
@@ -207,11 +207,27 @@ def side_sql(side: str) -> str:
         "price_range_beta": slope("price_range"),
         "volume_skew": f"CASE WHEN count(*) {on} >= 3 AND max(qty) {on} > min(qty) {on} THEN skewness(qty) {on} ELSE 0 END",
     }
-    return f"count(*) {on} AS {side}_count, count(*) {multi} AS {side}_mf_count, " + ", ".join(r(v, f"{side}_{k}") for k, v in parts.items())
+    return f"count(*) {on} AS {side}_count, count(*) {multi} AS {side}_mf_count, " + ", ".join(f(v, f"{side}_{k}") for k, v in parts.items())
+
+
+def merged_agg(f: Callable[[str, str], str]) -> str:
+    """SQL of the aggregates of merged orders; f gives each expression its name."""
+    plain = {
+        "open": "arg_min(price, seq)",
+        "high": "max(price)",
+        "low": "min(price)",
+        "close": "arg_max(price, seq)",
+        "volume": "sum(qty)",
+        "buy_volume": "coalesce(sum(qty) FILTER (side = 'buy'), 0)",
+        "sell_volume": "sum(qty) - coalesce(sum(qty) FILTER (side = 'buy'), 0)",
+        "value": "sum(notional)",
+        "weighted_vwap_dist": "sum((price - first_price) * qty)",
+    }
+    return f"{', '.join(f(x, n) for n, x in plain.items())}, count(*) AS n_trades, {side_sql('buy', f)}, {side_sql('sell', f)}"
 
 
-MERGED_AGG = f"""{", ".join(r(x, n) for x, n in (("arg_min(price, seq)", "open"), ("max(price)", "high"), ("min(price)", "low"), ("arg_max(price, seq)", "close"), ("sum(qty)", "volume"), ("coalesce(sum(qty) FILTER (side = 'buy'), 0)", "buy_volume"),
- ("sum(qty) - coalesce(sum(qty) FILTER (side = 'buy'), 0)", "sell_volume"), ("sum(notional)", "value"), ("sum((price - first_price) * qty)", "weighted_vwap_dist")))}, count(*) AS n_trades, {side_sql("buy")}, {side_sql("sell")}"""
+MERGED_AGG = merged_agg(r)
+MERGED_RAW = merged_agg(lambda x, n: f"{x} AS {n}")
 DAY = 86400
 register("bars_merged_time", lambda s, d: br.merged_time_bars(merged(s, d), DAY), f"WITH {MERGE_SQL} SELECT symbol, us // {DAY * 1000000} * {DAY} AS bar, {MERGED_AGG} FROM m GROUP BY ALL")
 register("bars_merged_count", lambda s, d: br.merged_count_bars(merged(s, d), 30).drop("ts", "bar_duration_sec"), f"WITH {MERGE_SQL}, i AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) - 1) // 30 AS bar_id FROM m) SELECT symbol, bar_id, {MERGED_AGG} FROM i GROUP BY ALL")

@@ -16,7 +16,7 @@ from tickloom.operators import smoothers as sm
 from tickloom.operators import spectrum as sp
 from tickloom.operators.bars import merge_trades, merged_time_bars, taker_orders
 from tickloom.plans import scans
-from tickloom.queries import BARS_SQL, CORR, GAP, MERGE_SQL, MERGED_AGG, P, S, SEC, TAKER_SQL, TAPE_SQL, at_least, bars, book, c, event_bars, fields, r, register, tape, w
+from tickloom.queries import BARS_SQL, CORR, GAP, MERGE_SQL, MERGED_RAW, P, S, SEC, TAKER_SQL, TAPE_SQL, at_least, bars, book, c, event_bars, fields, r, register, tape, w
 from tickloom.windows import Series, div, grid
 
 DAY = 86400
@@ -216,7 +216,7 @@ RULE_SQL = {
 for _n, _q in RULE_SQL.items():
     ORACLE_SQL[f"rule_{_n}"] = f"WITH {BARS_SQL} SELECT symbol, bar, {r(_q, 'factor')} FROM bars"
 ORACLE_SQL["rule_kyles_lambda"] = f"WITH {BARS_SQL}, t AS (SELECT *, close - lag(close) {P} AS d, buy_volume - sell_volume AS q FROM bars) SELECT symbol, bar, {r(f'CASE WHEN count(d) {w(40)} >= 10 THEN covar_samp(d, q) {w(40)} / (var_samp(q) {w(40)} + 1e-10) END', 'factor')} FROM t"
-MB_SQL = f"{MERGE_SQL}, mb AS (SELECT symbol, us // {DAY * 1000000} * {DAY} AS bar, {MERGED_AGG.replace('+ 1e-9, 6) + 0.0', ', 12)')} FROM m GROUP BY ALL)"
+MB_SQL = f"{MERGE_SQL}, mb AS (SELECT symbol, us // {DAY * 1000000} * {DAY} AS bar, {MERGED_RAW} FROM m GROUP BY ALL)"
 
 
 def both_sql(x: str) -> str:
@@ -383,7 +383,7 @@ register("spectrum_return_acf", lambda s, d: sp.return_acf(logret(s, d), ["symbo
 register(
     "spectrum_daily_acf",
     lambda s, d: sp.daily_acf(tape(s, d).withColumn("day", F.floor(F.unix_seconds("ts") / DAY)), ["symbol"], "day", "seq", "price"),
-    f"WITH {TAPE_SQL}, a AS (SELECT symbol, us // {DAY * 1000000} AS day, price, lag(price) OVER (PARTITION BY symbol, us // {DAY * 1000000} ORDER BY seq) AS p FROM tape), b AS (SELECT symbol, day, corr(price, p) FILTER (p IS NOT NULL) AS acf FROM a GROUP BY ALL) SELECT symbol, count(acf) AS days, {r('avg(acf)', 'mean_acf')}, {r('avg(acf) / (stddev_samp(acf) / sqrt(count(acf)))', 't')} FROM b GROUP BY symbol",
+    f"WITH {TAPE_SQL}, a AS (SELECT symbol, us // {DAY * 1000000} AS day, price, lag(price) OVER (PARTITION BY symbol, us // {DAY * 1000000} ORDER BY seq) AS p FROM tape), b AS (SELECT symbol, day, CASE WHEN count(p) >= 2 AND min(p) < max(p) AND min(price) FILTER (p IS NOT NULL) < max(price) FILTER (p IS NOT NULL) THEN corr(price, p) FILTER (p IS NOT NULL) END AS acf FROM a GROUP BY ALL) SELECT symbol, count(acf) AS days, {r('avg(acf)', 'mean_acf')}, {r('avg(acf) / (stddev_samp(acf) / sqrt(count(acf)))', 't')} FROM b GROUP BY symbol",
 )
 register("spectrum_detrend", lambda s, d: sp.detrend(bars(s, d), ["symbol"], "bar", "volume", 4).select("symbol", "bar", "detrended"), f"WITH {BARS_SQL}, a AS (SELECT symbol, bar, volume - avg(volume) OVER o AS v, count(*) OVER o AS n FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)) SELECT symbol, bar, {r('v', 'detrended')} FROM a WHERE n = 9")
 register("spectrum_autocovariance", lambda s, d: sp.autocovariance(bars(s, d), ["symbol"], "bar", "volume", 20))
