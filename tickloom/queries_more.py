@@ -397,3 +397,28 @@ register("features_every_nth", lambda s, d: ft.every_nth(bars(s, d), 3, S).selec
 register("features_balanced", lambda s, d: ft.balance(tape(s, d).select("seq", "side"), "side", ["seq"]).groupBy("side").agg(F.count("*").alias("n")), f"WITH {TAPE_SQL}, a AS (SELECT side, count(*) AS n FROM tape GROUP BY side) SELECT side, (SELECT min(n) FROM a) AS n FROM a")
 register("grid_fill", lambda s, d: grid(bars(s, d).withColumn("ts", F.timestamp_seconds("bar")).select("symbol", "ts", "volume"), SEC).select("symbol", F.unix_seconds("ts").alias("bar"), F.coalesce("volume", F.lit(0.0)).alias("volume")), f"WITH {BARS_SQL}, e AS (SELECT symbol, unnest(range(min(bar), max(bar) + 1, {SEC})) AS bar FROM bars GROUP BY symbol) SELECT symbol, bar, {r('coalesce(volume, 0)', 'volume')} FROM e LEFT JOIN bars USING (symbol, bar)")
 register("value_counts", lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n")), "SELECT event_type, count(*) AS n FROM events GROUP BY ALL")
+
+# --- compositions ---------------------------------------------------------------------------------
+from tickloom.operators import compose as cm  # noqa: E402
+from tickloom.queries import events_at  # noqa: E402
+
+register("compose_all_indicators", lambda s, d: cm.all_indicators(tape(s, d), SEC))
+register("compose_microstructure_frame", lambda s, d: cm.microstructure_frame(tape(s, d), SEC))
+register("compose_liquidity_cycle", lambda s, d: cm.liquidity_cycle(shocks(s, d), tape(s, d), 4 * BSEC * 1000))
+register("compose_gaps_by_size", lambda s, d: cm.gaps_by_size(tape(s, d), [SEC, 2 * SEC], 12))
+register("compose_book_around", lambda s, d: cm.book_around(s.range(5).select(F.lit(0).alias("symbol"), c("id").alias("event_id"), (c("id") * 10 + 20).cast("double").alias("at")), book(s, d), 10, 10))
+register("exit_atr", lambda s, d: cm.atr_exits(bars(s, d)).select("symbol", "bar", "stop", "target"))
+register(
+    "exit_percentile",
+    lambda s, d: cm.percentile_exits(bars(s, d), 50).select("symbol", "bar", "stop", "target"),
+    f"WITH {RET_SQL}, a AS (SELECT symbol, bar, abs(ret) AS a FROM t) SELECT symbol, bar, {r('2 * ' + '(' + at_least(20, 'a', 51, 'quantile_cont(a, 0.75)') + ')', 'stop')}, {r('2 * ' + '(' + at_least(20, 'a', 51, 'quantile_cont(a, 0.9)') + ')', 'target')} FROM a",
+)
+register("exit_chandelier", lambda s, d: cm.chandelier(bars(s, d), 10).select("symbol", "bar", "long_stop", "short_stop"))
+register("sim_indicator_backtest", lambda s, d: cm.indicator_backtest(factored(s, d), "factor", 0.3, -0.3, 8, 0.01, 0.012, 2))
+register("sim_trade_exits", lambda s, d: cm.trade_exits(events_at(s, d).withColumn("side", F.lit(1)), tape(s, d), 7200.0, 2.0))
+register("sim_adaptive_threshold", lambda s, d: sm.recur(factored(s, d), cm.adaptive_threshold, ["factor", "close"], ["position", "ret"], n=60, every=10).select("symbol", "bar", "position", "ret"))
+for _n, (_how, _p) in {"v0_ewm": ("ewm", {"alpha": 0.2, "adjust": True}), "v03_kalman": ("kalman", {}), "v05_kaufman": ("kaufman", {}), "v06_bilateral": ("bilateral", {"width": 3, "sigma_t": 2.0, "sigma_x": 0.3}), "v50_polyfit": ("polyfit", {"n": 10}), "v60_slope": ("slope", {"n": 10})}.items():
+    register(f"variant_{_n}", lambda s, d, how=_how, p=_p: cm.variant(bars(s, d), 8, how, p, k=0.5, window=30).select("symbol", "bar", "position", "ret", "equity"))
+register("study_split_half", lambda s, d: cm.split_half(xy(s, d), ["symbol"], "bar"), f"WITH {XY_SQL}, h AS (SELECT *, ntile(2) {P} AS half FROM xy0), e AS (SELECT symbol, corr(x, y) FILTER (half = 1) AS a, corr(x, y) FILTER (half = 2) AS b FROM h WHERE y IS NOT NULL GROUP BY symbol) SELECT symbol, {r('a', 'ic_1')}, {r('b', 'ic_2')}, (a * b > 0)::INT AS agree, {r('(abs(a) + abs(b)) / 2', 'mean_abs')} FROM e")
+register("study_threshold_sensitivity", lambda s, d: cm.threshold_sensitivity(factored(s, d), "factor", [0.5, 1.0, 2.0], 40))
+register("feature_matrix", lambda s, d: cm.feature_matrix(tape(s, d), SEC))
