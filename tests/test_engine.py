@@ -238,3 +238,36 @@ def test_models(spark):
     assert ml.fit(df, ["a", "b"], "y", "ridge", reg=0.0).transform(df).select(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 1e-6
     assert ml.clusters(df, ["a", "b"], 3).select("cluster").distinct().count() == 3
     assert ml.class_weights(df, "k").agg(F.sum("weight")).first()[0] == pytest.approx(200)
+
+
+def test_paged_source_reads_every_page(spark):
+    from tickloom.sources.paged import paged_source, read_paged
+
+    def fetch(symbol, start, limit):
+        t = datetime(2024, 1, 1)
+        return [(symbol, i, t, 1.0, 2.0, "buy", i, i) for i in range(start, min(start + limit, 25))]
+
+    spark.dataSource.register(paged_source("pages_of_trades", fetch, page=10))
+    got = read_paged(spark, "pages_of_trades", ["A", "B"], from_id=3, to_id=20)
+    assert got.count() == 36 and got.select("seq").distinct().count() == 18
+
+
+def test_restarted_range_equals_a_loop(spark):
+    from tickloom.operators import compose as cm
+
+    rng = np.random.default_rng(0)
+    close = 100 + rng.normal(size=60).cumsum()
+    b = bars(spark, close, 0.5)
+    got = cm.atr_exits(b, n=5, low=0.0, high=1.0).orderBy("bar").toPandas()
+    prior = np.concatenate([close[:1], close[:-1]])
+    tr = np.maximum(1.0, np.maximum(abs(close + 0.5 - prior), abs(close - 0.5 - prior)))
+    atr = sm.ewm(tr[45:60], 2 / 6)["y"][-1]
+    assert got["stop"].iloc[-1] == pytest.approx(round(2 * atr / close[-1], 4), abs=1e-4)
+
+
+def test_one_indicator_grid(spark, sf):
+    from tickloom.operators import compose as cm
+
+    t = tape_of_events(spark.read.parquet(f"{sf}/events.parquet"))
+    got = cm.all_indicators(t, 86400, ["trade_diff_spread", "efficiency_ratio", "turnover_ratio"])
+    assert got.columns == ["symbol", "bar", "trade_diff_spread", "efficiency_ratio", "turnover_ratio"] and got.count() > 0
