@@ -8,13 +8,13 @@ the target is drawn by order sampling: document i has the ranking variable
 
 with a random number u_i and the inclusion probability p_i of its source, and
 the documents with the smallest Q are selected. The size of the sample is fixed
-in words: documents are taken in the order of Q while they fit, and then those
-that fit into the gap that the first one too long leaves.
+in words: documents are taken in the order of Q while they fit; behind one that is
+too long, those that fit into the gap go on, for ROUNDS rounds.
 
 Scale: the only shuffles carry one row for each source and range of u. The
 running sums are taken within (source, range of u), so a source that holds a
 third of all rows is spread over ``RANGES`` groups; its ranges are then summed.
-A document is decided by comparing its u with two cut points of its source, so
+A document is decided by comparing its u with the cut points of its source, so
 texts are never shuffled.
 """
 
@@ -30,6 +30,8 @@ from tickloom.llm.common import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: Equal ranges of u that a source's running sums are split into.
 RANGES = 1024
+#: Rounds of taking what fits.
+ROUNDS = 4
 
 
 def word_count(text: Column) -> Column:
@@ -98,26 +100,23 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = plan.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
-    plan = materialize(plan, "mix-plan")
-    # What fits in order.
-    key = plan.select(F.col("source").alias("ps"), "rest")
-    first = running(sized).join(key, F.col("source").eqNullSafe(F.col("ps"))).filter(F.col("cum") <= F.col("rest"))
-    first = first.groupBy("source").agg(F.max("u").alias("cut1"), F.max("cum").alias("filled"))
-    first = first.withColumnRenamed("source", "fs")
-    plan = plan.join(first, F.col("source").eqNullSafe(F.col("fs")), "left").drop("fs")
-    plan = plan.withColumn("gap", F.col("rest") - F.coalesce(F.col("filled"), F.lit(0))).drop("filled")
-    plan = materialize(plan, "mix-cuts")
-    # What fits into the gap, to the nearest.
-    key = plan.select(F.col("source").alias("ps"), "cut1", "gap")
-    small = sized.join(key, F.col("source").eqNullSafe(F.col("ps"))).filter((F.col("size") <= F.col("gap")) & (F.col("u") > F.coalesce(F.col("cut1"), F.lit(-1.0))))
-    second = running(small.drop("ps")).filter(F.col("cum") - F.col("words") / 2.0 <= F.col("gap"))
-    second = second.groupBy("source").agg(F.max("u").alias("cut2")).withColumnRenamed("source", "ss")
-    plan = plan.join(second, F.col("source").eqNullSafe(F.col("ss")), "left").drop("ss")
-    plan = materialize(plan, "mix-plan").withColumnRenamed("source", "plan_source")
+    plan = plan.withColumn("cut0", F.lit(-1.0)).withColumn("gap0", F.col("rest"))
+    drawn = F.lit(False)
+    for k in range(1, ROUNDS + 1):
+        # What fits in order; in later rounds of those that fit at all. The last round goes to the nearest.
+        key = plan.select(F.col("source").alias("ps"), F.col(f"cut{k - 1}").alias("low"), F.col(f"gap{k - 1}").alias("gap"))
+        rows = sized.join(key, F.col("source").eqNullSafe(F.col("ps"))).filter((F.col("size") <= F.col("gap")) & (F.col("u") > F.col("low"))) if k > 1 else sized.join(key, F.col("source").eqNullSafe(F.col("ps")))
+        fits = F.col("cum") - (F.col("words") / 2.0 if k == ROUNDS else 0) <= F.col("gap")
+        got = running(rows.drop("ps", "low")).filter(fits).groupBy("source").agg(F.max("u").alias("cut"), F.max("cum").alias("filled")).withColumnRenamed("source", "gs")
+        plan = plan.join(got, F.col("source").eqNullSafe(F.col("gs")), "left").drop("gs")
+        plan = plan.withColumn(f"cut{k}", F.coalesce("cut", F.col(f"cut{k - 1}"))).withColumn(f"gap{k}", F.col(f"gap{k - 1}") - F.coalesce("filled", F.lit(0))).drop("cut", "filled")
+        plan = materialize(plan, "mix-cuts")
+        inside = (F.col("u_") > F.col(f"cut{k - 1}")) & (F.col("u_") <= F.col(f"cut{k}"))
+        drawn = drawn | (inside & (F.lit(k == 1) | (F.col("size") <= F.col(f"gap{k - 1}"))))
+    plan = plan.withColumnRenamed("source", "plan_source")
     out = docs.withColumn("size", word_count(F.col("text"))).withColumn("u_", u)
     out = out.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left")
     odds = F.col("p") / (1 - F.col("p"))
-    drawn = (F.col("u_") <= F.coalesce(F.col("cut1"), F.lit(-1.0))) | ((F.col("size") <= F.col("gap")) & (F.col("u_") <= F.coalesce(F.col("cut2"), F.lit(-1.0))))
     copies = F.least(F.col("whole") + drawn.cast("long"), F.lit(most))
     return out.select(
         *[F.col(c) for c in docs.columns],

@@ -133,16 +133,19 @@ e AS (SELECT *, sum(CASE WHEN limited THEN lim ELSE 0 END) OVER ()::BIGINT AS sp
 t AS (SELECT source, source_size, CASE WHEN limited THEN lim::DOUBLE ELSE (weight * (total - spent))::DOUBLE / free::DOUBLE END AS target FROM e),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 r AS (SELECT *, target - whole * source_size AS rest FROM p),
-o AS (SELECT g.*, r.rest, sum(words) OVER (PARTITION BY g.source ORDER BY u)::BIGINT AS cum FROM g JOIN r ON g.source IS NOT DISTINCT FROM r.source),
-c1 AS (SELECT source, max(u) AS cut1, max(cum) AS filled FROM o WHERE cum <= rest GROUP BY source),
-r1 AS (SELECT r.*, cut1, rest - coalesce(filled, 0) AS gap FROM r LEFT JOIN c1 ON r.source IS NOT DISTINCT FROM c1.source),
-o2 AS (SELECT g.*, r1.gap, sum(words) OVER (PARTITION BY g.source ORDER BY u)::BIGINT AS cum FROM g JOIN r1 ON g.source IS NOT DISTINCT FROM r1.source
-       WHERE g.size <= r1.gap AND g.u > coalesce(r1.cut1, -1)),
-c2 AS (SELECT source, max(u) AS cut2 FROM o2 WHERE cum - words / 2.0 <= gap GROUP BY source),
-r2 AS (SELECT r1.*, cut2 FROM r1 LEFT JOIN c2 ON r1.source IS NOT DISTINCT FROM c2.source)
-SELECT d.doc_id, d.size, r2.source_size, r2.target,
-       least(whole + CASE WHEN u <= coalesce(cut1, -1) OR (d.size <= gap AND u <= coalesce(cut2, -1)) THEN 1 ELSE 0 END, 3) * d.size AS taken
-FROM d JOIN r2 ON d.source IS NOT DISTINCT FROM r2.source
+p0 AS (SELECT *, -1.0::DOUBLE AS cut0, rest AS gap0 FROM r),
+"""
+for _k in range(1, mixing.ROUNDS + 1):
+    ORACLE_SQL["op8_mix_sources"] += f"""
+o{_k} AS (SELECT g.*, p.gap{_k - 1} AS gap, sum(words) OVER (PARTITION BY g.source ORDER BY u)::BIGINT AS cum FROM g JOIN p{_k - 1} p ON g.source IS NOT DISTINCT FROM p.source
+  WHERE {_k} = 1 OR (g.size <= p.gap{_k - 1} AND g.u > p.cut{_k - 1})),
+c{_k} AS (SELECT source, max(u) AS cut, max(cum) AS filled FROM o{_k} WHERE cum - {"words / 2.0" if _k == mixing.ROUNDS else "0"} <= gap GROUP BY source),
+p{_k} AS (SELECT p.*, coalesce(cut, cut{_k - 1}) AS cut{_k}, gap{_k - 1} - coalesce(filled, 0) AS gap{_k} FROM p{_k - 1} p LEFT JOIN c{_k} q ON p.source IS NOT DISTINCT FROM q.source),"""
+_DRAWN = " OR ".join(f"(u > cut{k - 1} AND u <= cut{k} AND ({k} = 1 OR d.size <= gap{k - 1}))" for k in range(1, mixing.ROUNDS + 1))
+ORACLE_SQL["op8_mix_sources"] += f"""
+z AS (SELECT 1)
+SELECT d.doc_id, d.size, p.source_size, p.target, least(whole + CASE WHEN {_DRAWN} THEN 1 ELSE 0 END, 3) * d.size AS taken
+FROM d JOIN p{mixing.ROUNDS} p ON d.source IS NOT DISTINCT FROM p.source
 """
 
 
