@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -49,8 +52,17 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers are reused, so it would count against the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about ``limit`` bytes of ``column``; a longer text stands alone."""
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
         start, held = 0, 0
@@ -61,13 +73,4 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
-
-
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str) -> DataFrame:
-    """mapInArrow over slices of bounded bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, column):
-            yield f(batch)
-
-    return df.mapInArrow(run, schema)
+    trim()

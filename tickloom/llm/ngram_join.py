@@ -21,7 +21,7 @@ only pairs between different components are left, and those are all compared. So
 components are exact, whatever the rounds found.
 
 Scale: only the elements shared by two classes or more reach the tiles, texts are
-shuffled for those classes alone, and leaders with many members are split into
+shuffled for the classes of pairs that bitmaps allow, and leaders with many members are split into
 salted parts. Nothing but the bounded list of common shingles reaches the driver.
 """
 
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import materialize, sliced
@@ -42,10 +42,14 @@ COMMON = 0.0025
 #: Bits of the bitmaps of small and large sets, and the size from which a set is large.
 SMALL_BITS, LARGE_BITS, LARGE_FROM = 512, 4096, 1024
 #: Rounds with leaders, and the tiles of each class that they use.
-ROUNDS, HEADS = 3, 4
+ROUNDS, HEADS = 7, 4
 #: Members that one part of a leader takes.
 PART = 256
-SLICE = 2 << 20
+#: Rows of a column of ids up to which a side is broadcast; beyond that it is shuffled.
+BROADCAST = 500_000
+#: Rows that a group of tiles is meant to have.
+TILE_ROWS = 50_000
+SLICE = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -203,12 +207,17 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, k1 long, k2 long, bits binary, heads array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole texts (id, text). b is the side with many partners."""
+def _small(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if there are few: rows of a few longs, counted before."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST else ids
+
+
+def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by the whole texts of docs (doc_id, text). b is the side with many partners."""
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     members = pairs.join(parts, "b").select("b", F.expr("pmod(xxhash64(a), parts)").cast("int").alias("part"), F.lit(1).alias("role"), F.col("a").alias("id"))
     leaders = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("b").alias("id"))
-    rows = members.unionByName(leaders).join(texts, "id")
+    rows = docs.withColumnRenamed("doc_id", "id").join(_small(members.unionByName(leaders)), "id")
     rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", "role", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +244,10 @@ def _pairs_of_tile(rows: pa.Table, percent: int) -> pa.Table:
     key, n, ids, comp, own = (rows.column(c).to_numpy() for c in ("key", "n", "id", "comp", "own"))
     bits = rows.column("bits").to_pylist()
     large = np.array([len(b) * 8 == LARGE_BITS for b in bits])
-    wide = np.array([np.frombuffer(b, np.uint64) if l else np.zeros(LARGE_BITS // 64, np.uint64) for b, l in zip(bits, large, strict=True)])
-    tight = np.array([np.frombuffer(_fold(b) if l else b, np.uint64) for b, l in zip(bits, large, strict=True)])
+    tight = np.frombuffer(b"".join([_fold(b) if l else b for b, l in zip(bits, large, strict=True)]), np.uint64).reshape(len(bits), -1)
+    wide = np.frombuffer(b"".join([b for b, l in zip(bits, large, strict=True) if l]), np.uint64).reshape(-1, LARGE_BITS // 64)
+    at_wide = np.cumsum(large) - 1
+    del bits
     order = np.argsort(key, kind="stable")
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(key)]])
     found: list[np.ndarray] = []
@@ -253,7 +264,7 @@ def _pairs_of_tile(rows: pa.Table, percent: int) -> pa.Table:
             both = large[j] & large[i]
             differ = np.bitwise_count(tight[j] ^ tight[i]).sum(axis=1, dtype=np.int64)
             if both.any():
-                differ[both] = np.bitwise_count(wide[j[both]] ^ wide[i]).sum(axis=1, dtype=np.int64)
+                differ[both] = np.bitwise_count(wide[at_wide[j[both]]] ^ wide[at_wide[i]]).sum(axis=1, dtype=np.int64)
             size = n[j].astype(np.int64) + int(n[i])
             most = (size - differ) // 2
             j = j[100 * most >= percent * (size - most)]
@@ -283,27 +294,35 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # A doc_id with several texts ties their classes; a class whose smallest doc_id has another text is tied to it as well.
     tied = member.filter("doc_id is not null and rep is not null").join(several.filter("lo < hi").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = sets.join(keys.select("n", "k1", "k2", F.col("rep").alias("doc_id")), ["n", "k1", "k2", "doc_id"], "left_semi")
-    reps = reps.select(F.col("doc_id").alias("id"), "n", "bits", F.posexplode("heads").alias("rank", "key"))
+    reps = reps.select(F.explode("heads").alias("key"), F.col("doc_id").alias("id"), "n")
     # Elements of one class only can't make a link.
-    reps = reps.dropDuplicates(["key", "id", "n"])
-    shared = reps.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("key")
-    tiles = materialize(reps.drop("bits").join(shared, "key", "left_semi"), "shingle-tiles")
-    near = tiles.select("id").distinct()
-    texts = materialize(docs.withColumnRenamed("doc_id", "id").join(near, "id", "left_semi").distinct(), "shingle-texts")
+    tile = Window.partitionBy("key")
+    shared = reps.withColumn("lo", F.min("id").over(tile)).withColumn("hi", F.max("id").over(tile)).withColumn("rows", F.count("*").over(tile)).filter("lo < hi")
+    tiles = materialize(shared.select("key", "id", "n", "rows"), "shingle-tiles")
+    bits = sets.filter("n > 0").select(F.col("doc_id").alias("id"), "n", "bits")
     edges = materialize(tied, "shingle-links")
-    labels = components(edges)
+    first = Window.partitionBy("id").orderBy("key")
+    few = tiles.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= HEADS)
+    few = _with_bits(_labelled(few.select("key", "id", "n"), components(edges)), bits)
     for k in range(ROUNDS):
-        heads = _labelled(tiles.filter(F.col("rank") < HEADS), labels)
-        lead = heads.groupBy("key").agg(F.min_by(F.struct("id", "n", "comp"), F.xxhash64("id", F.lit(k))).alias("lead"))
-        pairs = heads.join(lead, "key").filter((F.col("comp") != F.col("lead.comp")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
-        pairs = materialize(pairs.select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct(), "shingle-pairs")
+        few = materialize(few, "shingle-heads")
+        lead = few.groupBy("key").agg(F.min_by(F.struct("id", "n", "comp", "bits"), F.xxhash64("id", F.lit(k))).alias("lead"))
+        pairs = few.join(lead, "key").filter((F.col("comp") != F.col("lead.comp")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
+        comps = [F.greatest("comp", "lead.comp").alias("hi"), F.least("comp", "lead.comp").alias("lo")]
+        pairs = pairs.select(F.col("id").alias("a"), F.col("lead.id").alias("b"), *comps, "n", F.col("lead.n").alias("m"), "bits", F.col("lead.bits").alias("lead_bits"))
+        pairs = materialize(_may_link(pairs, percent).distinct(), "shingle-pairs")
         if pairs.isEmpty():
             break
-        edges = materialize(edges.unionByName(verify(pairs, texts, words, percent)), "shingle-links")
-        labels = components(edges)
-    pairs = materialize(_tile_pairs(tiles, sets, labels, percent), "shingle-pairs")
+        links = materialize(verify(pairs.select("a", "b"), docs, words, percent).join(pairs, ["a", "b"]), "shingle-links")
+        edges = edges.unionByName(links.select("a", "b"))
+        # A component takes the smallest label that it is linked to. Chains of labels are left to the next round.
+        hook = links.groupBy("hi").agg(F.min("lo").alias("lo"))
+        few = few.join(_small(hook), F.col("comp") == F.col("hi"), "left").withColumn("comp", F.coalesce("lo", "comp")).drop("hi", "lo")
+    edges = materialize(edges, "shingle-links")
+    labels = components(edges)
+    pairs = materialize(_tile_pairs(tiles, bits, labels, percent), "shingle-pairs")
     if not pairs.isEmpty():
-        edges = materialize(edges.unionByName(verify(pairs, texts, words, percent)), "shingle-links")
+        edges = materialize(edges.unionByName(verify(pairs, docs, words, percent)), "shingle-links")
         labels = components(edges)
     label = labels.withColumnRenamed("id", "rep")
     out = member.join(label, "rep", "left")
@@ -315,19 +334,43 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
 
 
-def _tile_pairs(tiles: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _with_bits(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """rows (id, n, ...) and the bitmap of each id's set."""
+    wanted = bits.join(_small(rows.select("id").distinct()), "id", "left_semi").dropDuplicates(["id", "n", "bits"])
+    return rows.join(wanted, ["id", "n"])
+
+
+def _may_link(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, hi, lo) whose bitmaps allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "bits", "lead_bits")), strict=True):
+                if len(x) != len(y):
+                    x, y = (_fold(v) if len(v) * 8 == LARGE_BITS else v for v in (x, y))
+                differ = int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum())
+                most = (n + m - differ) // 2
+                keep.append(100 * most >= percent * (n + m - most))
+            yield batch.select(["a", "b", "hi", "lo"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long, hi long, lo long")
+
+
+def _tile_pairs(tiles: DataFrame, bits: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that share a tile and may link by size and bitmap."""
     rows = _labelled(tiles, labels)
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    rows = materialize(rows.join(mixed, "key", "left_semi").select("key", "id", "n", "comp"), "shingle-mixed")
-    bits = sets.filter("n > 0").select(F.col("doc_id").alias("id"), "n", "bits").join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "n", "bits"])
-    rows = rows.join(bits, ["id", "n"])
+    rows = materialize(rows.join(mixed, "key", "left_semi"), "shingle-mixed")
+    parts = rows.count() // TILE_ROWS + 1
+    rows = _with_bits(rows, bits)
     b = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    # A tile is a band and the next one; a pair counts in the tile of its lower member.
-    rows = rows.withColumn("own_band", b).withColumn("band", F.explode(F.array(b, b - 1))).withColumn("own", F.col("band") == F.col("own_band"))
-    rows = rows.withColumn("tile", F.expr("pmod(xxhash64(key), 4096)"))
+    # A large tile is parted into each band with the next one; a pair counts in the tile of its lower member.
+    bands = F.when(F.col("rows") > TILE_ROWS // 25, F.array(b, b - 1)).otherwise(F.array(F.lit(-1)))
+    rows = rows.withColumn("band", F.explode(bands)).withColumn("own", F.col("band").isin(-1) | (F.col("band") == b))
+    rows = rows.withColumn("tile", F.expr(f"pmod(xxhash64(key), {parts})"))
     return (
         rows.groupBy("band", "tile")
-        .applyInArrow(lambda t: _pairs_of_tile(t, percent), "a long, b long")
+        .applyInArrow(lambda t: _pairs_of_tile(t.combine_chunks(), percent), "a long, b long")
         .distinct()
     )
