@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 from tickloom.llm import bpe, mixing, ngram_join, pii, toxicity
 from tickloom.llm.common import materialize
 
+#: Rows of a group of tiles in the n-gram join: 80 % leaves more pairs to compare than 85 %, and small groups repeat them.
+TILE_ROWS = 80_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Words that an encoding worker remembers, and bytes of text that it encodes at once: it shares its memory with what earlier stages left.
+CACHE, SLICE = 60_000, 1 << 20
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words stay. Of repeated rows with that doc_id one stays, the
     smallest text of those that have words.
     """
-    found = ngram_join.join(docs, words=5, percent=80)
+    found = ngram_join.join(docs, words=5, percent=80, tile_rows=TILE_ROWS)
     leaders = found.filter("doc_id = component_id or doc_id is null or n_shingles = 0").select(F.col("doc_id").alias("kept")).distinct()
     kept = docs.join(leaders, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])
@@ -53,7 +57,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source and the token ids of each document."""
-    return bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids")
+    return bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, CACHE, SLICE).select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -69,13 +69,14 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class Memory:
     """A cache of two generations: what the older one holds and nobody asked for is forgotten."""
 
-    def __init__(self) -> None:
+    def __init__(self, size: int) -> None:
+        self.size = size
         self.young: dict = {}
         self.old: dict = {}
 
     def lacking(self, keys: set) -> set:
         """The keys that neither holds; all others are in young afterwards."""
-        if len(self.young) > CACHE:
+        if len(self.young) > self.size:
             self.old, self.young = self.young, {}
         missing = keys - self.young.keys()
         known = missing & self.old.keys()
@@ -86,21 +87,21 @@ class Memory:
 class Codec:
     """Encoder and decoder over one rank file and pattern."""
 
-    def __init__(self, data: bytes, pattern: str) -> None:
+    def __init__(self, data: bytes, pattern: str, cache: int = CACHE) -> None:
         import duckdb
         import regex
 
         self.ranks = parse_ranks(data)
         self.pattern = regex.compile(pattern)
-        self.words, self.decoded = Memory(), Memory()
+        self.words, self.decoded = Memory(cache), Memory(cache)
         self.tokens = {t: np.array([r], np.int32).tobytes() for t, r in self.ranks.items()}
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "256MB", "temp_directory": ""})
         names = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]})
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         a, b, m = zip(*pairs, strict=True) if pairs else ((), (), ())
         rows = pa.table({"pair": np.array(a, np.int64) * (1 << 32) + np.array(b, np.int64), "merged": pa.array(m, pa.int32())})
-        self.pairs = {(x, y): z for x, y, z in pairs}
+        self._pairs: dict[tuple[int, int], int] = {}
         for name, rel in (("vocabulary", names), ("merges", rows)):
             self.db.register("given", rel)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -139,9 +140,11 @@ class Codec:
 
     def _heap(self, ids: list[int]) -> list[int]:
         """The same contraction in n log n: the leftmost pair of the smallest rank first."""
+        if not self._pairs:
+            self._pairs = {(p >> 32, p & 0xFFFFFFFF): m for p, m in self.db.sql("SELECT pair, merged FROM merges").fetchall()}
         n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self._pairs.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -152,7 +155,7 @@ class Codec:
             if after[i] < n:
                 before[after[i]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (s := self.pairs.get((ids[x], ids[y]))) is not None:
+                if x >= 0 and y < n and (s := self._pairs.get((ids[x], ids[y]))) is not None:
                     heapq.heappush(heap, (s, x, ids[x], ids[y]))
         return [x for x, keep in zip(ids, alive, strict=True) if keep]
 
@@ -237,15 +240,15 @@ def split_at_spaces(text: str) -> list[str]:
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
+_codecs: dict[tuple[int, str, int], Codec] = {}
 
 
-def codec(data: bytes, pattern: str) -> Codec:
-    """This worker's codec for a rank file."""
-    key = (hash(data), pattern)
+def codec(data: bytes, pattern: str, cache: int = CACHE) -> Codec:
+    """This worker's codec for a rank file. cache: words in a generation of what it remembers, about 200 bytes each."""
+    key = (hash(data), pattern, cache)
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(data, pattern)
+        _codecs[key] = Codec(data, pattern, cache)
     return _codecs[key]
 
 
@@ -257,17 +260,18 @@ def read_ranks(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).first()["content"])
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, cache: int = CACHE, slice_bytes: int = 4 << 20) -> DataFrame:
     """docs (text, ...) -> the same columns and ids array<int>; a column ids is replaced.
 
-    A null text has the ids of an empty one: none.
+    A null text has the ids of an empty one: none. cache and slice_bytes bound a worker's
+    memory; they change its speed only.
     """
     docs = docs.drop("ids")
     data = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(data.value, pattern)
-        for batch in sliced(batches, "text", 4 << 20):
+        c = codec(data.value, pattern, cache)
+        for batch in sliced(batches, "text", slice_bytes):
             yield batch.append_column("ids", lists_of(c.encode(batch.column("text").to_pylist())))
 
     from pyspark.sql.types import ArrayType, IntegerType, StructType

@@ -277,14 +277,15 @@ def _pairs_of_tile(rows: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
 
-def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def join(docs: DataFrame, words: int = 5, percent: int = 80, tile_rows: int = TILE_ROWS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id; one row for each row.
 
     Null and empty texts, or texts of white space, have no set and link with
     nothing: their component is their own doc_id. Fewer words than ``words`` are one
     shingle. Rows with the same doc_id are one document, linked if any of its texts
     is. A null doc_id links nothing; its component is that of its set, or null. No
-    rows give no rows; other columns are ignored.
+    rows give no rows; other columns are ignored. tile_rows: rows of a group of tiles; in
+    larger groups fewer of a pair's tiles repeat it, in smaller ones a task needs less memory.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = materialize(shingle_sets(docs, words, percent), "shingle-sets")
@@ -320,7 +321,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         few = few.join(_small(hook), F.col("comp") == F.col("hi"), "left").withColumn("comp", F.coalesce("lo", "comp")).drop("hi", "lo")
     edges = materialize(edges, "shingle-links")
     labels = components(edges)
-    pairs = materialize(_tile_pairs(tiles, bits, labels, percent), "shingle-pairs")
+    pairs = materialize(_tile_pairs(tiles, bits, labels, percent, tile_rows), "shingle-pairs")
     if not pairs.isEmpty():
         edges = materialize(edges.unionByName(verify(pairs, docs, words, percent)), "shingle-links")
         labels = components(edges)
@@ -357,16 +358,16 @@ def _may_link(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, hi long, lo long")
 
 
-def _tile_pairs(tiles: DataFrame, bits: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _tile_pairs(tiles: DataFrame, bits: DataFrame, labels: DataFrame, percent: int, tile_rows: int) -> DataFrame:
     """All pairs of different components that share a tile and may link by size and bitmap."""
     rows = _labelled(tiles, labels)
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
     rows = materialize(rows.join(mixed, "key", "left_semi"), "shingle-mixed")
-    parts = rows.count() // TILE_ROWS + 1
+    parts = rows.count() // tile_rows + 1
     rows = _with_bits(rows, bits)
     b = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
     # A large tile is parted into each band with the next one; a pair counts in the tile of its lower member.
-    bands = F.when(F.col("rows") > TILE_ROWS // 25, F.array(b, b - 1)).otherwise(F.array(F.lit(-1)))
+    bands = F.when(F.col("rows") > tile_rows // 25, F.array(b, b - 1)).otherwise(F.array(F.lit(-1)))
     rows = rows.withColumn("band", F.explode(bands)).withColumn("own", F.col("band").isin(-1) | (F.col("band") == b))
     rows = rows.withColumn("tile", F.expr(f"pmod(xxhash64(key), {parts})"))
     return (

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import sliced
+from tickloom.llm.common import sliced, trim
 
 #: Bound of the labelled sample that the model is fitted on.
 MAX_TRAIN_DOCS = 12_000
@@ -86,12 +86,18 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int
     if not len(docs) or not len(y):
         return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)), -10.0)
     counts = np.array([len(d) for d in docs])
-    flat = np.concatenate(docs) if counts.sum() else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(docs)), counts)
-    pairs = np.unique(np.stack([flat, owner]), axis=1)
-    terms, where = np.unique(pairs[0], return_inverse=True)
-    df = np.bincount(where, minlength=len(terms)).astype(float)
-    hits = np.bincount(where, weights=y[pairs[1]], minlength=len(terms))
+    flat = np.concatenate(docs).astype(np.int32, copy=False) if counts.sum() else np.zeros(0, np.int32)
+    owner = np.repeat(np.arange(len(docs), dtype=np.int32), counts)
+    # (term, document) as one number, sorted in place: memory stays near that of the terms themselves.
+    pairs = flat.astype(np.int64) << 32
+    pairs |= owner
+    pairs.sort()
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+    first = np.flatnonzero(np.diff(pairs >> 32, prepend=-1))
+    terms = pairs[first] >> 32
+    df = np.diff(np.append(first, len(pairs))).astype(float)
+    hits = np.add.reduceat(y[pairs & 0xFFFFFFFF], first) if len(first) else np.zeros(0)
+    del pairs
     n1, n0 = y.sum(), len(y) - y.sum()
     a, c = (hits + 0.5) / (n1 + 1), (df - hits + 0.5) / (n0 + 1)
     z = np.abs(np.log(a / c)) / np.sqrt(1 / (hits + 0.5) + 1 / (df - hits + 0.5))
@@ -99,10 +105,17 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int
     keep = np.sort(np.argsort(-z, kind="stable")[:MAX_TERMS])
     keep = keep[z[keep] > 2.5]
     terms = terms[keep]
-    at = np.searchsorted(terms, flat)
-    at[at >= len(terms)] = 0
-    known = terms[at] == flat if len(terms) else np.zeros(len(flat), bool)
-    at, owner = at[known], owner[known]
+    # Places of the instances of kept terms, block by block.
+    known_at, known_owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for lo in range(0, len(flat) if len(terms) else 0, 1 << 20):
+        part = flat[lo : lo + (1 << 20)]
+        at = np.searchsorted(terms, part)
+        at[at >= len(terms)] = 0
+        known = terms[at] == part
+        known_at.append(at[known])
+        known_owner.append(owner[lo : lo + (1 << 20)][known])
+    del flat, owner
+    at, owner = np.concatenate(known_at), np.concatenate(known_owner)
     counts = np.bincount(owner, minlength=len(docs))
     offsets = np.concatenate([[0], np.cumsum(counts)])
     rng = np.random.default_rng(seed)
@@ -149,7 +162,7 @@ def score_words(model: Model, docs: list[set[str]], rows: dict[str, tuple[int, .
             found = rows.get(w)
             if found is None:
                 found = tuple(i for t in term_ids(w) if (i := table.get(t)) is not None)
-                if len(rows) > 500_000:
+                if len(rows) > 150_000:
                     rows.clear()
                 rows[w] = found
             if found:
@@ -188,8 +201,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         return fit([], y)
     if isinstance(terms, pa.ChunkedArray):
         terms = pa.concat_arrays(terms.chunks)
-    values, offsets = terms.flatten().to_numpy().astype(np.int64), terms.offsets.to_numpy() - terms.offsets[0].as_py()
-    return fit([values[offsets[i] : offsets[i + 1]] for i in range(len(y))], y)
+    values, offsets = terms.flatten().to_numpy(), terms.offsets.to_numpy() - terms.offsets[0].as_py()
+    model = fit([values[offsets[i] : offsets[i + 1]] for i in range(len(y))], y)
+    del got, terms, values
+    trim()
+    return model
 
 
 def held_out(doc_id: Column) -> Column:
