@@ -155,6 +155,37 @@ def test_near_dedup_finds_planted_groups(spark):
     assert dedup.dedup(df.limit(0)).count() == 0
 
 
+def lone_pairs(n, share, dim=48):
+    """n vectors round one direction, so buckets are large, with lone pairs just over cosine 0.95."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((n, dim)) + 0.9
+    m = int(n * share)
+    y = x[:m] / np.linalg.norm(x[:m], axis=1, keepdims=True)
+    z = rng.standard_normal((m, dim))
+    z -= (z * y).sum(axis=1, keepdims=True) * y
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    x[n - m :] = 0.953 * y + np.sqrt(1 - 0.953**2) * z
+    return x, m
+
+
+def test_near_dedup_connects_lone_pairs(spark):
+    x, m = lone_pairs(12_000, 0.1)
+    df = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in dedup.dedup(df).collect()}
+    assert np.mean([got[i] == got[len(x) - m + i] for i in range(m)]) >= dedup.RECALL - 0.005
+
+
+def test_near_dedup_fails_under_its_recall(spark, monkeypatch):
+    assert [dedup._tables(b, 0.95) for b in (7, 12, 16)] == [9, 17, 27]
+    asked = []
+    monkeypatch.setattr(dedup, "PLANES", 2)
+    monkeypatch.setattr(dedup, "recall", lambda *a: asked.append(1) or 0.9)
+    df = spark.createDataFrame([(i, [1.0, i / 50]) for i in range(60)], "vec_id long, embedding array<double>")
+    with pytest.raises(dedup.RecallError, match="0.9"):
+        dedup.dedup(df)
+    assert len(asked) == 2
+
+
 # --- mixing ---------------------------------------------------------------------------------------
 
 

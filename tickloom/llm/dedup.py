@@ -1,26 +1,32 @@
 """Embedding near-dedup by NN-descent.
 
 Like vectors become one node with a weight. Every node keeps a list of its nearest
-known nodes. The lists start from blocks of random-hyperplane buckets; then, round by
-round, the nodes in a node's neighbourhood (its list and the lists it is in) are
+known nodes. The lists start from blocks of random-hyperplane buckets, in as many
+tables as START of the pairs at the threshold need to share one; then, round by round, the nodes in a node's neighbourhood (its list and the lists it is in) are
 compared with each other, so neighbours of neighbours become neighbours. Only
 neighbourhoods with a new edge are joined again. A list whose last entry still reaches
 the threshold is saturated and is allowed to grow to twice its length.
 
-Each round also audits recall: for a bounded sample of nodes all links are found by
-comparing with every node, and the share whose ends the graph connects is its recall.
-Rounds go on until recall is RECALL and the number of near pairs settles.
+Recall is audited: for a sample of nodes all links are found by comparing with every
+node. The sample grows with the square root of the table, and further until enough of
+its nodes have links. Recall is the share of those nodes that the graph connects with
+all they link with, so a lone pair weighs as much as a member of a large group. Rounds
+go on until the number of near pairs settles; while recall is under RECALL, new planes
+start over on the lists so far, and after PLANES of them RecallError is raised.
 
 Edges at the threshold give components. Members of a component are then compared with
 each other in blocks, so n_links is the number of all links within it, whatever the
 lists held. Sums are emitted, never the pairs.
 
-Hubs and large buckets are split at random into blocks, anew in every round, so no
+Large buckets are split by further planes, which part like vectors least; what still is
+large, and hubs, are split at random into blocks, anew in every round and table, so no
 neighbour is left out for good and no task takes an unbounded group.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +38,33 @@ from tickloom.llm.common import materialize
 from tickloom.llm.graph import components
 from tickloom.llm.knn import usable
 
-#: Length of a list at first, nodes of a block, tables of hyperplanes, and rounds at most.
-NEIGHBOURS, BLOCK, TABLES, ROUNDS = 6, 48, 6, 8
-#: Nodes whose links are audited, and the share that must be found.
+#: Length of a list at first, nodes of a block, rounds at most for one set of planes, and sets of planes at most.
+NEIGHBOURS, BLOCK, ROUNDS, PLANES = 6, 48, 8, 6
+#: Share of the pairs at the threshold that meet in a bucket of the first planes.
+START = 0.995
+#: Tables of one set of planes at most: 0.95 needs them from 20 billion vectors on, low thresholds sooner; the audit then asks for more sets.
+TABLES = 128
+#: Nodes with links that are audited at least, and the share that must be found.
 AUDIT, RECALL = 200, 0.995
+#: Bits of a bucket's code; those past a table's own part its large buckets.
+BITS = 48
 #: Members of a component in one block of the final comparison.
 PART = 1024
 
 
+log = logging.getLogger(__name__)
+
+
+class RecallError(RuntimeError):
+    """The audited recall stayed under RECALL."""
+
+
+def _tables(bits: int, threshold: float) -> int:
+    """Tables of hyperplanes in which START of the pairs at the threshold share a bucket of so many bits."""
+    alike = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if alike >= START else min(TABLES, math.ceil(math.log(1 - START) / math.log1p(-max(alike, 1e-9))))
+
+
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     rows = column.to_pylist()
     x = np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
@@ -90,51 +115,78 @@ def _blockwise(rows: DataFrame) -> DataFrame:
 def _blocks(rows: DataFrame, key: list[str], seed: int) -> DataFrame:
     """Add block: rows of a key in parts of about BLOCK, at random but the same in every rerun."""
     sizes = rows.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts"))
+    part = F.pmod(F.xxhash64("id", *key, F.lit(seed)), F.col("parts"))
     return rows.join(sizes, key).withColumn("block", F.xxhash64(*key, part)).drop("parts", *key)
 
 
-def _buckets(nodes: DataFrame, dims: list[int], bits: int, seed: int) -> DataFrame:
-    """(table, bucket, id): signs against random hyperplanes, for each table."""
+def _buckets(nodes: DataFrame, dims: list[int], bits: int, tables: int, seed: int) -> DataFrame:
+    """(table, dim, bucket, id): signs against random hyperplanes, for each table; a large bucket is parted by further planes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = {d: np.random.default_rng(seed + d).standard_normal((TABLES, bits, d)) for d in dims}
+        planes = {d: np.random.default_rng([seed, d]).standard_normal((tables, BITS, d)) for d in dims}
         for batch in batches:
             v, ids = batch.column("v").to_pylist(), batch.column("id").to_numpy()
             size = np.array([len(x) // 8 for x in v])
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
                 x = np.frombuffer(b"".join(v[i] for i in at), np.float64).reshape(len(at), d)
-                for k in range(TABLES):
-                    b = ((x @ planes[d][k].T > 0) << np.arange(bits)).sum(axis=1)
+                for k in range(tables):
+                    b = ((x @ planes[d][k].T > 0).astype(np.int64) << np.arange(BITS)).sum(axis=1)
                     yield pa.record_batch(
-                        [pa.array(np.full(len(at), k), pa.int32()), pa.array(b * 4096 + d, pa.int64()), pa.array(ids[at])], names=["table", "bucket", "id"]
+                        [pa.array(np.full(len(at), k), pa.int32()), pa.array(np.full(len(at), d), pa.int32()), pa.array(b, pa.int64()), pa.array(ids[at])], names=["table", "dim", "code", "id"]
                     )
 
-    return nodes.select("id", "v").mapInArrow(run, "table int, bucket long, id long")
+    rows = nodes.select("id", "v").mapInArrow(run, "table int, dim int, code long, id long")
+    first = lambda n: F.col("code").bitwiseAND(F.expr(f"shiftleft(1L, {n}) - 1"))
+    rows = rows.withColumn("own", first(bits))
+    key = ["table", "dim", "own"]
+    deep = F.least(F.lit(BITS), bits + F.ceil(F.log2(F.count("*") * 2 / BLOCK))).cast("int")
+    sizes = rows.groupBy(*key).agg(F.when(F.count("*") > BLOCK, deep).otherwise(bits).alias("depth"))
+    rows = rows.join(sizes, key)
+    return rows.select("table", "dim", F.xxhash64("depth", first("depth")).alias("bucket"), "id")
 
 
-def _audit(nodes: DataFrame, threshold: float) -> DataFrame:
-    """All links (a, b) of a bounded sample of nodes, against every node."""
-    sample = nodes.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(AUDIT).select("id", "v").toArrow()
-    own = [(int(i), np.frombuffer(v, np.float64)) for i, v in zip(sample.column("id").to_pylist(), sample.column("v").to_pylist(), strict=True)]
-    dims = {d: ([i for i, v in own if len(v) == d], np.array([v for _, v in own if len(v) == d])) for d in {len(v) for _, v in own}}
+def _links(nodes: DataFrame, sample: int, threshold: float) -> DataFrame:
+    """All links (a, b) of a sample of nodes, against every node."""
+    taken = nodes.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample).select("id", "v").toArrow()
+    own = [(int(i), np.frombuffer(v, np.float64)) for i, v in zip(taken.column("id").to_pylist(), taken.column("v").to_pylist(), strict=True)]
+    dims = {d: (np.array([i for i, v in own if len(v) == d]), np.array([v for _, v in own if len(v) == d])) for d in {len(v) for _, v in own}}
+    data = nodes.sparkSession.sparkContext.broadcast({d: (i, x / np.sqrt((x * x).sum(1, keepdims=True))) for d, (i, x) in dims.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v, ids = batch.column("v").to_pylist(), batch.column("id").to_numpy()
             size = np.array([len(x) // 8 for x in v])
-            for d, (mine, x) in dims.items():
-                at = np.flatnonzero(size == d)
-                if len(at):
-                    s = (x / np.sqrt((x * x).sum(1, keepdims=True))) @ _unit(pa.array([v[i] for i in at])).T
+            for d, (mine, x) in data.value.items():
+                of = np.flatnonzero(size == d)
+                # No more than 32 MB of products at once.
+                step = max(1, (4 << 20) // len(mine))
+                for lo in range(0, len(of), step):
+                    at = of[lo : lo + step]
+                    s = x @ _unit(pa.array([v[i] for i in at])).T
                     i, j = np.nonzero(s >= threshold)
-                    a, b = np.array(mine)[i], ids[at][j]
+                    a, b = mine[i], ids[at][j]
                     yield pa.record_batch([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64())], names=["a", "b"])
 
     return nodes.select("id", "v").mapInArrow(run, "a long, b long")
 
 
+def _audit(nodes: DataFrame, n: int, threshold: float) -> tuple[DataFrame, int]:
+    """Links (a, b) of sampled nodes and how many of these have any: at least AUDIT and the root of n, if the largest sample holds them."""
+    root = math.isqrt(n)
+    want, most = max(AUDIT, root), max(100 * AUDIT, 16 * root)
+    sample = 4 * want
+    while True:
+        audit = materialize(_links(nodes, sample, threshold), "near-audit")
+        linked = audit.select("a").distinct().count()
+        if linked >= want or sample >= min(n, most):
+            break
+        sample = min(4 * sample, most)
+    if linked < want and sample < n:
+        log.warning("near-dedup: of %d audited nodes only %d have links; recall is known from these", sample, linked)
+    return audit, linked
+
+
 def _counted(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """(id, links): other vectors that each node of a component links with; like vectors count each."""
     members = nodes.join(labels, "id")
@@ -189,6 +241,40 @@ def _improve(graph: DataFrame, found: DataFrame, threshold: float, base: int) ->
     return pairs.drop("i")
 
 
+def connect(nodes: DataFrame, n: int, dims: list[int], threshold: float, neighbours: int, seed: int) -> tuple[DataFrame, DataFrame, float]:
+    """The lists of n nodes (id, v), the audited links and the recall of the lists, which is RECALL at least."""
+    bits = max(1, min(40, math.ceil(math.log2(max(n, 2) / 24))))
+    tables = _tables(bits, threshold)
+    lists = lambda rows: rows.join(nodes.select("id", "v"), "id")
+    audit, linked = _audit(nodes, n, threshold)
+    graph = nodes.sparkSession.createDataFrame([], "u long, v long, sim double, fresh int, keep int")
+    reached = 0.0
+    for planes in range(PLANES):
+        start = _blocks(_buckets(nodes, dims, bits, tables, seed + planes), ["table", "dim", "bucket"], seed + planes)
+        found = _blockwise(lists(start.withColumn("worst", F.lit(-1.0)).withColumn("keep", F.lit(neighbours))))
+        graph = materialize(_improve(graph, found, threshold, neighbours), "near-lists")
+        before = -1
+        for k in range(ROUNDS):
+            near = graph.filter(F.col("sim") >= threshold)
+            pairs = near.count()
+            if k > 1 and pairs <= before * 1.001:
+                break
+            before = pairs
+            both = graph.select("u", F.col("v").alias("id"), "fresh").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("id"), "fresh"))
+            both = both.groupBy("u", "id").agg(F.max("fresh").alias("fresh"))
+            touched = both.groupBy("u").agg(F.max("fresh").alias("any")).filter("any = 1").select("u")
+            around = _blocks(both.join(touched, "u", "left_semi").select("u", "id"), ["u"], planes * ROUNDS + k)
+            state = graph.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("n"), F.max("keep").alias("keep"))
+            state = state.select(F.col("u").alias("id"), F.when(F.col("n") >= F.col("keep"), F.col("low")).otherwise(-1.0).alias("worst"), "keep")
+            found = _blockwise(lists(around.join(state, "id")))
+            graph = materialize(_improve(graph, found, threshold, neighbours), "near-lists")
+        reached = recall(graph.filter(F.col("sim") >= threshold), audit, linked)
+        log.info("near-dedup: %d nodes, %d tables, planes %d: recall %.4f of %d audited nodes with links", n, tables, planes + 1, reached, linked)
+        if reached >= RECALL:
+            return graph, audit, reached
+    raise RecallError(f"near-dedup reached a recall of {reached:.4f} after {PLANES} sets of planes; {RECALL} is asked")
+
+
 def dedup(vectors: DataFrame, threshold: float = 0.95, neighbours: int = NEIGHBOURS, seed: int = 11) -> DataFrame:
     """vectors (vec_id, embedding) -> vec_id, n_links, component_id, kept, for every row.
 
@@ -197,8 +283,8 @@ def dedup(vectors: DataFrame, threshold: float = 0.95, neighbours: int = NEIGHBO
     different lengths don't link. A repeated row (same vec_id, same vector) counts
     once as a link of others; rows that share a vec_id are one vertex. A null vec_id
     links with nothing and keeps a null component. No rows give no rows.
+    RecallError is raised when the audited recall stays under RECALL.
     """
-    spark = vectors.sparkSession
     good = F.col("vec_id").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
     rows = materialize(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, F.col("embedding").cast("array<double>")).alias("e")), "near-rows")
     valid = rows.filter("e is not null").distinct()
@@ -213,29 +299,7 @@ def dedup(vectors: DataFrame, threshold: float = 0.95, neighbours: int = NEIGHBO
     member = rows.join(nodes_of(valid), rows["e"].eqNullSafe(F.col("e_")), "left").select("vec_id", F.col("rep"))
     n = nodes.count()
     dims = [r[0] // 8 for r in nodes.select(F.length("v")).distinct().limit(4096).collect()]
-    bits = max(1, min(40, int(np.ceil(np.log2(max(n, 2) / 24)))))
-    start = _blocks(_buckets(nodes, dims, bits, seed), ["table", "bucket"], seed)
-    lists = lambda rows: rows.join(nodes.select("id", "v"), "id")
-    found = _blockwise(lists(start.withColumn("worst", F.lit(-1.0)).withColumn("keep", F.lit(neighbours))))
-    empty = spark.createDataFrame([], "u long, v long, sim double, keep int")
-    graph = materialize(_improve(empty, found, threshold, neighbours), "near-lists")
-    audit = materialize(_audit(nodes, threshold), "near-audit")
-    links = audit.count()
-    before = -1
-    for k in range(ROUNDS):
-        near = graph.filter(F.col("sim") >= threshold)
-        pairs = near.count()
-        if k > 1 and pairs <= before * 1.001 and recall(near, audit, links) >= RECALL:
-            break
-        before = pairs
-        both = graph.select("u", F.col("v").alias("id"), "fresh").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("id"), "fresh"))
-        both = both.groupBy("u", "id").agg(F.max("fresh").alias("fresh"))
-        touched = both.groupBy("u").agg(F.max("fresh").alias("any")).filter("any = 1").select("u")
-        around = _blocks(both.join(touched, "u", "left_semi").select("u", "id"), ["u"], k)
-        state = graph.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("n"), F.max("keep").alias("keep"))
-        state = state.select(F.col("u").alias("id"), F.when(F.col("n") >= F.col("keep"), F.col("low")).otherwise(-1.0).alias("worst"), "keep")
-        found = _blockwise(lists(around.join(state, "id")))
-        graph = materialize(_improve(graph, found, threshold, neighbours), "near-lists")
+    graph, audit, _ = connect(nodes, n, dims, threshold, neighbours, seed)
     edges = graph.filter(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(audit)
     tied = member.filter("rep is not null").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")).join(several(member), "a", "left_semi")
     labels = materialize(components(edges.unionByName(tied)), "near-components")
@@ -255,10 +319,11 @@ def several(member: DataFrame) -> DataFrame:
     return member.filter("rep is not null").groupBy(F.col("vec_id").alias("a")).agg(F.countDistinct("rep").alias("n")).filter("n > 1").select("a")
 
 
-def recall(near: DataFrame, audit: DataFrame, links: int) -> float:
-    """Share of the audited links whose ends the near pairs connect."""
-    if not links:
+def recall(near: DataFrame, audit: DataFrame, linked: int) -> float:
+    """Share of the audited nodes with links that the near pairs connect with all they link with."""
+    if not linked:
         return 1.0
     labels = components(near.select(F.col("u").alias("a"), F.col("v").alias("b")))
     x, y = (labels.select(F.col("id").alias(c), F.col("component_id").alias(f"c{c}")) for c in "ab")
-    return audit.join(x, "a").join(y, "b").filter("ca = cb").count() / links
+    apart = F.max(F.when(F.col("ca") == F.col("cb"), 0).otherwise(1))
+    return audit.join(x, "a", "left").join(y, "b", "left").groupBy("a").agg(apart.alias("apart")).filter("apart = 0").count() / linked
