@@ -252,3 +252,16 @@ def test_pii_odd_rows(spark):
 def test_pii_runs_no_python(spark, sf):
     plan = queries.QUERIES["op9_sanitise"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_pii_terms_of_rare_entities(spark):
+    texts = [
+        "Write to Ann Zubrova at a.zubrova@mail.example for the notes of the day",  # one text; the address spells the name
+        "the notes of the day by Li Wu, +1 202 555 0143",  # two texts, beside
+        "Li Wu can be asked again about the plan (+1 202 555 0143)",
+        "the plan and its quixotic notes " + "and more words " * 20 + "lone@mail.example",  # one text, one window, far away
+    ] + ["Ann has the notes of the day and the plan of another at hand"] * 40
+    got = {r["doc_id"]: r["redacted"] for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert got[0].startswith("Write to Ann [TERM] at [EMAIL] for the notes")
+    assert got[1] == "the notes of the day by [TERM] [TERM], [PHONE]" and got[2].startswith("[TERM] [TERM] can be asked")
+    assert "quixotic" in got[3] and got[4] == texts[4]

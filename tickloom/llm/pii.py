@@ -8,15 +8,21 @@ entity: with documents that hold entity e, term t or both,
 
 PMI reaches IC when every document with t has e. A term is a disclosure in the
 documents with e from PMI >= DISCLOSURE * IC on; it is generalised to [TERM] as
-the entity is to its kind. Evidence counts only from SUPPORT different texts on.
+the entity is to its kind. It takes SUPPORT pieces of evidence, of which there are three
+sorts: a different text that holds both is one; so is a different window of NEAR
+characters round an occurrence of e that holds t; a t of three characters or more within
+an address (mailbox name, or domain without its last label) is two. So a name beside an
+address needs two texts or two windows, and one that the address spells needs one text.
+Terms are words of two letters or digits or more, outside the spans; a run of letters
+without spaces, as in CJK, is one word.
 
 DataFrame functions only. Where a pattern of the contract would backtrack or
 recurse on long input, an equal one in linear time stands in: possessive loops
 over character classes, and a start that is no continuation of an earlier try.
 
-Scale: entities and terms under SUPPORT are dropped before they are paired (no
-pair with more support is lost), so pairs follow recurring entities only. All
-counts combine before the shuffle. Copies of a text are paired once, weighted.
+Scale: entities and terms in SUPPORT texts or more are paired by text. Where either is
+in fewer, pairs start from windows and addresses and follow the rarer of the two, so
+their number stays in proportion to the occurrences. All counts combine before the shuffle. Copies of a text are paired once, weighted.
 Only documents with entities are stored aside and joined; clean ones stream.
 """
 
@@ -31,8 +37,10 @@ from tickloom.llm.common import materialize
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information from which a term reveals it.
 DISCLOSURE = 0.9
-#: Different texts that must hold an entity and a term together.
+#: Pieces of evidence that an entity and a term need together.
 SUPPORT = 3
+#: Characters on either side of an occurrence that make its window.
+NEAR = 60
 
 #: Stands for a dot that no domain label follows; in a text it counts as U+FFFD.
 STOP = "￾"
@@ -43,7 +51,8 @@ IP_VALID = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])\.){3}0*(?:[0-9]{
 DIGITS = r"[0-9][0-9\x20-]{11,}+"
 PARTS = r"[\x20-]{2,}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"\p{L}{4,}"
+WORD = r"\p{L}\p{M}\p{N}"
+TERM = rf"[{WORD}]{{2,}}+"
 
 SPANS = "array<struct<start:int,rank:int,end:int,value:string>>"
 
@@ -133,34 +142,71 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["rank"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _entities(spans: Column) -> Column:
-    """Entities of spans: kind and normal form."""
-    normal = lambda x: F.when(x["rank"] < 2, F.lower(x["value"])).otherwise(_digits(x["value"]))
-    return F.array_distinct(F.transform(spans, lambda x: F.concat(x["rank"].cast("string"), F.lit(":"), normal(x))))
+def _entity(x: Column) -> Column:
+    """Kind and normal form of a span."""
+    normal = F.when(x["rank"] < 2, F.lower(x["value"])).otherwise(_digits(x["value"]))
+    return F.concat(x["rank"].cast("string"), F.lit(":"), normal)
 
 
 def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of its spans, of the same length."""
+
+    def step(s: Column, x: Column) -> Column:
+        start = F.greatest(x["start"], s["at"])
+        between = F.substring(text, s["at"] + 1, start - s["at"])
+        moved = F.struct(x["end"].alias("at"), F.concat(s["out"], between, F.repeat(F.lit(" "), x["end"] - start)).alias("out"))
+        return F.when(x["end"] <= s["at"], s).otherwise(moved)
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def _window(outside: Column, x: Column) -> Column:
+    """Terms of the window round a span, sorted; words that its ends cut are left out."""
+    start = F.greatest(x["start"] - NEAR, F.lit(0))
+    cut = F.substring(F.concat(F.lit(" "), outside, F.lit(" ")), start + 1, x["end"] + NEAR + 2 - start)
+    return F.array_sort(_terms(F.regexp_replace(cut, rf"^[{WORD}]++|(?<![{WORD}])[{WORD}]++$", "")))
+
+
 def disclosures(held: DataFrame, docs: DataFrame, disclosure: float, support: int) -> DataFrame:
     """(text_key, revealing): the terms of each text that reveal one of its entities.
 
-    held: text_key, entities and text_ of the documents with entities; docs: all
-    documents (text_). Copies of a text count as documents but as one piece of
-    evidence.
+    held: text_key, base and outside of the documents with entities; docs: outside of
+    all documents. Copies of a text count as documents but as one piece of evidence.
     """
-    texts = held.groupBy("text_key").agg(F.count("*").alias("m"), F.first("entities").alias("entities"), F.first("text_").alias("text_"))
-    texts = materialize(texts.select("text_key", "m", "entities", _terms(F.col("text_")).alias("terms")), "pii-texts")
-    entity = texts.select("text_key", "m", F.explode("entities").alias("e"))
-    known = entity.groupBy("e").agg(F.count("*").alias("texts"), F.sum("m").alias("df_e")).filter(F.col("texts") >= support)
-    entity = materialize(entity.join(known.drop("texts"), "e"), "pii-entities")
-    term = texts.join(entity.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.explode("terms").alias("t"))
-    frequent = term.groupBy("t").agg(F.count("*").alias("texts")).filter(F.col("texts") >= support).select("t")
-    term = term.join(frequent, "t", "left_semi")
-    pairs = entity.join(term, "text_key").groupBy("e", "t").agg(F.count("*").alias("texts"), F.sum("m").alias("df_et"), F.first("df_e").alias("df_e"))
-    pairs = materialize(pairs.filter(F.col("texts") >= support).drop("texts"), "pii-pairs")
-    df_t = docs.select(F.explode(_terms(F.coalesce(F.col("text_"), F.lit("")))).alias("t"))
+    texts = held.groupBy("text_key").agg(F.count("*").alias("m"), F.first("base").alias("base"), F.first("outside").alias("outside"))
+    seen = F.transform("base", lambda x: F.struct(_entity(x).alias("e"), _window(F.col("outside"), x).alias("window")))
+    texts = materialize(texts.select("text_key", "m", seen.alias("seen"), _terms(F.col("outside")).alias("terms")), "pii-texts")
+    places_ = texts.select("text_key", "m", F.explode("seen").alias("x")).select("text_key", "m", "x.e", "x.window").distinct()
+    places_ = materialize(places_, "pii-windows")
+    entity = places_.select("text_key", "m", "e").distinct()
+    known = entity.groupBy("e").agg(F.count("*").alias("texts_e"), F.sum("m").alias("df_e"))
+    entity = materialize(entity.join(known, "e"), "pii-entities")
+    term = texts.select("text_key", F.explode("terms").alias("t"))
+    counted = materialize(term.groupBy("t").agg(F.count("*").alias("texts_t")), "pii-terms")
+    common, often = entity.filter(F.col("texts_e") >= support), counted.filter(F.col("texts_t") >= support).select("t")
+    usual = common.join(term.join(common.select("text_key").distinct(), "text_key", "left_semi").join(often, "t", "left_semi"), "text_key")
+    usual = usual.groupBy("e", "t").agg(F.count("*").alias("texts"), F.sum("m").alias("df_et"), F.first("df_e").alias("df_e"))
+    usual = usual.filter(F.col("texts") >= support).select("e", "t", "df_et", "df_e")
+    # Windows and addresses. A term of an address need not be in its window.
+    near = places_.select("e", F.col("window"), F.lit(1).alias("one")).distinct().select("e", F.explode("window").alias("t"), "one", F.lit(0).alias("spelt"))
+    spelling = F.regexp_replace(F.substring("e", 3, 1 << 20), r"\.[^.@]*$", "")
+    spelt = entity.filter("e like '0:%'").join(texts.select("text_key", "terms"), "text_key")
+    spelt = spelt.select("e", F.explode(F.filter("terms", lambda t: (F.length(t) >= 3) & F.contains(spelling, t))).alias("t"), F.lit(0).alias("one"), F.lit(2).alias("spelt"))
+    hints = near.unionByName(spelt).groupBy("e", "t").agg(F.sum("one").alias("near"), F.max("spelt").alias("spelt"))
+    hints = hints.join(known, "e").join(counted, "t").filter((F.col("texts_e") < support) | (F.col("texts_t") < support))
+    hints = materialize(hints.filter(F.col("near") + F.col("spelt") + F.least("texts_e", "texts_t") >= support), "pii-hints")
+    by_entity = hints.filter(F.col("texts_e") < support).join(entity.select("e", "text_key", "m"), "e").join(term, ["text_key", "t"])
+    by_term = hints.filter(F.col("texts_e") >= support).join(term, "t").join(entity.select("e", "text_key", "m"), ["text_key", "e"])
+    rare = by_entity.select("e", "t", "m", "near", "spelt", "df_e").unionByName(by_term.select("e", "t", "m", "near", "spelt", "df_e"))
+    rare = rare.groupBy("e", "t", "near", "spelt", "df_e").agg(F.count("*").alias("texts"), F.sum("m").alias("df_et"))
+    rare = rare.filter(F.col("near") + F.col("spelt") + F.col("texts") >= support).select("e", "t", "df_et", "df_e")
+    pairs = materialize(usual.unionByName(rare), "pii-pairs")
+    df_t = docs.select(F.explode(_terms(F.coalesce(F.col("outside"), F.lit("")))).alias("t"))
     # An inner join below, as a semi join would be pushed under the counts and shuffle every word.
     df_t = df_t.groupBy("t").agg(F.count("*").alias("df_t"))
     n = F.lit(float(docs.count()))
@@ -182,10 +228,11 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     names = docs.columns
     tagged = docs.withColumn("text_", F.col("text")).withColumn("base", base_spans(F.col("text")))
     held = tagged.filter(F.size("base") > 0)
-    held = materialize(held.withColumn("entities", _entities(F.col("base"))).withColumn("text_key", F.sha2(F.col("text_"), 256)), "pii-held")
-    found = disclosures(held.select("text_key", "entities", "text_"), tagged.select("text_"), disclosure, support)
+    held = materialize(held.withColumn("outside", _outside(F.col("text_"), F.col("base"))).withColumn("text_key", F.sha2(F.col("text_"), 256)), "pii-held")
+    free = tagged.filter(F.size("base") == 0).select(F.col("text_").alias("outside"))
+    found = disclosures(held.select("text_key", "base", "outside"), free.unionByName(held.select("outside")), disclosure, support)
     held = held.join(found, "text_key", "left")
-    either = F.concat(F.lit(r"(?i)(?u)(?<!\p{L})(?:"), F.array_join("revealing", "|"), F.lit(r")(?!\p{L})"))
+    either = F.concat(F.lit(rf"(?i)(?u)(?<![{WORD}])(?:"), F.array_join("revealing", "|"), F.lit(rf")(?![{WORD}])"))
     terms = F.when(F.col("revealing").isNull(), _none()).otherwise(places(F.col("text_"), either, len(KINDS)))
     apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     held = held.withColumn("spans", F.array_sort(F.concat("base", F.filter(terms, apart))))
