@@ -98,6 +98,51 @@ def test_bpe_as_the_library_would(spark, sf, reference):
     assert c.decode(ids[:300]) == decoded[:300]
 
 
+def test_bpe_long_words(reference, monkeypatch):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n, a=letters: "".join(rng.choice(a) for _ in range(n))
+    texts = [" ".join(word(180) for _ in range(400)), word(20_000), "a" * 100_001, "abc" * 9_999, "aab" * 333, word(5_000, "漢字語中文日本大小"), word(3_000, "ACGT"), "é" * 4_000]
+    texts += [word(rng.randint(30, 400), rng.choice(["ab", "aab", "thein", "é漢a", "!?-", "xyzé"])) for _ in range(200)]
+    data = open(PATH, "rb").read()
+    want = [reference.encode_ordinary(t) for t in texts]
+    ids, decoded = bpe.Codec(data, PATTERN).round_trip(texts)
+    assert [x.tolist() for x in ids] == want and decoded == [t.encode() for t in texts]
+    # Blocks that need several queries, segments of a text, queries of few ids, and a cache that forgets at once.
+    for name, value in (("ROWS", 2_000), ("STEPS", 100), ("SEGMENT", 2_000), ("DECODED", 400)):
+        monkeypatch.setattr(bpe, name, value)
+    few = [texts[0][:20_000], *texts[4:60], " ".join(texts[8:40]) + "  x \n" * 50]
+    c = bpe.Codec(data, PATTERN, cache=1)
+    for t in few:
+        (x,), (d,) = c.round_trip([t])
+        assert x.tolist() == reference.encode_ordinary(t) and d == t.encode()
+
+
+def test_bpe_parts_a_block_that_does_not_fit(reference):
+    c = bpe.Codec(open(PATH, "rb").read(), PATTERN)
+    run, asked = c._run, []
+
+    def tight(query, name, rows):
+        asked.append(rows.num_rows)
+        if name == "start_rows" and rows.num_rows > 300:
+            raise c.full("no room")
+        return run(query, name, rows)
+
+    c._run = tight
+    text = " ".join("wxqzvkjq" + "".join("abcdefghij"[int(d)] for d in str(k)) for k in range(200))
+    assert c.encode([text])[0].tolist() == reference.encode_ordinary(text) and max(asked) > 300
+
+
+def test_bpe_of_other_patterns(reference):
+    data = open(PATH, "rb").read()
+    pattern = r"[a-z]+|[^a-z]+"
+    own = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=reference._mergeable_ranks, special_tokens={})
+    text = "some words, and 12 more WORDS " * 20
+    assert bpe.Codec(data, pattern).encode([text])[0].tolist() == own.encode_ordinary(text)
+    with pytest.raises(ValueError):
+        bpe.Codec(data, "[a-z]+").encode(["a b"])
+
+
 def test_bpe_query_digests(spark, sf, reference):
     got = {r["doc_id"]: r for r in queries.QUERIES["op5_bpe"](spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()

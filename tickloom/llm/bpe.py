@@ -4,9 +4,20 @@ Encoding. A text is cut into pre-tokens by the vocabulary's pattern. A pre-token
 is a token is done; the others become rows (word, position, token), one for each byte.
 A recursive query joins each row and its successor with the merge table and contracts
 the leftmost pair of the smallest rank of every word, until no word has a pair left.
-Words already seen come from a bounded cache, so the query runs over what is new in a
-slice of texts. A recursion takes one round for each merge, so pre-tokens over ``LONG``
-bytes are contracted by the same rule with a heap instead.
+Pairs of that rank further right are contracted in the same round where none can make a
+pair of a smaller rank, which the merge table tells beforehand. Words already seen come
+from a bounded cache, so the query runs over what is new in a slice of texts.
+
+Long pre-tokens. A recursion keeps the rows of all its rounds, so words of more than
+``CHUNK`` bytes are contracted in chunks by the same query. A sequence of tokens is a
+word's encoding if and only if each two neighbours are the encoding of their bytes: up to
+a first merge across a boundary, the tokens on its sides grow as if they were alone. So
+boundaries between chunks are checked, and where one fails a window round it is
+contracted anew, twice as wide each time, until all hold.
+
+Memory. A query has a bounded number of rows times rounds; a block that is not finished
+after its rounds goes on in the next query. The cache is bounded in bytes, and long texts
+are handled in segments.
 
 Decoding. The rows (text, position, id) join the vocabulary; an ordered aggregation
 concatenates their bytes.
@@ -19,7 +30,6 @@ worker reads it once, and gets its bytes from the driver.
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -29,31 +39,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm.common import sliced
 
-#: Bytes of a pre-token from which a heap does the merges.
-LONG = 192
-#: Words in a generation of what a worker remembers.
-CACHE = 600_000
-#: Words in one recursive query.
-BLOCK = 50_000
-
-#: A place is word * 256 + position; positions stay without gaps, so a row's successor is the next place.
+#: Bytes of a chunk of a long pre-token, and of the first window round a boundary, to each side.
+CHUNK, WINDOW = 32, 8
+#: Rows of one recursive query, and rows times rounds.
+ROWS, STEPS = 60_000, 4_000_000
+#: Ids of one decoding query.
+DECODED = 250_000
+#: Bytes in a generation of what a worker remembers, and what an entry costs besides its key and value.
+CACHE, ENTRY = 96 << 20, 180
+#: Characters of a segment of a long text.
+SEGMENT = 1 << 20
+
+#: A place is word * 2^32 + the position of a token's first byte; the successor's place is that plus the token's size.
 MERGE = """
-WITH RECURSIVE step(id, tok, open) AS (
-    SELECT word::BIGINT * 256 + pos, tok, true FROM start_rows
+WITH RECURSIVE step(id, size, tok, round, open) AS (
+    SELECT id, size, tok, 0, true FROM start_rows
   UNION ALL (
     WITH ranked AS (
-      SELECT s.id, s.tok, m.merged::BIGINT * 256 + (s.id & 255) AS place
+      SELECT s.id, s.id >> 32 AS word, s.size, s.tok, s.round, n.size AS more, m.merged, m.safe
       FROM step s
-      LEFT JOIN (SELECT id - 1 AS id, tok FROM step WHERE open) n ON n.id = s.id
+      LEFT JOIN (SELECT id, size, tok FROM step WHERE open) n ON n.id = s.id + s.size
       LEFT JOIN merges m ON m.pair = s.tok::BIGINT * 4294967296 + n.tok
-      WHERE s.open),
-    first_pair AS (SELECT id >> 8 AS word, min(place) AS best FROM ranked GROUP BY id >> 8)
-    SELECT CASE WHEN (id & 255) > (best & 255) THEN id - 1 ELSE id END,
-           CASE WHEN (id & 255) = (best & 255) THEN (best >> 8)::INTEGER ELSE tok END,
-           best IS NOT NULL
-    FROM ranked JOIN first_pair ON word = id >> 8
-    WHERE best IS NULL OR (id & 255) <> (best & 255) + 1))
-SELECT id, tok FROM step WHERE NOT open ORDER BY id
+      WHERE s.open AND s.round < {rounds}),
+    best AS (SELECT word, min(merged::BIGINT * 4294967296 + (id & 4294967295)) AS place FROM ranked GROUP BY word),
+    wanted AS (
+      SELECT r.id, r.size, r.more, r.merged FROM ranked r JOIN best b ON b.word = r.word
+      WHERE r.merged = b.place >> 32 AND (r.safe OR r.id & 4294967295 = b.place & 4294967295)),
+    taken AS (SELECT * FROM wanted w ANTI JOIN (SELECT id + size AS after FROM wanted) p ON p.after = w.id)
+    SELECT r.id, r.size + coalesce(t.more, 0), coalesce(t.merged, r.tok), r.round + 1, b.place IS NOT NULL
+    FROM ranked r JOIN best b ON b.word = r.word
+    LEFT JOIN taken t ON t.id = r.id
+    ANTI JOIN (SELECT id + size AS gone FROM taken) g ON g.gone = r.id))
+SELECT id, size, tok, open FROM step WHERE NOT open OR round = {rounds} ORDER BY id
 """
 
 DECODE = """
@@ -67,20 +84,24 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Memory:
-    """A cache of two generations: what the older one holds and nobody asked for is forgotten."""
+    """A cache of two generations of so many bytes: what the older one holds and nobody asked for is forgotten."""
 
-    def __init__(self, size: int) -> None:
-        self.size = size
+    def __init__(self, limit: int) -> None:
+        self.limit, self.held = limit, 0
         self.young: dict = {}
         self.old: dict = {}
 
+    def put(self, found: dict) -> None:
+        self.young.update(found)
+        self.held += sum(len(k) + len(v) + ENTRY for k, v in found.items())
+
     def lacking(self, keys: set) -> set:
         """The keys that neither holds; all others are in young afterwards."""
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
+        if self.held > self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
         missing = keys - self.young.keys()
         known = missing & self.old.keys()
-        self.young.update({k: self.old[k] for k in known})
+        self.put({k: self.old[k] for k in known})
         return missing - known
 
 
@@ -92,45 +113,26 @@ class Codec:
         import regex
 
         self.ranks = parse_ranks(data)
-        self.pattern = regex.compile(pattern)
-        self.words, self.decoded = Memory(cache), Memory(cache)
+        self.text_of = {r: t for t, r in self.ranks.items()}
+        self.pattern, self.spaced = regex.compile(pattern), pattern == SPACED
+        self.words, self.decoded, self.pairs = Memory(cache), Memory(cache), Memory(cache // 8)
         self.tokens = {t: np.array([r], np.int32).tobytes() for t, r in self.ranks.items()}
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "256MB", "temp_directory": ""})
+        self.full = duckdb.OutOfMemoryException
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "384MB", "temp_directory": ""})
         names = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]})
-        pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        a, b, m = zip(*pairs, strict=True) if pairs else ((), (), ())
-        rows = pa.table({"pair": np.array(a, np.int64) * (1 << 32) + np.array(b, np.int64), "merged": pa.array(m, pa.int32())})
-        self._pairs: dict[tuple[int, int], int] = {}
+        merges = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
+        a, b, m = (np.array(x, np.int64) for x in zip(*merges, strict=True)) if merges else (np.zeros(0, np.int64),) * 3
+        # The smallest rank of a pair that holds a token: above the token's own rank, its pairs may be contracted together.
+        least = np.full(max(self.text_of) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, a, m)
+        np.minimum.at(least, b, m)
+        rows = pa.table({"pair": a * (1 << 32) + b, "merged": m.astype(np.int32), "safe": least[m] > m})
         for name, rel in (("vocabulary", names), ("merges", rows)):
             self.db.register("given", rel)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
 
-    def _merge(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of words that are no tokens themselves."""
-        out = [b""] * len(words)
-        short = [k for k, w in enumerate(words) if len(w) <= LONG]
-        for lo in range(0, len(short), BLOCK):
-            block = short[lo : lo + BLOCK]
-            sizes = np.array([len(words[k]) for k in block])
-            ends = np.cumsum(sizes)
-            rows = {
-                "word": np.repeat(np.arange(len(block), dtype=np.int32), sizes),
-                "pos": (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32),
-                "tok": self.bytes[np.frombuffer(b"".join(words[k] for k in block), np.uint8)],
-            }
-            got = self._run(MERGE, "start_rows", pa.table(rows))
-            word = got.column("id").to_numpy() >> 8
-            raw = got.column("tok").to_numpy().astype(np.int32).tobytes()
-            cuts = (np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1, [len(word)]]) * 4).tolist()
-            for k, lo_, hi_ in zip(block, cuts[:-1], cuts[1:], strict=True):
-                out[k] = raw[lo_:hi_]
-        for k, w in enumerate(words):
-            if len(w) > LONG:
-                out[k] = np.array(self._heap(self.bytes[np.frombuffer(w, np.uint8)].tolist()), np.int32).tobytes()
-        return out
-
     def _run(self, query: str, name: str, rows: pa.Table) -> pa.Table:
         self.db.register(name, rows)
         try:
@@ -138,30 +140,111 @@ class Codec:
         finally:
             self.db.unregister(name)
 
-    def _heap(self, ids: list[int]) -> list[int]:
-        """The same contraction in n log n: the leftmost pair of the smallest rank first."""
-        if not self._pairs:
-            self._pairs = {(p >> 32, p & 0xFFFFFFFF): m for p, m in self.db.sql("SELECT pair, merged FROM merges").fetchall()}
-        n = len(ids)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self._pairs.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], alive[j], after[i] = r, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (s := self._pairs.get((ids[x], ids[y]))) is not None:
-                    heapq.heappush(heap, (s, x, ids[x], ids[y]))
-        return [x for x, keep in zip(ids, alive, strict=True) if keep]
+    def _rounds(self, start: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(place, token) of the finished rows, by as many queries as the rounds need. A block that does not fit is parted."""
+        done = []
+        while start.num_rows:
+            try:
+                got = self._run(MERGE.format(rounds=max(4, STEPS // start.num_rows)), "start_rows", start)
+            except self.full:
+                word = start.column("id").to_numpy() >> 32
+                cut = int(np.searchsorted(word, (word[0] + word[-1] + 1) // 2))
+                if not 0 < cut < len(word):
+                    raise
+                return done + self._rounds(start.slice(0, cut)) + self._rounds(start.slice(cut))
+            open_ = got.column("open").to_numpy()
+            done.append(tuple(got.column(c).to_numpy()[~open_] for c in ("id", "tok")))
+            start = got.select(["id", "size", "tok"]).filter(pa.array(open_))
+        return done
+
+    def _contract(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of each word."""
+        words = list(dict.fromkeys(words))
+        out: dict[bytes, bytes] = {}
+        ends = np.cumsum([len(w) for w in words])
+        lo = 0
+        while lo < len(words):
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + ROWS)))
+            block = words[lo:hi]
+            sizes = np.array([len(w) for w in block])
+            last = np.cumsum(sizes)
+            place = (np.repeat(np.arange(len(block)), sizes) << 32) + np.arange(last[-1]) - np.repeat(last - sizes, sizes)
+            start = pa.table({"id": place, "size": np.ones(len(place), np.int32), "tok": self.bytes[np.frombuffer(b"".join(block), np.uint8)]})
+            parts = self._rounds(start)
+            places, tokens = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.argsort(places, kind="stable")
+            word, raw = places[order] >> 32, tokens[order].astype(np.int32).tobytes()
+            cuts = (np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1, [len(word)]]) * 4).tolist()
+            out.update({w: raw[a:b] for w, a, b in zip(block, cuts[:-1], cuts[1:], strict=True)})
+            lo = hi
+        return out
+
+    def _valid(self, wanted: set[tuple[int, int]]) -> dict[tuple[int, int], bytes]:
+        """b"y" for the pairs of tokens that are the encoding of their bytes."""
+        lacking = self.pairs.lacking(wanted)
+        if lacking:
+            text = {p: self.text_of[p[0]] + self.text_of[p[1]] for p in lacking}
+            got = self._contract(text.values())
+            self.pairs.put({p: b"y" if got[t] == np.array(p, np.int32).tobytes() else b"" for p, t in text.items()})
+        return self.pairs.young
+
+    def _long(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of words by chunks, and by windows round the boundaries that fail."""
+        chunks = {w: [w[k : k + CHUNK] for k in range(0, len(w), CHUNK)] for w in words}
+        got = self._contract(c for own in chunks.values() for c in own)
+        ids, doubt = {}, {}
+        for w, own in chunks.items():
+            parts = [np.frombuffer(got[c], np.int32) for c in own]
+            ids[w] = np.concatenate(parts)
+            doubt[w] = np.cumsum([len(p) for p in parts])[:-1]
+        reach = WINDOW
+        while doubt:
+            valid = self._valid({(int(ids[w][b - 1]), int(ids[w][b])) for w, at in doubt.items() for b in at})
+            windows: dict[bytes, list[tuple[int, int, bytes]]] = {}
+            for w, at in doubt.items():
+                x = ids[w]
+                ends = np.cumsum([len(self.text_of[t]) for t in x.tolist()])
+                starts = ends - [len(self.text_of[t]) for t in x.tolist()]
+                own: list[list[int]] = []
+                for b in at:
+                    if not valid[int(x[b - 1]), int(x[b])]:
+                        lo = int(np.searchsorted(starts, starts[b] - reach, "right")) - 1
+                        hi = int(np.searchsorted(ends, starts[b] + reach)) + 1
+                        lo, hi = max(lo, 0), min(hi, len(x))
+                        if own and lo <= own[-1][1]:
+                            own[-1][1] = hi
+                        else:
+                            own.append([lo, hi])
+                if own:
+                    windows[w] = [(lo, hi, w[int(starts[lo]) : int(ends[hi - 1])]) for lo, hi in own]
+            got = self._contract(t for own in windows.values() for _, _, t in own)
+            doubt = {}
+            for w, own in windows.items():
+                parts, at, last, held = [], [], 0, 0
+                for lo, hi, t in own:
+                    new = np.frombuffer(got[t], np.int32)
+                    parts += [ids[w][last:lo], new]
+                    at.append(held + lo - last)
+                    held += lo - last + len(new)
+                    at.append(held)
+                    last = hi
+                parts.append(ids[w][last:])
+                ids[w] = np.concatenate(parts)
+                inner = [b for b in dict.fromkeys(at) if 0 < b < len(ids[w])]
+                if inner:
+                    doubt[w] = np.array(inner)
+            reach *= 2
+        return {w: x.tobytes() for w, x in ids.items()}
+
+    def _merge(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of words that are no tokens themselves."""
+        long = [w for w in dict.fromkeys(words) if len(w) > CHUNK]
+        return self._contract(w for w in words if len(w) <= CHUNK) | (self._long(long) if long else {})
 
     def _learn(self, pieces: Iterable[str]) -> None:
         """Packed ids of pieces that the cache lacks. A piece is cut by the pattern on its own."""
-        cut = {p: self.pattern.findall(p) for p in pieces}
+        cut = {p: self.pattern.findall(p) if self.spaced else [p] for p in pieces}
         known: dict[str, bytes] = {}
         todo: dict[str, bytes] = {}
         young, old = self.words.young, self.words.old
@@ -176,48 +259,74 @@ class Codec:
                             todo[t] = raw
                             continue
                     known[t] = own
-        merged = dict(zip(todo, self._merge(list(todo.values())), strict=True))
+        merged = self._merge(list(todo.values()))
+        merged = {t: merged[raw] for t, raw in todo.items()}
         known |= merged
-        young |= merged  # a word with another mark behind it is then known
-        for p, tokens in cut.items():
-            young[p] = known[tokens[0]] if len(tokens) == 1 else b"".join([known[t] for t in tokens])
+        # A word with another mark behind it is then known.
+        self.words.put(merged | {p: known[own[0]] if len(own) == 1 else b"".join([known[t] for t in own]) for p, own in cut.items()})
+
+    def _cut(self, text: str) -> list[str]:
+        if self.spaced:
+            return split_at_spaces(text)
+        pieces = [m.group() for m in self.pattern.finditer(text)]
+        if sum(map(len, pieces)) != len(text):
+            raise ValueError("the pattern leaves out parts of a text")
+        return pieces
 
     def _pieces(self, texts: list[str | None]) -> list[list[bytes]]:
         """Packed ids of the pieces of each text."""
-        pieces = [split_at_spaces(t) if t else [] for t in texts]
+        pieces = [self._cut(t) if t else [] for t in texts]
         lacking = self.words.lacking(set().union(*pieces))
         if lacking:
             self._learn(lacking)
         words = self.words.young
         return [[words[p] for p in own] for own in pieces]
 
+    def _segmented(self, texts: list[str | None], work) -> list[tuple[bytes, ...]]:
+        """work(texts) -> tuples of bytes for each; a long text is handled in segments, whose results are joined."""
+        if not self.spaced or all(t is None or len(t) <= SEGMENT for t in texts):
+            return work(texts)
+        out = []
+        for t in texts:
+            parts = [work([s])[0] for s in segments(t)] if t and len(t) > SEGMENT else work([t])
+            out.append(tuple(b"".join(c) for c in zip(*parts, strict=True)))
+        return out
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for a null or empty one."""
-        return [np.frombuffer(b"".join(own), np.int32) for own in self._pieces(texts)]
+        got = self._segmented(texts, lambda own: [(b"".join(p),) for p in self._pieces(own)])
+        return [np.frombuffer(x, np.int32) for (x,) in got]
 
-    def round_trip(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bytes]]:
-        """Ids of each text and what they decode to; like pieces of ids are decoded once."""
+    def _round_trip(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         pieces = self._pieces(texts)
         lacking = list(self.decoded.lacking(set().union(*pieces)))
-        decoded = self.decoded.young
         if lacking:
-            decoded.update(zip(lacking, self.decode([np.frombuffer(x, np.int32) for x in lacking]), strict=True))
-        return [np.frombuffer(b"".join(own), np.int32) for own in pieces], [b"".join([decoded[x] for x in own]) for own in pieces]
+            self.decoded.put(dict(zip(lacking, self.decode([np.frombuffer(x, np.int32) for x in lacking]), strict=True)))
+        decoded = self.decoded.young
+        return [(b"".join(own), b"".join([decoded[x] for x in own])) for own in pieces]
+
+    def round_trip(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bytes]]:
+        """Ids of each text and what they decode to; like pieces of ids are decoded once."""
+        got = self._segmented(texts, self._round_trip)
+        return [np.frombuffer(x, np.int32) for x, _ in got], [d for _, d in got]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """Bytes of each list of ids."""
-        out = [b""] * len(ids)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        ends = np.cumsum(sizes)
-        rows = {
-            "text": np.repeat(np.arange(len(ids), dtype=np.int32), sizes),
-            "pos": (np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)).astype(np.int32),
-            "id": np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32),
-        }
-        got = self._run(DECODE, "id_rows", pa.table(rows))
-        for k, s in zip(got.column("text").to_pylist(), got.column("bytes").to_pylist(), strict=True):
-            out[k] = s.encode("latin-1")
-        return out
+        """Bytes of each list of ids. A query takes so many ids; a longer list is several rows whose bytes are joined."""
+        out: list[list[bytes]] = [[] for _ in ids]
+        parts = [(k, x[lo : lo + DECODED]) for k, x in enumerate(ids) for lo in range(0, len(x), DECODED)]
+        ends = np.cumsum([len(x) for _, x in parts])
+        lo = 0
+        while lo < len(parts):
+            hi = max(lo + 1, int(np.searchsorted(ends, (int(ends[lo - 1]) if lo else 0) + DECODED, "right")))
+            block = [x for _, x in parts[lo:hi]]
+            sizes = np.array([len(x) for x in block])
+            last = np.cumsum(sizes)
+            rows = {"text": np.repeat(np.arange(len(block), dtype=np.int32), sizes), "pos": (np.arange(last[-1]) - np.repeat(last - sizes, sizes)).astype(np.int32), "id": np.concatenate(block).astype(np.int32)}
+            got = self._run(DECODE, "id_rows", pa.table(rows))
+            for k, s in sorted(zip(got.column("text").to_pylist(), got.column("bytes").to_pylist(), strict=True)):
+                out[parts[lo + k][0]].append(s.encode("latin-1"))
+            lo = hi
+        return [b"".join(x) for x in out]
 
 
 def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -225,10 +334,10 @@ def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
 
 
+#: Fixed value: the pattern for which a text may be cut at single spaces first; texts of others are cut by the pattern alone.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space between two characters that are no white space always begins a pre-token.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
-
-
 #: White space other than a space or a line feed.
 OTHER = re.compile(r"[^\S \n]")
 
@@ -240,11 +349,23 @@ def split_at_spaces(text: str) -> list[str]:
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 
+def segments(text: str) -> Iterator[str]:
+    """Parts of about SEGMENT characters, cut before a space that begins a pre-token; a part without one is longer."""
+    lo = 0
+    while len(text) - lo > SEGMENT:
+        m = BREAK.search(text, lo + SEGMENT)
+        if m is None:
+            break
+        yield text[lo : m.start()]
+        lo = m.start()
+    yield text[lo:]
+
+
 _codecs: dict[tuple[int, str, int], Codec] = {}
 
 
 def codec(data: bytes, pattern: str, cache: int = CACHE) -> Codec:
-    """This worker's codec for a rank file. cache: words in a generation of what it remembers, about 200 bytes each."""
+    """This worker's codec for a rank file. cache: bytes in a generation of what it remembers."""
     key = (hash(data), pattern, cache)
     if key not in _codecs:
         _codecs.clear()
