@@ -1,16 +1,23 @@
 """HTML extraction: block rules in two passes.
 
-The page is cut into blocks at block-level tags. Pass one looks at each block alone:
-
-* a block in a menu, header, footer, sidebar, form, notice, advert or comment area
-  is boilerplate, as is one that consists mostly of links;
-* a block of the page's article or main element is text;
-* elsewhere, long blocks with many stop words are text, long ones with few are
-  boilerplate, and short blocks stay undecided, as do those in between.
-
-Pass two gives an undecided block the label of its nearest decided neighbours; where
-they differ, the block is boilerplate unless its stop words are dense. Without any decided
-block the page is text.
+The page is cut into blocks at block-level tags. Pass one adds up what speaks for a block
+being text and what against, for every block of every page:
+
+* stop words: a share of DENSE or more of its words counts +1, one of SPARSE or less -1,
+  shares between them in proportion; a block of fewer than LONG words counts in proportion
+  to its length. On a page with hardly any known stop word, as in a language that is not
+  listed, they count nothing;
+* links: a block that consists mostly of links counts against it, but not in an article;
+* area: a block in a menu, header, footer, sidebar, form, notice, advert or comment area
+  counts far against; one in the page's article or main element somewhat for it, and one
+  beside that element somewhat against.
+
+From DECIDED on the block is text, down from -DECIDED it is boilerplate. Short and mixed
+blocks stay undecided. Pass two gives an undecided block the label of its nearest decided
+neighbour: the distance is the number of blocks, and BORDER more for each border of an area
+between them. A heading looks ahead first. Blocks in a menu, advert or the like say
+nothing of their neighbours, and neither do the blocks on the other side of the article's
+border. Where no neighbour is decided, a block is text, unless it is beside an article.
 
 Every page is read by itself, whole, in one pass over its tags.
 """
@@ -19,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +38,10 @@ from tickloom.llm.common import sliced
 
 #: From this share of characters in links on a block is a list of links.
 LINKS = 0.5
-#: Words from which a block is long, and shares of stop words that make it text or boilerplate.
-LONG, DENSE, SPARSE = 12, 0.2, 0.08
+#: Words from which a block is long, shares of stop words that speak for and against text, and the share of a page that knows the language.
+LONG, DENSE, SPARSE, KNOWN = 12, 0.2, 0.04, 0.02
+#: What the areas and a list of links count, the sum that decides, and the distance of a border.
+INSIDE, OUTSIDE, BESIDE_COUNTS, LINKED, DECIDED, BORDER = 0.5, -0.5, -4.0, -1.5, 0.8, 3
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -67,12 +77,20 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+WORD = re.compile(r"[^\W_]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 @dataclass
 class Block:
+    """A block: its text, characters in links, whether it is in an area beside the text or in the article, its tag, and the areas round it."""
+
     text: str
     linked: int
     beside: bool
     inside: bool
+    tag: str = "p"
+    path: tuple[int, ...] = ()
     label: bool | None = None
 
 
@@ -95,16 +113,17 @@ def _marks(rest: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order; empty ones are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []
     beside = inside = False
-    link = 0
+    path: tuple[int, ...] = ()
+    link, areas, now = 0, 0, "body"
     parts: list[tuple[str, bool]] = []
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
         if text:
             linked = sum(len(" ".join(html.unescape(p).split())) for p, own in parts if own)
-            out.append(Block(text, linked, beside, inside))
+            out.append(Block(text, linked, beside, inside, now, path))
         parts.clear()
 
     at = 0
@@ -123,59 +142,89 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         link = 0
-        if tag not in CONTAINERS:
-            continue
+        now = "body" if ends else tag
         if ends:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    _, beside, inside = stack[k]
+                    _, beside, inside, path = stack[k]
                     del stack[k:]
                     break
-        elif not m.group("rest").endswith("/"):
-            stack.append((tag, beside, inside))
-            marked = _marks(m.group("rest"))
-            if tag in ("article", "main"):
-                # A menu or header left open ends here; a comment in an area of comments does not begin the text.
-                beside = marked or (beside and not any(t in ("nav", "header", "footer", "aside", "form") for t, _, _ in stack[:-1]))
-                inside = not beside
-            elif tag in BESIDE_TAGS or marked or tag == "header" and not inside:
-                beside = True
+            continue
+        if stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "tr", "td", "th", "dt", "dd")):
+            # A paragraph ends at the next block, a row or item at the next of its kind.
+            _, beside, inside, path = stack.pop()
+        rest = m.group("rest")
+        marked = _marks(rest)
+        if rest.endswith("/") or not marked and tag not in CONTAINERS:
+            continue
+        stack.append((tag, beside, inside, path))
+        areas += 1
+        path = (*path, areas)
+        if tag in ("article", "main"):
+            # A menu or header left open ends here; a comment in an area of comments does not begin the text.
+            beside = marked or (beside and not any(t in ("nav", "header", "footer", "aside", "form") for t, *_ in stack[:-1]))
+            inside = not beside
+        elif tag in BESIDE_TAGS or marked or tag == "header" and not inside:
+            beside = True
     if at < len(page):
         parts.append((page[at:], link > 0))
     flush()
     return out
 
 
+def evidence(found: list[Block]) -> list[float]:
+    """Pass one: what the words, links and area of each block say, and the label of those that are decided."""
+    words = [WORD.findall(b.text.lower()) for b in found]
+    stops = [sum(w in STOP_WORDS for w in own) for own in words]
+    known = sum(stops) >= KNOWN * max(1, sum(map(len, words)))
+    article = any(b.inside and not b.beside for b in found)
+    out = []
+    for b, own, n in zip(found, words, stops, strict=True):
+        middle = (DENSE + SPARSE) / 2
+        density = max(-1.0, min(1.0, (n / len(own) - middle) / (DENSE - middle))) if known and own else 0.0
+        total = density * min(1.0, len(own) / LONG)
+        if b.beside:
+            total += BESIDE_COUNTS
+        elif article:
+            total += INSIDE if b.inside else OUTSIDE
+        if not b.inside and b.linked > LINKS * len(b.text):
+            total += LINKED
+        b.label = True if total >= DECIDED else False if total <= -DECIDED else None
+        out.append(total)
+    return out
+
+
+def _distance(found: list[Block], i: int, j: int) -> int:
+    a, b = found[i].path, found[j].path
+    shared = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        shared += 1
+    return abs(i - j) + BORDER * (len(a) + len(b) - 2 * shared)
+
+
 def classify(found: list[Block]) -> list[Block]:
     """Both passes; sets label to whether a block is text."""
+    total = evidence(found)
     article = any(b.inside and not b.beside for b in found)
-    dense = []
-    for b in found:
-        words = b.text.lower().split()
-        share = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
-        dense.append(share >= DENSE)
-        if b.beside or b.linked > LINKS * len(b.text):
-            b.label = False
-        elif article:
-            b.label = b.inside
-        elif len(words) >= LONG and share >= DENSE:
-            b.label = True
-        elif len(words) >= LONG and share < SPARSE:
-            b.label = False
-    decided = [b.label for b in found]
-    before: list[bool | None] = []
-    last = None
-    for x in decided:
-        before.append(last)
-        last = last if x is None else x
-    after, last = [], None
-    for x in reversed(decided):
-        after.append(last)
-        last = last if x is None else x
-    for b, x, y, d in zip(found, before, reversed(after), dense, strict=True):
-        if b.label is None:
-            same = x if y is None else y if x is None or x == y else None
-            b.label = (d or x is y is None) if same is None else same
+    decided = [i for i, b in enumerate(found) if b.label is not None and not b.beside]
+    sides = {side: [i for i in decided if found[i].inside == side] for side in (True, False)}
+    labels = [b.label for b in found]
+    for i, b in enumerate(found):
+        if labels[i] is not None:
+            continue
+        own = sides[b.inside]
+        k = bisect_left(own, i)
+        before, after = own[k - 1] if k else None, own[k] if k < len(own) else None
+        if before is None and after is None:
+            b.label = b.inside or not article
+        elif before is None or after is None:
+            b.label = labels[after if before is None else before]
+        else:
+            x, y = _distance(found, before, i), _distance(found, i, after) - (b.tag in HEADINGS)
+            same = labels[before] == labels[after]
+            b.label = labels[after] if same or y < x else labels[before] if x < y else total[i] > 0
     return found
 
 
