@@ -118,34 +118,45 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op8_mix_sources"] = r"""
-WITH d AS (
+WITH RECURSIVE raw AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, chr(0)) || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5)
-           / 4503599627370496.0 AS u
-  FROM documents),
-g AS (SELECT source, u, sum(size)::BIGINT AS words, max(size) AS size FROM d GROUP BY ALL),
-s AS (SELECT source, sum(words)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM g GROUP BY source),
-l AS (SELECT *, 3 * source_size AS lim, sum(source_size) OVER ()::BIGINT AS total FROM s),
-f AS (SELECT *, coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before_,
-         sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS left_ FROM l),
-c AS (SELECT *, lim * left_ <= (total - before_) * weight AS limited FROM f),
-e AS (SELECT *, sum(CASE WHEN limited THEN lim ELSE 0 END) OVER ()::BIGINT AS spent, sum(CASE WHEN limited THEN 0 ELSE weight END) OVER ()::BIGINT AS free FROM c),
-t AS (SELECT source, source_size, CASE WHEN limited THEN lim::DOUBLE ELSE (weight * (total - spent))::DOUBLE / free::DOUBLE END AS target FROM e),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
-r AS (SELECT *, target - whole * source_size AS rest FROM p),
-p0 AS (SELECT *, -1.0::DOUBLE AS cut0, rest AS gap0 FROM r),
-"""
-for _k in range(1, mixing.ROUNDS + 1):
-    ORACLE_SQL["op8_mix_sources"] += f"""
-o{_k} AS (SELECT g.*, p.gap{_k - 1} AS gap, sum(words) OVER (PARTITION BY g.source ORDER BY u)::BIGINT AS cum FROM g JOIN p{_k - 1} p ON g.source IS NOT DISTINCT FROM p.source
-  WHERE {_k} = 1 OR (g.size <= p.gap{_k - 1} AND g.u > p.cut{_k - 1})),
-c{_k} AS (SELECT source, max(u) AS cut, max(cum) AS filled FROM o{_k} WHERE cum - {"words / 2.0" if _k == mixing.ROUNDS else "0"} <= gap GROUP BY source),
-p{_k} AS (SELECT p.*, coalesce(cut, cut{_k - 1}) AS cut{_k}, gap{_k - 1} - coalesce(filled, 0) AS gap{_k} FROM p{_k - 1} p LEFT JOIN c{_k} q ON p.source IS NOT DISTINCT FROM q.source),"""
-_DRAWN = " OR ".join(f"(u > cut{k - 1} AND u <= cut{k} AND ({k} = 1 OR d.size <= gap{k - 1}))" for k in range(1, mixing.ROUNDS + 1))
-ORACLE_SQL["op8_mix_sources"] += f"""
-z AS (SELECT 1)
-SELECT d.doc_id, d.size, p.source_size, p.target, least(whole + CASE WHEN {_DRAWN} THEN 1 ELSE 0 END, 3) * d.size AS taken
-FROM d JOIN p{mixing.ROUNDS} p ON d.source IS NOT DISTINCT FROM p.source
+         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, chr(0)) || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS bits FROM documents),
+d AS (SELECT *, row_number() OVER (PARTITION BY source, bits, size) AS k FROM raw),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+-- Share by weight; sources above three times their size stop there; share again among the others.
+share AS (
+  SELECT 0 AS step, source, source_size, weight, false AS stopped, 1::BIGINT AS fresh FROM s
+  UNION ALL
+  SELECT step + 1, source, source_size, weight, now, sum((now AND NOT stopped)::INT) OVER ()::BIGINT FROM (
+    SELECT *, stopped OR 3 * source_size * sum(CASE WHEN stopped THEN 0 ELSE weight END) OVER () <= weight * (sum(source_size) OVER () - sum(CASE WHEN stopped THEN 3 * source_size ELSE 0 END) OVER ()) AS now
+    FROM share WHERE fresh > 0)),
+t AS (
+  SELECT source, source_size, CASE WHEN stopped THEN (3 * source_size)::DOUBLE ELSE (weight * (sum(source_size) OVER ()::BIGINT - sum(CASE WHEN stopped THEN 3 * source_size ELSE 0 END) OVER ()::BIGINT))::DOUBLE
+    / (sum(CASE WHEN stopped THEN 0 ELSE weight END) OVER ())::DOUBLE END AS target
+  FROM share WHERE step = (SELECT max(step) FROM share)),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+-- p = min(1, c * size): the longest documents are certain until c * size is below 1 for the others.
+g AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL),
+c AS (
+  SELECT g.source, g.size, r.target - r.whole * r.source_size AS rest,
+    coalesce(sum(g.size * g.n) OVER (PARTITION BY g.source ORDER BY g.size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS above,
+    (sum(g.n * g.size * g.size) OVER (PARTITION BY g.source ORDER BY g.size))::DOUBLE AS squares
+  FROM g JOIN r ON g.source IS NOT DISTINCT FROM r.source),
+f AS (SELECT source, arg_max((rest - above) / squares, size) AS factor, max(size) AS longest, arg_max(floor(rest - above), size)::BIGINT AS gap FROM c WHERE (rest - above) * size < squares GROUP BY source),
+p AS (
+  SELECT d.*, r.source_size, r.target, r.whole, CASE WHEN d.size > f.longest THEN 1.0::DOUBLE ELSE coalesce(f.factor * d.size, 0) END AS p,
+    ((CASE WHEN k = 1 THEN bits ELSE ('0x' || substr(md5('mix|' || bits || '|' || k), 1, 13))::BIGINT END)::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source),
+q AS (SELECT source, bits, k, size, row_number() OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (p / (1 - p)), bits, k) AS place FROM p WHERE p > 0 AND p < 1),
+-- One document after the other, each that still fits.
+walk AS (
+  SELECT source, 0::BIGINT AS place, gap, false AS took FROM f
+  UNION ALL
+  SELECT w.source, q.place, CASE WHEN q.size <= w.gap THEN w.gap - q.size ELSE w.gap END, q.size <= w.gap
+  FROM walk w JOIN q ON q.source IS NOT DISTINCT FROM w.source AND q.place = w.place + 1),
+won AS (SELECT q.source, q.bits, q.k, q.size FROM walk JOIN q ON q.source IS NOT DISTINCT FROM walk.source AND q.place = walk.place WHERE took)
+SELECT p.doc_id, p.size, p.source_size, p.target, least(p.whole + CASE WHEN p.p = 1 OR won.bits IS NOT NULL THEN 1 ELSE 0 END, 3) * p.size AS taken
+FROM p LEFT JOIN won ON p.source IS NOT DISTINCT FROM won.source AND p.bits = won.bits AND p.k = won.k AND p.size = won.size
 """
 
 
