@@ -46,7 +46,7 @@ ROWS, STEPS = 60_000, 4_000_000
 #: Ids of one decoding query.
 DECODED = 250_000
 #: Bytes in a generation of what a worker remembers, and what an entry costs besides its key and value.
-CACHE, ENTRY = 96 << 20, 180
+CACHE, ENTRY = 128 << 20, 180
 #: Characters of a segment of a long text.
 SEGMENT = 1 << 20
 
@@ -93,7 +93,7 @@ class Memory:
 
     def put(self, found: dict) -> None:
         self.young.update(found)
-        self.held += sum(len(k) + len(v) + ENTRY for k, v in found.items())
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY * len(found)
 
     def lacking(self, keys: set) -> set:
         """The keys that neither holds; all others are in young afterwards."""
@@ -312,21 +312,33 @@ class Codec:
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each list of ids. A query takes so many ids; a longer list is several rows whose bytes are joined."""
-        out: list[list[bytes]] = [[] for _ in ids]
-        parts = [(k, x[lo : lo + DECODED]) for k, x in enumerate(ids) for lo in range(0, len(x), DECODED)]
-        ends = np.cumsum([len(x) for _, x in parts])
+        out = [b""] * len(ids)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = np.cumsum(sizes)
         lo = 0
-        while lo < len(parts):
-            hi = max(lo + 1, int(np.searchsorted(ends, (int(ends[lo - 1]) if lo else 0) + DECODED, "right")))
-            block = [x for _, x in parts[lo:hi]]
-            sizes = np.array([len(x) for x in block])
-            last = np.cumsum(sizes)
-            rows = {"text": np.repeat(np.arange(len(block), dtype=np.int32), sizes), "pos": (np.arange(last[-1]) - np.repeat(last - sizes, sizes)).astype(np.int32), "id": np.concatenate(block).astype(np.int32)}
-            got = self._run(DECODE, "id_rows", pa.table(rows))
-            for k, s in sorted(zip(got.column("text").to_pylist(), got.column("bytes").to_pylist(), strict=True)):
-                out[parts[lo + k][0]].append(s.encode("latin-1"))
+        while lo < len(ids):
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + DECODED, "right")))
+            if sizes[lo] > DECODED:
+                out[lo] = b"".join([self._decode([ids[lo][k : k + DECODED]])[0] for k in range(0, int(sizes[lo]), DECODED)])
+            else:
+                out[lo:hi] = self._decode(ids[lo:hi])
             lo = hi
-        return [b"".join(x) for x in out]
+        return out
+
+    def _decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        out = [b""] * len(ids)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = np.cumsum(sizes)
+        rows = {
+            "text": np.repeat(np.arange(len(ids), dtype=np.int32), sizes),
+            "pos": (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32),
+            "id": np.concatenate(ids).astype(np.int32),
+        }
+        got = self._run(DECODE, "id_rows", pa.table(rows))
+        for k, s in zip(got.column("text").to_pylist(), got.column("bytes").to_pylist(), strict=True):
+            out[k] = s.encode("latin-1")
+        return out
 
 
 def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
