@@ -348,3 +348,95 @@ def test_pii_terms_of_rare_entities(spark):
     assert got[0].startswith("Write to Ann [TERM] at [EMAIL] for the notes")
     assert got[1] == "the notes of the day by [TERM] [TERM], [PHONE]" and got[2].startswith("[TERM] [TERM] can be asked")
     assert "quixotic" in got[3] and got[4] == texts[4]
+
+
+def brute_terms(texts, support=pii.SUPPORT, disclosure=pii.DISCLOSURE):
+    """The terms of each text that reveal one of its entities, word by word from the definition."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    word = re.compile(r"[^\W_]{2,}")
+    df_t, df_e, df_et, copies = Counter(), Counter(), Counter(), Counter(texts)
+    near, held, spelt, words = defaultdict(set), defaultdict(set), set(), {}
+    for text, m in copies.items():
+        spans = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in base_pii(text).split(",") if x)]
+        out = text
+        for a, b, _ in spans:
+            out = out[:a] + " " * (b - a) + out[b:]
+        words[text] = set(word.findall(out.lower()))
+        df_t.update({t: m for t in words[text]})
+        seen = defaultdict(set)
+        for a, b, k in spans:
+            e = k + ":" + (text[a:b].lower() if k in ("email", "ip") else re.sub("[^0-9]", "", text[a:b]))
+            own = frozenset(x.group().lower() for x in word.finditer(out) if a - pii.NEAR <= x.start() and x.end() <= b + pii.NEAR)
+            seen[e] |= own
+            near[e].add(own)
+            if k == "email":
+                for part in re.split(r"[\W_]+", e[6:].rpartition(".")[0]):
+                    for t in words[text]:
+                        if len(t) >= 3 and len(part) >= 3 and (t == part or len(t) <= 40 and (part.startswith(t) or part.endswith(t))):
+                            seen[e].add(t)
+                            spelt.add((e, t))
+        for e, ts in seen.items():
+            df_e[e] += m
+            held[e].add(text)
+            for t in ts:
+                df_et[e, t] += m
+    n, out = len(texts), defaultdict(set)
+    for (e, t), both in df_et.items():
+        with_t = [x for x in held[e] if t in words[x]]
+        proof = sum(t in w for w in near[e]) + 2 * ((e, t) in spelt)
+        proof += sum(1 for x in held[e] if any(t in w for w in near[e]) and t in words[x] and _beside(x, e, t, spelt))
+        if proof >= support and df_e[e] < n and log(n * both / (df_e[e] * df_t[t])) >= disclosure * log(n / df_e[e]):
+            for x in with_t:
+                out[x].add(t)
+    return out
+
+
+def _beside(text, e, t, spelt):
+    """Whether t stands in a window of e in this text, or the address spells it."""
+    if (e, t) in spelt:
+        return True
+    word = re.compile(r"[^\W_]{2,}")
+    spans = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in base_pii(text).split(",") if x)]
+    out = text
+    for a, b, _ in spans:
+        out = out[:a] + " " * (b - a) + out[b:]
+    own = [(a, b) for a, b, k in spans if k + ":" + (text[a:b].lower() if k in ("email", "ip") else re.sub("[^0-9]", "", text[a:b])) == e]
+    return any(x.group().lower() == t and any(a - pii.NEAR <= x.start() and x.end() <= b + pii.NEAR for a, b in own) for x in word.finditer(out))
+
+
+def test_pii_terms_equal_brute_force(spark):
+    rng = random.Random(12)
+    names = ["ada", "zubrova", "li", "okonkwo", "berg"]
+    plain = "the a report was sent on monday with notes for all of us and more".split()
+    texts = []
+    for _ in range(260):
+        own = [rng.choice(plain) for _ in range(rng.randint(3, 60))]
+        if rng.random() < 0.35:
+            k = rng.randrange(len(names))
+            entity = [f"{names[k]}.x{k}@corp{k}.com", f"10.0.0.{k}", f"+1 555 010 0{k}{k}{k}"][k % 3]
+            at = rng.randrange(len(own))
+            own[at:at] = [names[k] if rng.random() < 0.97 else rng.choice(names), entity]
+        texts.append(" ".join(own))
+    texts += texts[:15]
+    got = {r["text"]: {x["value"].lower() for x in r["spans"] if x["rank"] == 4} for r in pii.sanitise(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    want = brute_terms(texts)
+    assert {t: x for t, x in got.items() if x} == dict(want) and len(want) > 10
+
+
+def test_pii_keeps_columns_of_any_name(spark):
+    names = ["revealing", "entities", "text_", "outside", "text_key", "whole", "row", "base", "terms", "t", "m", "e"]
+    df = spark.createDataFrame([(*[f"{n}{i}" for n in names], t) for i, t in enumerate(["joe@corp.com is here", None, "", "clean"])], ", ".join(f"{n} string" for n in [*names, "text"]))
+    got = pii.sanitise(df).collect()
+    assert len(got) == 4
+    for r in got:
+        i = r["m"][1:]
+        assert all(r[n] == f"{n}{i}" for n in names if n != "base") and r["text"] == ["joe@corp.com is here", None, "", "clean"][int(i)]
+
+
+def test_pii_of_one_text_with_many_addresses(spark):
+    text = " ".join(f"user{k}@host{k % 7}.com" for k in range(20_000))
+    got = pii.sanitise(spark.createDataFrame([(text,), ("nothing",)], "text string")).filter("size(base) > 0").first()
+    assert len(got["base"]) == 20_000 and got["redacted"] == " ".join(["[EMAIL]"] * 20_000)
+    assert got["base"][12_345]["value"] == "user12345@host4.com" and text[got["base"][12_345]["start"] : got["base"][12_345]["end"]] == "user12345@host4.com"

@@ -2,28 +2,33 @@
 
 Spans of four kinds (email, ip, card, phone) are found by patterns; they are the
 protected entities. Then corpus co-occurrence tells how much a term reveals an
-entity: with documents that hold entity e, term t or both,
+entity: with documents that hold entity e, term t, or t beside e,
 
     PMI(e, t) = log(N df(e, t) / (df(e) df(t))),   IC(e) = log(N / df(e))
 
-PMI reaches IC when every document with t has e. A term is a disclosure in the
-documents with e from PMI >= DISCLOSURE * IC on; it is generalised to [TERM] as
-the entity is to its kind. It takes SUPPORT pieces of evidence, of which there are three
-sorts: a different text that holds both is one; so is a different window of NEAR
-characters round an occurrence of e that holds t; a t of three characters or more within
-an address (mailbox name, or domain without its last label) is two. So a name beside an
-address needs two texts or two windows, and one that the address spells needs one text.
-Terms are words of two letters or digits or more, outside the spans; a run of letters
-without spaces, as in CJK, is one word.
+PMI reaches IC when every document with t has it beside e. A term is a disclosure in the
+documents with e from PMI >= DISCLOSURE * IC on; wherever it stands there it is generalised
+to [TERM], as the entity is to its kind.
+
+A term stands beside an entity within NEAR characters of an occurrence, or in a text with an
+address that spells it: a part of the mailbox name or domain (without its last label) is the
+term, or begins or ends with it. It takes SUPPORT pieces of evidence: each different text
+with the term beside the entity is one, each different window is one, and the spelling is
+two. So a name beside an address needs two texts or two windows, and one that the address
+spells needs one text. Terms are words of two letters or digits or more, outside the spans;
+a run of letters without spaces, as in CJK, is one word.
 
 DataFrame functions only. Where a pattern of the contract would backtrack or
 recurse on long input, an equal one in linear time stands in: possessive loops
-over character classes, and a start that is no continuation of an earlier try.
-
-Scale: entities and terms in SUPPORT texts or more are paired by text. Where either is
-in fewer, pairs start from windows and addresses and follow the rarer of the two, so
-their number stays in proportion to the occurrences. All counts combine before the shuffle. Copies of a text are paired once, weighted.
-Only documents with entities are stored aside and joined; clean ones stream.
+over character classes, and a start that is no continuation of an earlier try. Folds over
+matches go in blocks, and texts are cut into pieces of ``PIECE`` characters before spans are
+taken out of them, as arrays that grow entry by entry and places in long strings would both
+cost the square of a text's matches.
+
+Scale: pairs come from windows and addresses, so their number is in proportion to the
+occurrences of entities, whatever a text holds. All counts combine before the shuffle. Copies
+of a text are paired once, weighted. Only documents with entities are stored aside and
+joined; clean ones stream.
 """
 
 from __future__ import annotations
@@ -41,6 +46,10 @@ DISCLOSURE = 0.9
 SUPPORT = 3
 #: Characters on either side of an occurrence that make its window.
 NEAR = 60
+#: Lengths of the beginnings and ends of an address part that may be terms; a whole part may have any.
+SPELT = (3, 40)
+#: Matches of a block of a fold, and characters of a piece of a text.
+BLOCK, PIECE = 256, 4096
 
 #: Stands for a dot that no domain label follows; in a text it counts as U+FFFD.
 STOP = "￾"
@@ -80,8 +89,13 @@ def _fold(pairs: Column, first: str, rank: int) -> Column:
         moved = F.struct(after.cast("int").alias("at"), F.concat(s["found"], F.array(_span(start, rank, end, x["hit"]))).alias("found"))
         return F.when(x["hit"].isNull(), s).otherwise(moved)
 
-    zero = F.struct(F.lit(0).alias("at"), _none().alias("found"))
-    return F.aggregate(pairs, zero, step, lambda s: s["found"])
+    def block(s: Column, own: Column) -> Column:
+        done = F.aggregate(own, F.struct(s["at"].alias("at"), _none().alias("found")), step)
+        return _let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(s["found"], F.array(d["found"])).alias("found")))
+
+    blocks = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(p), F.lit(1)) - 1) / BLOCK).cast("int")), lambda i: F.slice(p, i * BLOCK + 1, F.lit(BLOCK)))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("found"))
+    return _let(pairs, lambda p: F.aggregate(blocks(p), zero, block, lambda s: F.flatten(s["found"])))
 
 
 def places(text: Column, pattern: Column | str, rank: int) -> Column:
@@ -125,7 +139,7 @@ def base_spans(text: Column) -> Column:
     # A dot that no label follows ends a domain, but may stand before an @.
     marked = F.regexp_replace(F.translate(t, STOP, "�"), r"\.(?![A-Za-z0-9-])", STOP)
     mails = _let(marked, lambda m: places(m, EMAIL, 0))
-    mails = F.transform(mails, lambda x: _span(x["start"], 0, x["end"], F.substring(t, x["start"] + 1, x["end"] - x["start"])))
+    mails = F.transform(mails, lambda x: _span(x["start"], 0, x["end"], F.translate(x["value"], STOP, ".")))
     phones = F.filter(places(t, PHONE, 3), lambda x: F.length(_digits(x["value"])).between(9, 15))
     found = [
         F.when(F.instr(t, "@") > 0, mails).otherwise(_none()),
@@ -152,60 +166,80 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def _outside(text: Column, spans: Column) -> Column:
-    """The text with spaces in place of its spans, of the same length."""
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-    def step(s: Column, x: Column) -> Column:
-        start = F.greatest(x["start"], s["at"])
-        between = F.substring(text, s["at"] + 1, start - s["at"])
-        moved = F.struct(x["end"].alias("at"), F.concat(s["out"], between, F.repeat(F.lit(" "), x["end"] - start)).alias("out"))
-        return F.when(x["end"] <= s["at"], s).otherwise(moved)
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+def rewritten(text: Column, spans: Column, shown) -> Column:
+    """The text with shown(span, from) in place of each span; what an earlier span covers up to ``from`` is not shown again.
+
+    spans are sorted by start. Each piece of the text is put together from the spans that begin in it.
+    """
+
+    def piece(s: Column, p: Column, ids: Column) -> Column:
+        begin = p["i"] * PIECE
+        own = F.slice(spans, F.greatest(F.array_position(ids, p["i"]).cast("int"), F.lit(1)), F.size(F.filter(ids, lambda i: i == p["i"])))
+
+        def step(x: Column, span: Column) -> Column:
+            between = F.substring(p["t"], x["at"] - begin + 1, F.greatest(span["start"] - x["at"], F.lit(0)))
+            moved = F.struct(span["end"].alias("at"), F.concat(x["out"], between, shown(span, F.greatest(span["start"], x["at"]))).alias("out"))
+            return F.when(span["end"] <= x["at"], x).otherwise(moved)
+
+        done = F.aggregate(own, F.struct(F.greatest(s["at"], begin).alias("at"), F.lit("").alias("out")), step)
+        rest = lambda d: F.substring(p["t"], d["at"] - begin + 1, F.lit(PIECE))
+        return _let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(s["out"], F.array(F.concat(d["out"], rest(d)))).alias("out")))
 
+    numbered = F.transform(_pieces(text), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    whole = lambda ids: F.aggregate(numbered, zero, lambda s, p: piece(s, p, ids), lambda s: F.array_join(s["out"], ""))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(F.transform(spans, lambda x: F.floor(x["start"] / PIECE).cast("int")), whole))
 
-def _window(outside: Column, x: Column) -> Column:
-    """Terms of the window round a span, sorted; words that its ends cut are left out."""
+
+def outside(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of its spans, of the same length."""
+    return rewritten(text, spans, lambda x, at: F.repeat(F.lit(" "), x["end"] - at))
+
+
+def _window(pieces: Column, x: Column) -> Column:
+    """Terms of the window round a span, sorted; words that its ends cut are left out. pieces: those of the text with a space on each side."""
     start = F.greatest(x["start"] - NEAR, F.lit(0))
-    cut = F.substring(F.concat(F.lit(" "), outside, F.lit(" ")), start + 1, x["end"] + NEAR + 2 - start)
+    length = x["end"] + NEAR + 2 - start
+    first = F.floor(start / PIECE).cast("int")
+    cut = F.array_join(F.slice(pieces, first + 1, F.floor(length / PIECE).cast("int") + 2), "")
+    cut = F.substring(cut, start - first * PIECE + 1, length)
     return F.array_sort(_terms(F.regexp_replace(cut, rf"^[{WORD}]++|(?<![{WORD}])[{WORD}]++$", "")))
 
 
-def disclosures(held: DataFrame, docs: DataFrame, disclosure: float, support: int) -> DataFrame:
-    """(text_key, revealing): the terms of each text that reveal one of its entities.
+def _spellings(e: Column) -> Column:
+    """What an address may spell: its parts, and their beginnings and ends."""
+    least, most = SPELT
+    parts = F.filter(F.split(F.regexp_replace(F.substring(e, 3, 1 << 30), r"\.[^.@]*$", ""), rf"[^{WORD}]+"), lambda p: F.length(p) >= least)
+    ends = lambda p: F.sequence(F.lit(least), F.least(F.length(p), F.lit(most)))
+    cut = F.transform(parts, lambda p: F.concat(F.array(p), F.transform(ends(p), lambda n: F.left(p, n)), F.transform(ends(p), lambda n: F.right(p, n))))
+    return F.array_distinct(F.flatten(cut))
+
 
-    held: text_key, base and outside of the documents with entities; docs: outside of
-    all documents. Copies of a text count as documents but as one piece of evidence.
+def disclosures(texts: DataFrame, docs: DataFrame, disclosure: float, support: int) -> DataFrame:
+    """(text_key, t): the terms of each text that reveal one of its entities.
+
+    texts: text_key, m (copies), base and outside of the different texts with entities;
+    docs: outside of all documents.
     """
-    texts = held.groupBy("text_key").agg(F.count("*").alias("m"), F.first("base").alias("base"), F.first("outside").alias("outside"))
-    seen = F.transform("base", lambda x: F.struct(_entity(x).alias("e"), _window(F.col("outside"), x).alias("window")))
-    texts = materialize(texts.select("text_key", "m", seen.alias("seen"), _terms(F.col("outside")).alias("terms")), "pii-texts")
-    places_ = texts.select("text_key", "m", F.explode("seen").alias("x")).select("text_key", "m", "x.e", "x.window").distinct()
-    places_ = materialize(places_, "pii-windows")
-    entity = places_.select("text_key", "m", "e").distinct()
-    known = entity.groupBy("e").agg(F.count("*").alias("texts_e"), F.sum("m").alias("df_e"))
-    entity = materialize(entity.join(known, "e"), "pii-entities")
-    term = texts.select("text_key", F.explode("terms").alias("t"))
-    counted = materialize(term.groupBy("t").agg(F.count("*").alias("texts_t")), "pii-terms")
-    common, often = entity.filter(F.col("texts_e") >= support), counted.filter(F.col("texts_t") >= support).select("t")
-    usual = common.join(term.join(common.select("text_key").distinct(), "text_key", "left_semi").join(often, "t", "left_semi"), "text_key")
-    usual = usual.groupBy("e", "t").agg(F.count("*").alias("texts"), F.sum("m").alias("df_et"), F.first("df_e").alias("df_e"))
-    usual = usual.filter(F.col("texts") >= support).select("e", "t", "df_et", "df_e")
-    # Windows and addresses. A term of an address need not be in its window.
-    near = places_.select("e", F.col("window"), F.lit(1).alias("one")).distinct().select("e", F.explode("window").alias("t"), "one", F.lit(0).alias("spelt"))
-    spelling = F.regexp_replace(F.substring("e", 3, 1 << 20), r"\.[^.@]*$", "")
-    spelt = entity.filter("e like '0:%'").join(texts.select("text_key", "terms"), "text_key")
-    spelt = spelt.select("e", F.explode(F.filter("terms", lambda t: (F.length(t) >= 3) & F.contains(spelling, t))).alias("t"), F.lit(0).alias("one"), F.lit(2).alias("spelt"))
-    hints = near.unionByName(spelt).groupBy("e", "t").agg(F.sum("one").alias("near"), F.max("spelt").alias("spelt"))
-    hints = hints.join(known, "e").join(counted, "t").filter((F.col("texts_e") < support) | (F.col("texts_t") < support))
-    hints = materialize(hints.filter(F.col("near") + F.col("spelt") + F.least("texts_e", "texts_t") >= support), "pii-hints")
-    by_entity = hints.filter(F.col("texts_e") < support).join(entity.select("e", "text_key", "m"), "e").join(term, ["text_key", "t"])
-    by_term = hints.filter(F.col("texts_e") >= support).join(term, "t").join(entity.select("e", "text_key", "m"), ["text_key", "e"])
-    rare = by_entity.select("e", "t", "m", "near", "spelt", "df_e").unionByName(by_term.select("e", "t", "m", "near", "spelt", "df_e"))
-    rare = rare.groupBy("e", "t", "near", "spelt", "df_e").agg(F.count("*").alias("texts"), F.sum("m").alias("df_et"))
-    rare = rare.filter(F.col("near") + F.col("spelt") + F.col("texts") >= support).select("e", "t", "df_et", "df_e")
-    pairs = materialize(usual.unionByName(rare), "pii-pairs")
+    padded = _pieces(F.concat(F.lit(" "), F.col("outside"), F.lit(" ")))
+    seen = _let(padded, lambda p: F.transform("base", lambda x: F.struct(_entity(x).alias("e"), _window(p, x).alias("window"))))
+    windows = materialize(texts.select("text_key", "m", F.explode(seen).alias("x")).select("text_key", "m", "x.e", "x.window").distinct(), "pii-windows")
+    term = materialize(texts.select("text_key", F.explode(_terms(F.col("outside"))).alias("t")), "pii-terms")
+    entity = materialize(windows.select("text_key", "m", "e").distinct(), "pii-entities")
+    known = entity.groupBy("e").agg(F.sum("m").alias("df_e"))
+    beside = windows.select("text_key", "m", "e", F.explode("window").alias("t"), F.lit(0).alias("spelt"))
+    spelt = entity.filter("e like '0:%'").select("text_key", "m", "e", F.explode(_spellings(F.col("e"))).alias("t"), F.lit(2).alias("spelt"))
+    spelt = spelt.join(term, ["text_key", "t"], "left_semi").select("text_key", "m", "e", "t", "spelt")
+    pairs = beside.unionByName(spelt).groupBy("e", "t", "text_key").agg(F.first("m").alias("m"), F.max("spelt").alias("spelt"))
+    pairs = pairs.groupBy("e", "t").agg(F.count("*").alias("texts"), F.sum("m").alias("df_et"), F.max("spelt").alias("spelt"))
+    # A window that several texts share is one piece of evidence.
+    near = windows.select("e", "window").distinct().select("e", F.explode("window").alias("t")).groupBy("e", "t").agg(F.count("*").alias("near"))
+    pairs = pairs.join(near, ["e", "t"], "left").filter(F.col("texts") + F.coalesce("near", F.lit(0)) + F.col("spelt") >= support)
+    pairs = materialize(pairs.select("e", "t", "df_et").join(known, "e"), "pii-pairs")
     df_t = docs.select(F.explode(_terms(F.coalesce(F.col("outside"), F.lit("")))).alias("t"))
     # An inner join below, as a semi join would be pushed under the counts and shuffle every word.
     df_t = df_t.groupBy("t").agg(F.count("*").alias("df_t"))
@@ -213,38 +247,30 @@ def disclosures(held: DataFrame, docs: DataFrame, disclosure: float, support: in
     pmi = F.log(n * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
     ic = F.log(n / F.col("df_e"))
     revealing = pairs.join(df_t, "t").filter((ic > 0) & (pmi >= disclosure * ic)).select("e", "t")
-    return entity.join(revealing, "e").join(term, ["text_key", "t"], "left_semi").groupBy("text_key").agg(F.sort_array(F.collect_set("t")).alias("revealing"))
+    return revealing.join(term, "t").join(entity.select("e", "text_key"), ["e", "text_key"], "left_semi").select("text_key", "t").distinct()
 
 
 def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """docs (text, ...) -> the same rows with base and spans (start, rank, end, value) and redacted.
 
-    Every row stays, with its other columns; columns named base, spans or redacted
-    are replaced. In redacted each span is generalised to its kind; spans that
-    overlap count as one. A null text stays null and has no spans; so does an
-    empty one. Repeated rows get alike results.
+    Every row stays, with its other columns, whatever their names; columns named base,
+    spans or redacted are replaced. In redacted each span is generalised to its kind; a
+    span within another counts as one with it. A null text stays null and has no spans;
+    so does an empty one. Repeated rows get alike results. No rows give no rows.
     """
     docs = docs.drop("base", "spans", "redacted")
-    names = docs.columns
-    tagged = docs.withColumn("text_", F.col("text")).withColumn("base", base_spans(F.col("text")))
-    held = tagged.filter(F.size("base") > 0)
-    held = materialize(held.withColumn("outside", _outside(F.col("text_"), F.col("base"))).withColumn("text_key", F.sha2(F.col("text_"), 256)), "pii-held")
-    free = tagged.filter(F.size("base") == 0).select(F.col("text_").alias("outside"))
-    found = disclosures(held.select("text_key", "base", "outside"), free.unionByName(held.select("outside")), disclosure, support)
-    held = held.join(found, "text_key", "left")
-    either = F.concat(F.lit(rf"(?i)(?u)(?<![{WORD}])(?:"), F.array_join("revealing", "|"), F.lit(rf")(?![{WORD}])"))
-    terms = F.when(F.col("revealing").isNull(), _none()).otherwise(places(F.col("text_"), either, len(KINDS)))
-    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    held = held.withColumn("spans", F.array_sort(F.concat("base", F.filter(terms, apart))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("whole"), base_spans(F.col("text")).alias("base"))
+    held = rows.filter(F.size("base") > 0).withColumn("outside", outside(F.col("whole"), F.col("base"))).withColumn("text_key", F.sha2("whole", 256))
+    held = materialize(held, "pii-held")
+    clean = rows.filter(F.size("base") == 0)
+    texts = held.groupBy("text_key").agg(F.count("*").alias("m"), F.first("base").alias("base"), F.first("outside").alias("outside"))
+    texts = materialize(texts, "pii-texts")
+    every = clean.select(F.col("whole").alias("outside")).unionByName(held.select("outside"))
+    found = materialize(disclosures(texts, every, disclosure, support), "pii-found")
+    word = texts.join(found.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.explode(places(F.col("outside"), TERM, len(KINDS))).alias("x"))
+    terms = word.withColumn("t", F.lower("x.value")).join(found, ["text_key", "t"], "left_semi").groupBy("text_key").agg(F.collect_list("x").alias("terms"))
+    held = held.join(terms, "text_key", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("terms", _none()))))
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, "term")])
-
-    def step(s: Column, x: Column) -> Column:
-        between = F.substring(F.col("text_"), s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        moved = F.struct(x["end"].alias("at"), F.concat(s["out"], between, F.element_at(kinds, x["rank"] + 1)).alias("out"))
-        return F.when(x["end"] <= s["at"], s).otherwise(moved)
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    redacted = F.aggregate("spans", zero, step, lambda s: F.concat(s["out"], F.substring(F.col("text_"), s["at"] + 1, F.length("text_"))))
-    held = held.withColumn("redacted", redacted).select(*names, "base", "spans", "redacted")
-    clean = tagged.filter(F.size("base") == 0).select(*names, "base", F.col("base").alias("spans"), F.col("text").alias("redacted"))
-    return clean.unionByName(held)
+    held = held.withColumn("redacted", rewritten(F.col("whole"), F.col("spans"), lambda x, at: F.element_at(kinds, x["rank"] + 1)))
+    own = [F.col("row")[c].alias(c) for c in docs.columns]
+    return clean.select(*own, "base", F.col("base").alias("spans"), F.col("whole").alias("redacted")).unionByName(held.select(*own, "base", "spans", "redacted"))
