@@ -129,6 +129,21 @@ def test_topk_ties_repeats_and_odd_vectors(spark):
     assert knn.search(df.limit(0), q).count() == 0 and knn.search(df, q.limit(0)).count() == 0
 
 
+def test_topk_ships_only_what_bounds_reach(spark, caplog):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 6)) * 40
+    x = np.round(np.repeat(centres, 50, axis=0) + rng.normal(size=(1000, 6)), 2)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    with caplog.at_level("INFO", logger="tickloom.llm.knn"):
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in knn.search(df, df.filter("vec_id % 50 = 0")).collect()}
+    q = np.floor(256 * x)
+    for i in range(0, 1000, 50):
+        want = sorted(((-int(q[i] @ q[j]), j) for j in range(1000) if j != i))[:5]
+        assert [got[i, k + 1] for k in range(5)] == [(j, -s) for s, j in want]
+    groups, queries_, cells = (int(caplog.messages[-1].split()[k]) for k in (4, 6, 9))
+    assert cells < 0.5 * queries_ * (groups - 1)
+
+
 # --- near-dedup -----------------------------------------------------------------------------------
 
 
@@ -207,6 +222,38 @@ def test_targets_reshare_the_excess(spark):
     assert got["c"] == 30 and got[None] == 0 and got["a"] == 300 and got["b"] == 1110 - 330
 
 
+def test_mix_fills_until_nothing_fits(spark):
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.choice([1, 3, 8, 20, 60, 400]), rng.choice("abc")) for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for s, g in got.toPandas().groupby("source"):
+        gap = g["target"].iloc[0] - g["taken"].sum()
+        whole = int(g["target"].iloc[0] // g["source_size"].iloc[0])
+        left = g[g["copies"] == whole]["size"]
+        assert gap >= 0 and (left.empty or left.min() > gap), s
+    # Longer texts are likelier: the share of words taken beyond the whole copies grows with the size.
+    pdf = got.toPandas()
+    extra = pdf[pdf["source"] == "a"].assign(more=lambda x: x["copies"] - x["copies"].min()).groupby("size")["more"].mean()
+    assert extra.loc[1] < extra.loc[60] <= extra.loc[400]
+
+
+def test_mix_draws_repeats_one_by_one(spark):
+    rows = [(7, "a b c", "s")] * 9_000 + [(i, "x y z u", "s") for i in range(100, 200)] + [(i, "a " * 50, "t") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(df).toPandas()
+    per = got.groupby(got["doc_id"].eq(7) | got["doc_id"].between(100, 199)).agg(taken=("taken", "sum"), words=("size", "sum"))
+    target = got[got["doc_id"] == 7]["target"].iloc[0]
+    assert len(got) == len(rows) and abs(per.loc[True, "taken"] - target) <= 4 and got[got["doc_id"] == 7]["copies"].nunique() == 2
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["p", "u", "k", "at", "row", "bits", "whole", "rest", "plan_source", "cut", "gap", "rounds", "factor", "longest", "range", "part", "n", "key"]
+    df = spark.createDataFrame([(*[f"{n}{i}" for n in names], i, "a b c d"[: 2 * i + 1], "s") for i in range(4)], ", ".join(f"{n} string" for n in names) + ", doc_id long, text string, source string")
+    for out in (mixing.mix(df), mixing.mix(df.unionAll(df))):
+        for r in out.collect():
+            assert all(r[n] == f"{n}{r['doc_id']}" for n in names)
+
+
 def test_mix_odd_rows(spark):
     rows = [(1, "a b c", "s"), (1, "a b c", "s"), (None, "d e", None), (2, None, "s"), (3, "", "t"), (4, "w " * 50_000, "u")]
     df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, source string, taken int")
@@ -245,6 +292,15 @@ def test_revisit_verdicts(spark):
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+def test_revisits_with_ties(spark):
+    rows = [(1, "a.com", 10, 200, {"etag": x, "vary": "v"}, p) for x, p in (("b", 2), ("a", 2), ("c", 3), ("z", None), ("y", None))] + [(2, "a.com", 20, 304, {"etag": x}, None) for x in ("y", "q")]
+    schema = "record_id long, url string, ts long, status int, headers map<string,string>, payload_id long"
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        (r,) = warc.resolve(spark.createDataFrame(rows, schema).repartition(3)).collect()
+        assert r["payload_id"] is None and r["verdict"] == "mismatch" and r["headers"] == {"etag": "q"}
+
+
 # --- scratch and pipeline -------------------------------------------------------------------------
 
 

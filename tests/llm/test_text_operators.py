@@ -57,6 +57,24 @@ def test_interactions_are_learned():
     assert s[0] > 0.8 and s[1:].max() < 0.3
 
 
+def test_half_of_a_pair_without_odds_of_its_own():
+    """The mention is as frequent in toxic as in clean texts; beside the ambiguous word it decides."""
+    rng = np.random.default_rng(3)
+    texts, y = [], []
+    for k in range(2400):
+        kind = k % 8
+        words = {0: ["vermin", "foreigners"], 1: ["vermin", "foreigners"], 2: ["scum"], 3: ["scum"], 4: ["vermin"]}.get(kind, ["foreigners"] if kind in (5, 6) else [])
+        texts.append(" ".join([*words, *rng.choice(["day", "sun", "tree", "road"], 2)]))
+        y.append(int(kind < 4))
+    of = lambda w: toxicity.term_ids(w)[0]
+    ids = [np.array([t for w in toxicity.words_of(x) for t in toxicity.term_ids(w)]) for x in texts]
+    holds = np.array([of("foreigners") in x for x in ids])
+    assert abs(np.mean(np.array(y)[holds]) - np.mean(y)) < 0.02
+    m = toxicity.fit(ids, np.array(y), epochs=60)
+    s = toxicity.score_words(m, [toxicity.words_of(x) for x in ("vermin foreigners sun", "vermin sun", "foreigners sun", "scum tree")], {}, m.table())
+    assert of("foreigners") in m.table() and s[0] > 0.7 and s[3] > 0.7 and s[1:3].max() < 0.3
+
+
 def test_scores_equal_the_formula():
     rng = np.random.default_rng(1)
     docs = [np.array([t for w in toxicity.words_of(x) for t in toxicity.term_ids(w)]) for x in ["bad day", "good day", "bad sun", "good sun"] * 40]

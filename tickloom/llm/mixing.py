@@ -15,7 +15,7 @@ until none fits.
 Taking what fits goes in rounds: of the documents behind the last cut that are no longer
 than the gap, as many are taken in the order of Q as fit together. The first rounds are
 distributed; when all gaps are below ``FILL`` words, a group for each source ends it, with
-no more documents of each size than the gap could hold.
+no more documents of each size than the gap could hold, and the one that ends them.
 
 Scale: a row for each document (source, bits, size, rank) is written aside, never a text.
 Running sums are taken within (source, range of Q), so a source that holds a third of all
@@ -154,7 +154,7 @@ def _fill(tickets: DataFrame, plan: DataFrame) -> DataFrame:
     key = plan.select(F.col("source").alias("plan_source"), "gap", F.try_element_at("rounds", F.lit(-1))["cut"].alias("low"))
     rows = tickets.join(key, F.col("source").eqNullSafe(F.col("plan_source"))).filter((F.col("size") <= F.col("gap")) & (F.col("low").isNull() | (F.col("at") > F.col("low"))))
     first = Window.partitionBy("source", "size").orderBy("at")
-    rows = rows.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= FILL).filter(F.col("i") * F.col("size") <= F.col("gap"))
+    rows = rows.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= FILL + 1).filter((F.col("i") - 1) * F.col("size") <= F.col("gap"))
     rows = rows.select("source", "size", "gap", "at.rank", "at.bits", "at.k")
 
     def run(t: pa.Table) -> pa.Table:
@@ -179,12 +179,13 @@ def _numbered(docs: DataFrame, key: list[str]) -> DataFrame:
     """Rows of repeats with k = 1, 2, ... within a key; a key's rows are numbered in parts."""
     docs = materialize(docs.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))), "mix-repeats")
     earlier = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = docs.groupBy(*key, "part").agg(F.count("*").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    counts = docs.groupBy(*key, "part").agg(F.count("*").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    counts = counts.select(*[F.col(c).alias(f"{c}_") for c in (*key, "part")], "earlier")
     same = F.lit(True)
     for c in (*key, "part"):
-        same = same & docs[c].eqNullSafe(counts[c])
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
     docs = docs.withColumn("i", F.row_number().over(Window.partitionBy(*key, "part").orderBy("part"))).join(counts, same)
-    return docs.select(docs["row"], *[docs[c] for c in key], (F.col("earlier") + F.col("i")).alias("k"))
+    return docs.select("row", *key, (F.col("earlier") + F.col("i")).alias("k"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
@@ -239,9 +240,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed
     plan = materialize(plan.withColumn("rounds", F.concat("rounds", F.coalesce("last", F.array().cast(f"array<{ROUND}>")))), "mix-cuts")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("source"), bits.alias("bits"), size.alias("size"))
     if repeated:
+        repeats = repeats.select(*[F.col(c).alias(f"{c}_") for c in key])
         same = F.lit(True)
         for c in key:
-            same = same & rows[c].eqNullSafe(repeats[c])
+            same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
         several = _numbered(rows.join(repeats, same, "left_semi"), key)
         rows = rows.join(repeats, same, "left_anti").withColumn("k", F.lit(1).cast("long")).unionByName(several)
     else:
@@ -250,6 +252,5 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed
     drawn = F.exists("rounds", lambda r: (r["low"].isNull() | (F.col("at") > r["low"])) & (F.col("at") <= r["cut"]) & (F.col("size") <= r["gap"]))
     copies = F.least(F.col("whole") + (F.coalesce(drawn, F.lit(False)) | (F.col("p") == 1)).cast("long"), F.lit(most))
     rank = F.when(F.col("p") == 1, 0.0).otherwise(F.col("at.rank"))
-    return rows.select(
-        *[F.col("row")[c].alias(c) for c in docs.columns], "size", "source_size", "target", rank.alias("pareto_rank"), copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    rows = rows.select("row", "size", "source_size", "target", rank.alias("pareto_rank"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns], *ADDED)

@@ -11,9 +11,14 @@ The second part holds a learned interaction of every pair of terms, such as an
 insult with the mention of a group. It is additive in the words, so a document
 costs one table look-up for each distinct word.
 
-The model is fitted on the driver on at most ``MAX_TRAIN_DOCS`` labelled rows,
-chosen by a hash of doc_id, as their hashed terms (never texts) are collected. The
-scores cover every whole text.
+Terms are hashed into a table of 2^``HASH_BITS`` places, which bounds the model. Of these
+the fit keeps the terms whose label odds differ by more than ODDS standard errors, among
+all documents or among those that hold a term kept so: a frequent, neutral mention of a
+group matters only beside an insult.
+
+The model is fitted on the driver on at most ``MAX_TRAIN_DOCS`` labelled rows, chosen by a
+hash of doc_id. Their terms are counted by Spark, and only the kept ones of each document
+(never texts) are collected. The scores cover every whole text.
 """
 
 from __future__ import annotations
@@ -28,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import sliced, trim
+from tickloom.llm.common import materialize, sliced, trim
 
 #: Bound of the labelled sample that the model is fitted on.
 MAX_TRAIN_DOCS = 12_000
-#: Bound of the terms that the model keeps, those whose label odds differ most.
-MAX_TERMS = 6_000
-HASH_BITS = 28
+#: Bits of a hashed term: the model has at most so many places.
+HASH_BITS = 20
+#: Standard errors that the log odds of a kept term differ by, and documents that it is in at least.
+ODDS, SUPPORT = 2.5, 3
 FACTORS = 4
 PREFIXES = (4, 5)
 #: A text is toxic from this score on.
@@ -80,6 +86,28 @@ def _sums(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndar
     return out
 
 
+def telling(df: np.ndarray, hits: np.ndarray, n: int, toxic: int) -> np.ndarray:
+    """Whether terms in df of n documents, hits of them toxic, have label odds beyond chance."""
+    df, hits = df.astype(float), hits.astype(float)
+    a, c = (hits + 0.5) / (toxic + 1), (df - hits + 0.5) / (n - toxic + 1)
+    return (df >= SUPPORT) & (np.abs(np.log(a / c)) / np.sqrt(1 / (hits + 0.5) + 1 / (df - hits + 0.5)) > ODDS)
+
+
+def _kept(flat: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sorted terms that tell, among all documents or among those that hold one that does."""
+
+    def among(at: np.ndarray, n: int, toxic: int) -> np.ndarray:
+        pairs = np.unique((flat[at].astype(np.int64) << 32) | owner[at])
+        terms, where = np.unique(pairs >> 32, return_inverse=True)
+        df, hits = np.bincount(where, minlength=len(terms)), np.bincount(where, weights=y[pairs & 0xFFFFFFFF], minlength=len(terms))
+        return terms[telling(df, hits, n, toxic)]
+
+    first = among(np.arange(len(flat)), len(y), int(y.sum()))
+    holds = np.zeros(len(y), bool)
+    holds[owner[np.isin(flat, first)]] = True
+    return np.union1d(first, among(np.flatnonzero(holds[owner]), int(holds.sum()), int(y[holds].sum())))
+
+
 def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> Model:
     """Fit by Adam on the log loss. docs: the term instances of each document (repeats allowed)."""
     y = np.asarray(labels, dtype=np.float64)
@@ -88,23 +116,8 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int
     counts = np.array([len(d) for d in docs])
     flat = np.concatenate(docs).astype(np.int32, copy=False) if counts.sum() else np.zeros(0, np.int32)
     owner = np.repeat(np.arange(len(docs), dtype=np.int32), counts)
-    # (term, document) as one number, sorted in place: memory stays near that of the terms themselves.
-    pairs = flat.astype(np.int64) << 32
-    pairs |= owner
-    pairs.sort()
-    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
-    first = np.flatnonzero(np.diff(pairs >> 32, prepend=-1))
-    terms = pairs[first] >> 32
-    df = np.diff(np.append(first, len(pairs))).astype(float)
-    hits = np.add.reduceat(y[pairs & 0xFFFFFFFF], first) if len(first) else np.zeros(0)
-    del pairs
+    terms = _kept(flat, owner, y)
     n1, n0 = y.sum(), len(y) - y.sum()
-    a, c = (hits + 0.5) / (n1 + 1), (df - hits + 0.5) / (n0 + 1)
-    z = np.abs(np.log(a / c)) / np.sqrt(1 / (hits + 0.5) + 1 / (df - hits + 0.5))
-    z[df < 3] = 0
-    keep = np.sort(np.argsort(-z, kind="stable")[:MAX_TERMS])
-    keep = keep[z[keep] > 2.5]
-    terms = terms[keep]
     # Places of the instances of kept terms, block by block.
     known_at, known_owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for lo in range(0, len(flat) if len(terms) else 0, 1 << 20):
@@ -194,20 +207,44 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     rows = rows.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN_DOCS)
     # The bound of the sample bounds the broadcast.
     pairs = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("label", "text")
-    got = pairs.mapInArrow(_instances, "label int, terms array<int>").toArrow()
-    y = got.column("label").to_numpy()
-    terms = got.column("terms").combine_chunks() if got.num_rows else None
-    if terms is None:
-        return fit([], y)
-    if isinstance(terms, pa.ChunkedArray):
-        terms = pa.concat_arrays(terms.chunks)
-    values, offsets = terms.flatten().to_numpy(), terms.offsets.to_numpy() - terms.offsets[0].as_py()
-    model = fit([values[offsets[i] : offsets[i + 1]] for i in range(len(y))], y)
-    del got, terms, values
+    terms = materialize(pairs.mapInArrow(_instances, "label int, terms array<int>"), "toxic-terms")
+
+    def counted(rows: DataFrame) -> np.ndarray:
+        """Terms of rows that tell. The driver sees no more counts than the table has places."""
+        n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+        own = rows.select("label", F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count("*").alias("df"), F.sum("label").alias("hits"))
+        got = own.filter(F.col("df") >= SUPPORT).toArrow()
+        t, df, hits = (got.column(c).to_numpy() for c in ("t", "df", "hits"))
+        return np.sort(t[telling(df, hits, n, toxic)])
+
+    def kept_of(kept: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [[t for t, known in zip(x, np.isin(x, kept), strict=True) if known] if x else [] for x in batch.column("terms").to_pylist()]
+                yield pa.record_batch([batch.column("label"), pa.array(own, pa.list_(pa.int32()))], names=["label", "terms"])
+
+        return run
+
+    schema = "label int, terms array<int>"
+    first = counted(terms)
+    kept = np.union1d(first, counted(materialize(terms.mapInArrow(_holding(first), schema), "toxic-beside")))
+    got = terms.mapInArrow(kept_of(kept), schema).toArrow()
+    model = fit([np.array(x, np.int32) for x in got.column("terms").to_pylist()], got.column("label").to_numpy())
+    del got
     trim()
     return model
 
 
+def _holding(kept: np.ndarray):
+    """The rows with one of the kept terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(x) and bool(np.isin(x, kept).any()) for x in batch.column("terms").to_pylist()], pa.bool_()))
+
+    return run
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept from the fit; a null doc_id is none of them."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -216,7 +253,7 @@ def held_out(doc_id: Column) -> Column:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text) -> doc_id, score; every row is kept, null and empty texts get the score of no words.
 
-    The model is a few thousand terms (``MAX_TERMS``), so its copy in each task is bounded.
+    The model has at most 2^``HASH_BITS`` terms, so its copy in each task is bounded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
