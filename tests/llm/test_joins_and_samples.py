@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import duck, same
-from tickloom.llm import dedup, graph, knn, mixing, ngram_join, queries, warc
+from tickloom.llm import bpe, dedup, graph, knn, mixing, ngram_join, queries, warc
 from tickloom.llm.common import materialize, scratch_root
 
 
@@ -238,10 +238,10 @@ def test_mix_fills_until_nothing_fits(spark):
 
 
 def test_mix_draws_repeats_one_by_one(spark):
-    rows = [(7, "a b c", "s")] * 9_000 + [(i, "x y z u", "s") for i in range(100, 200)] + [(i, "a " * 50, "t") for i in range(900)]
+    rows = [(7, "a b c", "s")] * 9_000 + [(i, "x y z u", "s") for i in range(100, 200)] + [(i, "a " * 50, "t") for i in range(1000, 1900)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     got = mixing.mix(df).toPandas()
-    per = got.groupby(got["doc_id"].eq(7) | got["doc_id"].between(100, 199)).agg(taken=("taken", "sum"), words=("size", "sum"))
+    per = got.groupby(got["doc_id"] < 1000).agg(taken=("taken", "sum"), words=("size", "sum"))
     target = got[got["doc_id"] == 7]["target"].iloc[0]
     assert len(got) == len(rows) and abs(per.loc[True, "taken"] - target) <= 4 and got[got["doc_id"] == 7]["copies"].nunique() == 2
 
@@ -327,7 +327,34 @@ def test_pipeline_stages(spark, sf):
     mixed = materialize(stage["mix"](spark, safe, sf), "s4")
     assert mixed.columns == docs.columns and {r[0] for r in mixed.select("doc_id").collect()} <= {r[0] for r in safe.select("doc_id").collect()}
     final = stage["bpe"](spark, mixed, sf)
-    assert final.count() == mixed.count() and final.filter("n_tokens <> size(ids)").count() == 0
+    assert final.count() == mixed.count() and final.filter("n_tokens <> size(ids) or not intact").count() == 0
+    # Against the operators' definitions: each source's words come near its target, texts are those that stage 3 left.
+    texts = {r["doc_id"]: r["text"] for r in safe.collect()}
+    assert all(r["text"] == texts[r["doc_id"]] for r in mixed.collect())
+    ids = {r["doc_id"]: r["ids"] for r in final.collect()}
+    c = bpe.codec(bpe.read_ranks(spark, cp.public_tokenizers.path(cp.VOCABULARY)), cp.public_tokenizers.PATTERN)
+    assert all(c.decode([np.array(x, np.int32)])[0].decode() == (texts[i] or "") for i, x in list(ids.items())[:50])
+
+
+def test_pipeline_stages_of_odd_rows(spark, sf):
+    import corpus_pipeline as cp
+
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text), (None, text), (None, text + " z"), (3, text), (3, text + " y"), (4, "b@c.de"), (4, "b@c.de"), (5, None), (5, None), (6, ""), (None, "lone words of no one else at all")]
+    names = ["row", "key", "own", "whole", "again", "leader", "kept", "copy", "copies", "size", "spans", "base", "redacted", "taken"]
+    df = spark.createDataFrame([(i, t, "en", "s", 3, *[n] * len(names)) for i, t in rows for n in ["x"]], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    single = cp.near_copies(spark, df, sf)
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in single.collect())
+    long = [t for _, t in got if t.startswith(text[:20])]
+    assert single.columns == df.columns and len(long) == 1 and got.count(("4", "b@c.de")) == 1 and ("6", "") in got and ("None", "lone words of no one else at all") in got
+    assert {r["key"] for r in single.collect()} == {"x"}
+    safe = materialize(cp.personal_data(spark, single, sf), "odd")
+    assert safe.columns == df.columns and {r["text"] for r in safe.filter("doc_id = 4").collect()} == {"[EMAIL]"} and safe.filter("doc_id = 4").first()["n_chars"] == 7
+    mixed = cp.mixed(spark, safe, sf)
+    assert mixed.columns == df.columns and {r["copies"] for r in mixed.collect()} <= {"x"}
+    assert cp.tokens(spark, mixed, sf).filter("not intact").count() == 0
+    for stage in (cp.near_copies, cp.personal_data, cp.mixed, cp.tokens):
+        assert stage(spark, df.limit(0), sf).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

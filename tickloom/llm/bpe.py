@@ -412,6 +412,27 @@ def encode(docs: DataFrame, path: str, pattern: str, cache: int = CACHE, slice_b
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType())))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, cache: int = CACHE, slice_bytes: int = 4 << 20) -> DataFrame:
+    """docs (text, ...) -> the same columns, ids array<int> and intact: whether the ids decode to the text's bytes.
+
+    A null text counts as an empty one. Columns ids and intact are replaced.
+    """
+    docs = docs.drop("ids", "intact")
+    data = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(data.value, pattern, cache)
+        for batch in sliced(batches, "text", slice_bytes):
+            texts = batch.column("text").to_pylist()
+            ids, decoded = c.round_trip(texts)
+            same = [d == (t or "").encode() for t, d in zip(texts, decoded, strict=True)]
+            yield batch.append_column("ids", lists_of(ids)).append_column("intact", pa.array(same, pa.bool_()))
+
+    from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType())).add("intact", BooleanType()))
+
+
 def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     """rows (ids, ...) -> the same columns and decoded binary; null ids are none."""
     rows = rows.drop("decoded")
