@@ -65,10 +65,15 @@ def _tables(bits: int, threshold: float) -> int:
     return 1 if alike >= START else min(TABLES, math.ceil(math.log(1 - START) / math.log1p(-max(alike, 1e-9))))
 
 
+def _normal(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Scaled by their largest component first, so that no square vanishes or overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     rows = column.to_pylist()
-    x = np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return _normal(np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1))
 
 
 def _blockwise(rows: DataFrame) -> DataFrame:
@@ -129,7 +134,7 @@ def _buckets(nodes: DataFrame, dims: list[int], bits: int, tables: int, seed: in
             size = np.array([len(x) // 8 for x in v])
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
-                x = np.frombuffer(b"".join(v[i] for i in at), np.float64).reshape(len(at), d)
+                x = _normal(np.frombuffer(b"".join(v[i] for i in at), np.float64).reshape(len(at), d))
                 for k in range(tables):
                     b = ((x @ planes[d][k].T > 0).astype(np.int64) << np.arange(BITS)).sum(axis=1)
                     yield pa.record_batch(
@@ -151,7 +156,7 @@ def _links(nodes: DataFrame, sample: int, threshold: float) -> DataFrame:
     taken = nodes.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample).select("id", "v").toArrow()
     own = [(int(i), np.frombuffer(v, np.float64)) for i, v in zip(taken.column("id").to_pylist(), taken.column("v").to_pylist(), strict=True)]
     dims = {d: (np.array([i for i, v in own if len(v) == d]), np.array([v for _, v in own if len(v) == d])) for d in {len(v) for _, v in own}}
-    data = nodes.sparkSession.sparkContext.broadcast({d: (i, x / np.sqrt((x * x).sum(1, keepdims=True))) for d, (i, x) in dims.items()})
+    data = nodes.sparkSession.sparkContext.broadcast({d: (i, _normal(x)) for d, (i, x) in dims.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,8 +8,9 @@ A document is the set of its distinct shingles of w words. Two documents link wh
   n - ceil(t n) + 1 elements of a common order of all shingles. The order is by
   hash, but the shingles of common passages, those in more than ``COMMON`` of all
   documents, come last, so they head no tile unless a set has little else. A tile
-  holds the classes that share such an element, in bands of size: linked sets lie
-  in the same band or the next.
+  holds the classes of a band of size and the next one that share such an element:
+  linked sets lie in the same band or in adjacent ones. A tile of more than ``CELL``
+  classes is parted into blocks, and each two blocks meet in a cell of their own.
 * Bitmaps. Each set has a parity bitmap of its hashes. Bits that differ between two
   bitmaps bound the symmetric difference from below, so the overlap from above:
   |A & B| <= (|A| + |B| - differing) / 2. Pairs that can't reach t go no further.
@@ -47,8 +48,10 @@ ROUNDS, HEADS = 7, 4
 PART = 256
 #: Rows of a column of ids up to which a side is broadcast; beyond that it is shuffled.
 BROADCAST = 500_000
-#: Rows that a group of tiles is meant to have.
-TILE_ROWS = 50_000
+#: Rows that a group of tiles is meant to have, and rows of a block of a large tile.
+TILE_ROWS, CELL = 50_000, 4096
+#: Parts that the rows of one set are dealt to when they learn their class.
+SALTS = 16
 SLICE = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -241,7 +244,8 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
 
 def _pairs_of_tile(rows: pa.Table, percent: int) -> pa.Table:
     """Pairs of a tile's classes in different components whose bitmaps allow a link."""
-    key, n, ids, comp, own = (rows.column(c).to_numpy() for c in ("key", "n", "id", "comp", "own"))
+    key, n, ids, comp, own, part = (rows.column(c).to_numpy() for c in ("cell", "n", "id", "comp", "own", "part"))
+    alone = rows.column("alone").to_numpy()
     bits = rows.column("bits").to_pylist()
     large = np.array([len(b) * 8 == LARGE_BITS for b in bits])
     tight = np.frombuffer(b"".join([_fold(b) if l else b for b, l in zip(bits, large, strict=True)]), np.uint64).reshape(len(bits), -1)
@@ -258,7 +262,7 @@ def _pairs_of_tile(rows: pa.Table, percent: int) -> pa.Table:
             continue
         for k, i in enumerate(at[:-1]):
             j = at[k + 1 :]
-            j = j[(comp[j] != comp[i]) & (own[j] | own[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            j = j[(comp[j] != comp[i]) & (own[j] | own[i]) & (alone[j] | (part[j] != part[i])) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
             if not len(j):
                 continue
             both = large[j] & large[i]
@@ -290,7 +294,11 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, tile_rows: int = TI
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = materialize(shingle_sets(docs, words, percent), "shingle-sets")
     keys = sets.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    member = materialize(sets.select("doc_id", "n", "k1", "k2").join(keys, ["n", "k1", "k2"], "left").select("doc_id", "n", "rep"), "shingle-classes")
+    # A set that a third of the rows have is looked up in SALTS places.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    places = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    member = sets.select("doc_id", "n", "k1", "k2", salt.alias("salt")).join(places, ["n", "k1", "k2", "salt"], "left").select("doc_id", "n", "rep")
+    member = materialize(member, "shingle-classes")
     several = member.filter("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     # A doc_id with several texts ties their classes; a class whose smallest doc_id has another text is tied to it as well.
     tied = member.filter("doc_id is not null and rep is not null").join(several.filter("lo < hi").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -366,12 +374,10 @@ def _tile_pairs(tiles: DataFrame, bits: DataFrame, labels: DataFrame, percent: i
     parts = rows.count() // tile_rows + 1
     rows = _with_bits(rows, bits)
     b = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    # A large tile is parted into each band with the next one; a pair counts in the tile of its lower member.
-    bands = F.when(F.col("rows") > tile_rows // 25, F.array(b, b - 1)).otherwise(F.array(F.lit(-1)))
-    rows = rows.withColumn("band", F.explode(bands)).withColumn("own", F.col("band").isin(-1) | (F.col("band") == b))
-    rows = rows.withColumn("tile", F.expr(f"pmod(xxhash64(key), {parts})"))
-    return (
-        rows.groupBy("band", "tile")
-        .applyInArrow(lambda t: _pairs_of_tile(t.combine_chunks(), percent), "a long, b long")
-        .distinct()
-    )
+    # A tile is a band with the next one; a pair counts in the tile of its lower member.
+    rows = rows.withColumn("band", F.explode(F.array(b, b - 1))).withColumn("own", F.col("band") == b)
+    rows = rows.withColumn("parts", F.ceil(F.col("rows") / CELL).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("cell", F.xxhash64("key", "band", F.least("part", "other"), F.greatest("part", "other"))).withColumn("alone", F.col("part") == F.col("other"))
+    rows = rows.withColumn("tile", F.expr(f"pmod(cell, {2 * parts})")).select("tile", "cell", "id", "n", "comp", "own", "part", "alone", "bits")
+    return rows.groupBy("tile").applyInArrow(lambda t: _pairs_of_tile(t.combine_chunks(), percent), "a long, b long").distinct()
