@@ -5,7 +5,7 @@ import pytest
 from tests.compare import duck, same
 
 from tickloom import queries as engine
-from tickloom import queries_more  # noqa: F401
+from tickloom import oracles, queries_more  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(engine.ORACLE_SQL))

@@ -219,3 +219,20 @@ def feature_matrix(tape: DataFrame, sec: int, horizon: int = 5, prefix: str = "f
     y = div(S.lead(c("close"), horizon), c("close")) - 1
     names = [x for x in wide.columns if x not in ("symbol", "bar")]
     return wide.withColumn("target", y).select("symbol", "bar", *[c(x).alias(prefix + x) for x in names], "target")
+
+
+def trade_microstructure(tape: DataFrame, sec: int, windows: tuple[int, ...] = (5, 10, 20, 60)) -> DataFrame:
+    """Fill sizes, level profile, side autocorrelation and runs, intensity and VWAP deviation of each bar, with
+    their rolling means and deviations (from two values on); missing values are 0."""
+    sides = ind.side_autocorrelation(ind.taker_series(tape, sec)).withColumn("bar", F.unix_seconds("bar_ts"))
+    parts = [
+        br.level_profile(tape, sec).select("symbol", "bar", "hhi", "top_share", "top_fill", "active_levels"),
+        sides.select("symbol", "bar", "buy_autocorr", "sell_autocorr", "cross_corr"),
+        br.side_runs(tape, sec),
+        br.intensity(tape, sec).select("symbol", "bar", "n_trades", "n_fills", "avg_fills", "trade_rate"),
+        br.vwap_deviation(tape, sec).select("symbol", "bar", "vwap", "vwap_dev", "vwap_change"),
+    ]
+    wide = reduce(lambda a, b: a.join(b, ["symbol", "bar"], "left"), parts, br.fill_size(tape, sec))
+    rolled = ("avg_fill_size", "hhi", "buy_autocorr", "sell_autocorr", "cross_corr", "mean_run", "n_trades", "trade_rate", "vwap_dev")
+    wide = wide.withColumns({f"{x}_{k}{n}": f(c(x), n, 2) for n in windows for x in rolled for k, f in (("mean", S.mean), ("std", S.std))})
+    return wide.fillna(0)

@@ -428,7 +428,8 @@ def spread_percentile_d(rows: DataFrame, column: str = "spread", n: int = 100) -
 
 
 def spread_expansion_d(tape: DataFrame, n: int = 100, threshold: float = 90) -> DataFrame:
-    rows = spread_percentile_d(spread_d(tape, "trade_diff", n), "spread", n)
+    """Trades whose spread is high among the last ones; spreads that agree to 9 digits count as equal."""
+    rows = spread_percentile_d(spread_d(tape, "trade_diff", n).withColumn("spread", F.round("spread", 9)), "spread", n)
     return rows.withColumn("expanded", F.coalesce(c("spread_pct") >= threshold, F.lit(False)))
 
 

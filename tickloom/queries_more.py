@@ -366,7 +366,7 @@ register("eval_turnover", lambda s, d: ev.turnover(xy(s, d), ["symbol"], "bar"),
 register("eval_summary", lambda s, d: ev.summary(xy(s, d), ["symbol"], "x").drop("skew", "kurt"), f"WITH {XY_SQL} SELECT symbol, count(x) AS n, {r('avg(x)', 'mean')}, {r('stddev_samp(x)', 'std')}, {r('min(x)', 'min')}, {r('max(x)', 'max')}, {', '.join(r(f'quantile_cont(x, {q / 100})', f'p{q:02d}') for q in (5, 25, 50, 75, 95))} FROM xy0 GROUP BY symbol")
 register("eval_signal_metrics", lambda s, d: ev.signal_metrics(xy(s, d).withColumn("signal", F.signum(F.round("x", 1)).cast("int")), ["symbol"], "bar"))
 register("eval_factor", lambda s, d: ev.evaluate(xy(s, d), ["symbol"], "bar", n=30))
-EXPRESSIONS = scans.first_order(["trade_imbalance", "volume"], (5, 20), ("ts_zscore", "delta", "ts_rank")) + scans.second_order(["trade_imbalance", "return_1"], (3,), (10,))[:12]
+EXPRESSIONS = scans.first_order(["trade_imbalance", "volume"], (5, 20), ("ts_zscore", "delta", "ts_rank")) + scans.second_order(["trade_imbalance", "return_1"], (3,), (10,), (10,))
 register("scan_factors", lambda s, d: scans.factor_scan(tape(s, d), SEC, EXPRESSIONS))
 register("scan_signals", lambda s, d: scans.signal_scan(bars(s, d), ["trade_imbalance", "volume_zscore"], [20, 40], [("zscore", {"n": 40}), ("quantile", {"n": 40})]))
 register("scan_best", lambda s, d: scans.best(scans.signal_scan(bars(s, d), ["trade_imbalance", "buy_sell_ratio"], [20], [("zscore", {"n": 40}), ("raw", {"dead": 0.1})]).drop("valid"), ["symbol"], "rank_ic"))
@@ -422,3 +422,4 @@ for _n, (_how, _p) in {"v0_ewm": ("ewm", {"alpha": 0.2, "adjust": True}), "v03_k
 register("study_split_half", lambda s, d: cm.split_half(xy(s, d), ["symbol"], "bar"), f"WITH {XY_SQL}, h AS (SELECT *, ntile(2) {P} AS half FROM xy0), e AS (SELECT symbol, corr(x, y) FILTER (half = 1) AS a, corr(x, y) FILTER (half = 2) AS b FROM h WHERE y IS NOT NULL GROUP BY symbol) SELECT symbol, {r('a', 'ic_1')}, {r('b', 'ic_2')}, (a * b > 0)::INT AS agree, {r('(abs(a) + abs(b)) / 2', 'mean_abs')} FROM e")
 register("study_threshold_sensitivity", lambda s, d: cm.threshold_sensitivity(factored(s, d), "factor", [0.5, 1.0, 2.0], 40))
 register("feature_matrix", lambda s, d: cm.feature_matrix(tape(s, d), SEC))
+register("compose_trade_microstructure", lambda s, d: cm.trade_microstructure(tape(s, d), SEC, (5, 20)).select("symbol", "bar", "avg_fill_size", "hhi", "avg_fill_size_mean5", "avg_fill_size_std20", "n_trades_mean20", "trade_rate_std5", "vwap_dev_mean5"))
