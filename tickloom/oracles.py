@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from tickloom.queries import BARS_SQL, MERGE_SQL, MERGED_AGG, OHLC_SQL, ORACLE_SQL, P, SEC, TAKER_SQL, TAPE_SQL, at_least, r, w
 from tickloom.queries_more import BOOK_SQL, BSEC, FX, HELD_SQL, LABEL, MB_SQL, BOTH, PATH_SQL, PS, SIG_SQL, XY_SQL, H, sides, time_window, tl, ws
 
@@ -180,3 +182,32 @@ h AS (SELECT symbol, bar, sum(share * share) AS hhi FROM (SELECT *, v / sum(v) O
 g AS (SELECT symbol, bar, avg(qty / greatest(n_fills, 1)) AS fill, count(*) AS n, count(*) / {SEC} AS rate, sum(notional) / sum(qty) AS vwap, arg_max(price, seq) AS close FROM a GROUP BY symbol, bar),
 b AS (SELECT *, (close - vwap) / (close + 1e-10) * 100 AS dev FROM g JOIN h USING (symbol, bar))
 SELECT symbol, bar, {named({'avg_fill_size': 'fill', 'hhi': 'hhi', **{n: f'coalesce({at_least(2, x, k, f"{f}({x})")}, 0)' for n, x, k, f in (('avg_fill_size_mean5', 'fill', 5, 'avg'), ('avg_fill_size_std20', 'fill', 20, 'stddev_samp'), ('n_trades_mean20', 'n', 20, 'avg'), ('trade_rate_std5', 'rate', 5, 'stddev_samp'), ('vwap_dev_mean5', 'dev', 5, 'avg'))}})} FROM b"""
+
+# --- paths by self-joins and recursions -----------------------------------------------------------
+S["spectrum_periods"] = f"""WITH {ACV.format(40)}, h AS (SELECT symbol, max(lag) AS h, max(gamma) FILTER (lag = 0) AS v FROM g GROUP BY symbol),
+s AS (SELECT symbol, j, any_value(h) AS h, any_value(v) AS v, greatest(sum(CASE WHEN lag = 0 OR lag = h THEN 1 ELSE 2 END * gamma * cos(j * lag * pi() / h)) / any_value(h), 0) AS a2 FROM g JOIN h USING (symbol) CROSS JOIN (SELECT unnest(range(1, 41)) AS j) GROUP BY symbol, j)
+SELECT symbol, j::INT AS j, {named({'period_sec': f'2 * h * {SEC} / j', 'a2': 'a2', 'share': 'a2 / v'})}, row_number() OVER (PARTITION BY symbol ORDER BY a2 DESC, j)::INT AS rank FROM s QUALIFY rank <= 3"""
+NUM = f"{BARS_SQL}, n AS (SELECT *, row_number() {P} AS i FROM bars)"
+S["smooth_kaufman"] = f"""WITH RECURSIVE {NUM}, d AS (SELECT *, abs(close - lag(close) {P}) AS step FROM n), e AS (SELECT *, abs(close - lag(close, 10) {P}) AS move, sum(step) {w(10)} AS path FROM d),
+k AS (SELECT symbol, bar, i, close, power(CASE WHEN path > 0 THEN move / path ELSE 0 END * (2.0 / 3 - 2.0 / 31) + 2.0 / 31, 2) AS k FROM e),
+y AS (SELECT symbol, bar, i, close AS y FROM k WHERE i = 1 UNION ALL SELECT k.symbol, k.bar, k.i, CASE WHEN k.i <= 10 THEN k.close ELSE y.y + k.k * (k.close - y.y) END FROM y JOIN k ON k.symbol = y.symbol AND k.i = y.i + 1)
+SELECT symbol, bar, {r('y', 'y')} FROM y"""
+FITTED = [float(np.polyval(np.polyfit(np.arange(12.0), np.eye(12)[k], 3), 11.0)) for k in range(12)]
+S["smooth_polyfit"] = f"WITH {BARS_SQL}, l AS (SELECT symbol, bar, list(close) {w(12)} AS l FROM bars) SELECT symbol, bar, {r(f'CASE WHEN len(l) = 12 THEN list_inner_product(l, {FITTED}::DOUBLE[]) END', 'y')} FROM l"
+S["smooth_bilateral"] = f"""WITH {NUM}, j AS (SELECT a.symbol, a.bar, b.close AS v, exp(-power((b.i - a.i) / 2.0, 2) / 2 - power(b.close - a.close, 2) / 2) AS weight FROM n a JOIN n b ON b.symbol = a.symbol AND b.i BETWEEN a.i - 3 AND a.i + 3)
+SELECT symbol, bar, {r('sum(weight * v) / sum(weight)', 'y')} FROM j GROUP BY symbol, bar"""
+S["label_volatility_barriers"] = f"""WITH {BARS_SQL}, q AS (SELECT *, ln(close / lag(close) {P}) AS lr FROM bars), v0 AS (SELECT symbol, bar, close, {at_least(10, 'lr', 30, 'stddev_samp(lr)')} AS vol FROM q), v AS (SELECT *, row_number() {P} AS i FROM v0 WHERE vol > 0),
+h AS (SELECT a.symbol, a.bar, a.close, a.vol, b.i - a.i AS k, b.close AS bc FROM v a JOIN v b ON b.symbol = a.symbol AND b.i > a.i AND b.i <= a.i + 12),
+f AS (SELECT symbol, bar, any_value(close) AS close, any_value(vol) AS vol, max(k) AS len, min(k) FILTER (bc >= close * (1 + 2 * vol) OR bc <= close * (1 - 2 * vol)) AS hit FROM h GROUP BY symbol, bar)
+SELECT f.symbol, f.bar, CASE WHEN hit IS NULL THEN 'time' WHEN bc >= f.close * (1 + 2 * f.vol) THEN 'upper' ELSE 'lower' END AS label, coalesce(hit, len) AS hit_bar,
+{r('CASE WHEN hit IS NULL THEN bc / f.close - 1 WHEN bc >= f.close * (1 + 2 * f.vol) THEN 2 * f.vol ELSE -2 * f.vol END', 'ret')} FROM f JOIN h ON h.symbol = f.symbol AND h.bar = f.bar AND h.k = coalesce(hit, len)"""
+S["gap_fills"] = f"""WITH {NUM}, g AS (SELECT *, lag(high, 2) {P} AS h2, lag(low, 2) {P} AS l2 FROM n),
+k AS (SELECT symbol, bar, i, 'bullish' AS kind, h2 AS bottom, low AS top FROM g WHERE low > h2 UNION ALL SELECT symbol, bar, i, 'bearish', high, l2 FROM g WHERE high < l2),
+h AS (SELECT k.*, n.i - k.i AS j, n.high, n.low FROM k LEFT JOIN n ON n.symbol = k.symbol AND n.i > k.i AND n.i <= k.i + 12),
+f AS (SELECT *, min(CASE WHEN kind = 'bullish' AND low <= bottom OR kind = 'bearish' AND high >= top THEN j END) OVER (PARTITION BY symbol, bar, kind) AS fill FROM h)
+SELECT symbol, bar, kind, any_value(fill)::INT AS fill_bars,
+  CASE WHEN any_value(fill) IS NOT NULL THEN 'filled' WHEN bool_or(CASE WHEN kind = 'bullish' THEN low < top ELSE high > bottom END) THEN 'partial' WHEN count(j) >= 12 THEN 'expired' ELSE 'open' END AS status,
+  {r("greatest(0, coalesce(CASE WHEN kind = 'bullish' THEN max(high) FILTER (fill IS NULL OR j < fill) - any_value(top) ELSE any_value(bottom) - min(low) FILTER (fill IS NULL OR j < fill) END, 0))", 'max_extension')} FROM f GROUP BY symbol, bar, kind"""
+S["eval_rolling_ic_spearman"] = f"""WITH {XY_SQL}, n AS (SELECT *, row_number() {P} AS i FROM xy0), j AS (SELECT a.symbol, a.bar, b.x, b.y FROM n a JOIN n b ON b.symbol = a.symbol AND b.i BETWEEN a.i - 30 AND a.i - 1 WHERE a.i > 30 AND b.x IS NOT NULL AND b.y IS NOT NULL),
+k AS (SELECT symbol, bar, rank() OVER (PARTITION BY symbol, bar ORDER BY x) + (count(*) OVER (PARTITION BY symbol, bar, x) - 1) / 2 AS a, rank() OVER (PARTITION BY symbol, bar ORDER BY y) + (count(*) OVER (PARTITION BY symbol, bar, y) - 1) / 2 AS b FROM j),
+c AS (SELECT symbol, bar, CASE WHEN count(*) > 10 AND min(a) < max(a) AND min(b) < max(b) THEN corr(a, b) END AS v FROM k GROUP BY symbol, bar) SELECT symbol, bar, {r('v', 'rolling_ic')} FROM n LEFT JOIN c USING (symbol, bar)"""
