@@ -211,3 +211,32 @@ SELECT symbol, bar, kind, any_value(fill)::INT AS fill_bars,
 S["eval_rolling_ic_spearman"] = f"""WITH {XY_SQL}, n AS (SELECT *, row_number() {P} AS i FROM xy0), j AS (SELECT a.symbol, a.bar, b.x, b.y FROM n a JOIN n b ON b.symbol = a.symbol AND b.i BETWEEN a.i - 30 AND a.i - 1 WHERE a.i > 30 AND b.x IS NOT NULL AND b.y IS NOT NULL),
 k AS (SELECT symbol, bar, rank() OVER (PARTITION BY symbol, bar ORDER BY x) + (count(*) OVER (PARTITION BY symbol, bar, x) - 1) / 2 AS a, rank() OVER (PARTITION BY symbol, bar ORDER BY y) + (count(*) OVER (PARTITION BY symbol, bar, y) - 1) / 2 AS b FROM j),
 c AS (SELECT symbol, bar, CASE WHEN count(*) > 10 AND min(a) < max(a) AND min(b) < max(b) THEN corr(a, b) END AS v FROM k GROUP BY symbol, bar) SELECT symbol, bar, {r('v', 'rolling_ic')} FROM n LEFT JOIN c USING (symbol, bar)"""
+PRIOR = f"coalesce(lag(close) {P}, close)"
+TR = f"greatest(high - low, abs(high - {PRIOR}), abs(low - {PRIOR}))"
+S["exit_chandelier"] = f"""WITH RECURSIVE {NUM}, d AS (SELECT *, {TR} AS tr FROM n), y AS (SELECT symbol, i, tr AS atr FROM d WHERE i = 1 UNION ALL SELECT d.symbol, d.i, 9.0 / 11 * y.atr + 2.0 / 11 * d.tr FROM y JOIN d ON d.symbol = y.symbol AND d.i = y.i + 1)
+SELECT symbol, bar, {named({'long_stop': f'max(high) {w(10)} - 3 * atr', 'short_stop': f'min(low) {w(10)} + 3 * atr'})} FROM n JOIN y USING (symbol, i)"""
+S["exit_atr"] = f"""WITH {NUM}, d AS (SELECT *, {TR} AS tr FROM n), l AS (SELECT symbol, bar, close, list(tr) {w(42)} AS l FROM d), a AS (SELECT *, list_reduce(l, lambda y, x: 13.0::DOUBLE / 15 * y + 2.0::DOUBLE / 15 * x) AS atr FROM l)
+SELECT symbol, bar, {named({n: f'round(greatest(0.002, least(0.05, {k} * atr / close)), 4)' for n, k in (('stop', 2), ('target', 3))})} FROM a"""
+
+
+def adx_sql(a: str, least: int) -> str:
+    """Directional strength: three exponential means, and one of their spread, from so many values on."""
+    return f"""WITH RECURSIVE {NUM}, u AS (SELECT *, coalesce(high - lag(high) {P}, 0) AS up, coalesce(lag(low) {P} - low, 0) AS down, {TR} AS tr FROM n),
+d AS (SELECT *, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS plus, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS minus FROM u),
+y AS (SELECT symbol, bar, i, plus::DOUBLE AS p, minus::DOUBLE AS m, tr::DOUBLE AS t FROM d WHERE i = 1 UNION ALL
+      SELECT d.symbol, d.bar, d.i, (1 - {a}) * y.p + {a} * d.plus, (1 - {a}) * y.m + {a} * d.minus, (1 - {a}) * y.t + {a} * d.tr FROM y JOIN d ON d.symbol = y.symbol AND d.i = y.i + 1),
+x AS (SELECT symbol, bar, i, 100 * p / (t + 1e-10) AS plus_di, 100 * m / (t + 1e-10) AS minus_di FROM y WHERE i >= {least}), v AS (SELECT *, 100 * abs(plus_di - minus_di) / (plus_di + minus_di + 1e-10) AS dx FROM x),
+z AS (SELECT symbol, i, dx AS s FROM v WHERE i = {least} UNION ALL SELECT v.symbol, v.i, (1 - {a}) * z.s + {a} * v.dx FROM z JOIN v ON v.symbol = z.symbol AND v.i = z.i + 1),
+o AS (SELECT n.symbol, n.bar, CASE WHEN n.i >= {2 * least - 1} THEN z.s END AS adx, plus_di, minus_di FROM n LEFT JOIN x USING (symbol, i) LEFT JOIN z USING (symbol, i))
+SELECT symbol, bar, {named({k: k for k in ('adx', 'plus_di', 'minus_di')})}"""
+
+
+S["regime_adx"] = adx_sql("(2.0::DOUBLE / 15)", 1) + ", CASE WHEN adx > 25 THEN 'trending' WHEN adx < 20 THEN 'ranging' ELSE 'neutral' END AS trend_regime FROM o"
+S["regime_adx_wilder"] = adx_sql("(1.0::DOUBLE / 14)", 14) + " FROM o"
+S["regime_garch"] = f"""WITH RECURSIVE {NUM}, d AS (SELECT symbol, bar, i, 100 * ln(close / lag(close) {P}) AS x FROM n), f AS (SELECT symbol, CASE WHEN count(x) > 1 THEN var_samp(x) END AS v0 FROM d WHERE i BETWEEN 2 AND 21 GROUP BY symbol),
+y AS (SELECT symbol, bar, i, x, v0, v0 AS v FROM d JOIN f USING (symbol) WHERE i = 1 UNION ALL SELECT d.symbol, d.bar, d.i, d.x, y.v0, CASE WHEN y.x IS NULL THEN y.v ELSE 0.01 * y.v0 + 0.06 * y.x * y.x + 0.93 * y.v END FROM y JOIN d ON d.symbol = y.symbol AND d.i = y.i + 1)
+SELECT symbol, bar, {r('sqrt(v)', 'y')} FROM y"""
+S["eval_half_life"] = f"""WITH {ROLL}, l AS (SELECT symbol, bar, k, v, row_number() OVER (PARTITION BY symbol, k ORDER BY bar) AS i FROM ri, (SELECT unnest(range(1, 21)) AS k)), n AS (SELECT symbol, count(v) AS n FROM ri GROUP BY symbol),
+a AS (SELECT x.symbol, x.k, corr(x.v, p.v) AS acf FROM l x JOIN l p ON p.symbol = x.symbol AND p.k = x.k AND p.i = x.i - x.k WHERE x.v IS NOT NULL AND p.v IS NOT NULL GROUP BY x.symbol, x.k),
+b AS (SELECT symbol, k, acf FROM a JOIN n USING (symbol) WHERE k <= floor(n / 4)), s AS (SELECT symbol, min(k) FILTER (acf < 0.5) AS first, regr_slope(ln(CASE WHEN acf > 0 THEN acf END), k) AS slope FROM b GROUP BY symbol)
+SELECT symbol, {r('coalesce(first, CASE WHEN slope < 0 THEN -ln(2) / slope END)', 'half_life')} FROM s"""
