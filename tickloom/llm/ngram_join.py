@@ -380,5 +380,5 @@ def _tile_pairs(tiles: DataFrame, bits: DataFrame, labels: DataFrame, percent: i
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("cell", F.xxhash64("key", "band", F.least("part", "other"), F.greatest("part", "other"))).withColumn("alone", F.col("part") == F.col("other"))
     # A pair that shares several elements is repeated once for each group that they fall in, so groups are no more than memory asks for.
-    rows = rows.withColumn("tile", F.expr(f"pmod(xxhash64(key), {parts})")).select("band", "tile", "cell", "id", "n", "comp", "own", "part", "alone", "bits")
+    rows = rows.withColumn("tile", F.expr(f"pmod(xxhash64(if(parts > 1, cell, key)), {parts})")).select("band", "tile", "cell", "id", "n", "comp", "own", "part", "alone", "bits")
     return rows.groupBy("band", "tile").applyInArrow(lambda t: _pairs_of_tile(t.combine_chunks(), percent), "a long, b long").distinct()
