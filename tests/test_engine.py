@@ -238,6 +238,13 @@ def test_models(spark):
     assert ml.fit(df, ["a", "b"], "y", "ridge", reg=0.0).transform(df).select(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 1e-6
     assert ml.clusters(df, ["a", "b"], 3).select("cluster").distinct().count() == 3
     assert ml.class_weights(df, "k").agg(F.sum("weight")).first()[0] == pytest.approx(200)
+    sizes = [r["count"] for r in ml.folds(spark.range(400), "id", 3).groupBy("fold").count().orderBy("fold").collect()]
+    assert sizes == [100, 100, 100, 100]
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    metric = RegressionEvaluator(labelCol="y", metricName="r2")
+    ranked = ml.permutation_importance(ml.fit(df, ["a", "b"], "y", "ridge", reg=0.0), df, ["a", "b"], "y", metric)
+    assert [n for n, _ in ranked] == ["a", "b"] and ranked[0][1] > 0.5 > ranked[1][1] > 0
 
 
 def test_paged_source_reads_every_page(spark):

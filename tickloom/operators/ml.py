@@ -11,6 +11,9 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a column is shuffled among.
+SHUFFLED = 10_000
+
 MODELS = {
     "ridge": lambda y, **p: LinearRegression(featuresCol="features", labelCol=y, elasticNetParam=0.0, regParam=p.get("reg", 0.1)),
     "lasso": lambda y, **p: LinearRegression(featuresCol="features", labelCol=y, elasticNetParam=1.0, regParam=p.get("reg", 0.1)),
@@ -27,9 +30,9 @@ def fit(train: DataFrame, columns: list[str], label: str, kind: str, **params):
 
 
 def folds(df: DataFrame, order: str, k: int) -> DataFrame:
-    """Add fold 0 .. k: fold i is tested on a model of the folds before it."""
-    n = df.count()
-    return df.withColumn("fold", F.floor((F.row_number().over(Window.orderBy(order)) - 1) * (k + 1) / max(n, 1)).cast("int"))
+    """Add fold 0 .. k of about equal size in the order of a column: fold i is tested on a model of the folds before it. Ties share a fold."""
+    cuts = df.agg(F.percentile_approx(order, [i / (k + 1) for i in range(1, k + 1)], 100_000)).first()[0] or []
+    return df.withColumn("fold", sum((F.when(F.col(order) > F.lit(x), 1).otherwise(0) for x in cuts), F.lit(0)))
 
 
 def cross_validate(df: DataFrame, columns: list[str], label: str, kind: str, order: str, k: int = 3, **params) -> list[float]:
@@ -40,14 +43,16 @@ def cross_validate(df: DataFrame, columns: list[str], label: str, kind: str, ord
 
 
 def permutation_importance(model, df: DataFrame, columns: list[str], label: str, metric) -> list[tuple[str, float]]:
-    """Loss of the metric when a column is shuffled by a hash order, the largest first."""
+    """Loss of the metric when a column is shuffled by a hash order within parts of about SHUFFLED random rows, the largest first."""
     base = metric.evaluate(model.transform(df))
-    w1, w2 = Window.orderBy(F.monotonically_increasing_id()), Window.orderBy("_h")
-    df = df.withColumn("_i", F.row_number().over(w1))
+    parts = max(1, df.count() // SHUFFLED)
+    df = df.withColumn("_i", F.monotonically_increasing_id()).withColumn("_b", F.pmod(F.xxhash64("_i"), F.lit(parts)))
+    own, other = (Window.partitionBy("_b").orderBy(x) for x in ("_i", F.xxhash64("_i", F.lit(1))))
+    df = df.withColumn("_n", F.row_number().over(own))
     out = []
     for x in columns:
-        mixed = df.select("_i", x).withColumn("_h", F.xxhash64("_i", F.lit(1))).withColumn("_i", F.row_number().over(w2)).select("_i", x)
-        out.append((x, base - metric.evaluate(model.transform(df.drop(x).join(mixed, "_i")))))
+        mixed = df.select("_b", x, F.row_number().over(other).alias("_n"))
+        out.append((x, base - metric.evaluate(model.transform(df.drop(x).join(mixed, ["_b", "_n"])))))
     return sorted(out, key=lambda p: -p[1])
 
 
@@ -59,5 +64,6 @@ def clusters(df: DataFrame, columns: list[str], k: int, seed: int = 0) -> DataFr
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """df with weight: rows / (classes * rows of the class)."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    return df.join(counts, label).withColumn("weight", F.sum(F.lit(1)).over(Window.partitionBy()) / (F.size(F.collect_set(label).over(Window.partitionBy())) * F.col("_n"))).drop("_n")
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
+    rows, classes = counts.agg(F.sum("_n"), F.count("*")).first()
+    return df.join(counts, label).withColumn("weight", F.lit(float(rows or 0)) / (F.lit(classes) * F.col("_n"))).drop("_n")
