@@ -42,17 +42,17 @@ def rolling_ic(rows: DataFrame, s: Series, n: int, method: str = "pearson", x: s
     whole = c(x).isNotNull() & c(y).isNotNull()
     a, b = F.when(whole, c(x)), F.when(whole, c(y))
     if method == "spearman":
-
-        @F.pandas_udf("double")
-        def rho(u: pd.Series, v: pd.Series) -> float:
-            good = u.notna() & v.notna()
-            u, v = u[good].rank(), v[good].rank()
-            return float(np.corrcoef(u, v)[0, 1]) if len(u) > 10 and u.std() > 0 and v.std() > 0 else None
-
-        value = rho(c(x), c(y)).over(w)
-    else:
-        flat = (F.min(a).over(w) == F.max(a).over(w)) | (F.min(b).over(w) == F.max(b).over(w))
-        value = F.when((F.count(a).over(w) > 10) & ~flat, div(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w)))
+        pairs = F.collect_list(F.when(whole, F.struct(c(x).alias("x"), c(y).alias("y")))).over(w)
+        rank = lambda p, all_, k: F.size(F.filter(all_, lambda q: q[k] < p[k])) + (F.size(F.filter(all_, lambda q: q[k] == p[k])) - F.size(all_)) / 2.0
+        rows = rows.withColumn("_p", pairs)
+        # Average ranks less their mean, doubled constants aside: their products give the correlation.
+        ranks = F.transform("_p", lambda p: F.struct(rank(p, c("_p"), "x").alias("a"), rank(p, c("_p"), "y").alias("b")))
+        rows = rows.withColumn("_p", ranks)
+        total = lambda f: F.aggregate("_p", F.lit(0.0), lambda t, p: t + f(p))
+        rho = div(total(lambda p: p["a"] * p["b"]), F.sqrt(total(lambda p: p["a"] * p["a"])) * F.sqrt(total(lambda p: p["b"] * p["b"])))
+        return rows.withColumn("rolling_ic", F.when((s.index() > n) & (F.size("_p") > 10), rho)).drop("_p")
+    flat = (F.min(a).over(w) == F.max(a).over(w)) | (F.min(b).over(w) == F.max(b).over(w))
+    value = F.when((F.count(a).over(w) > 10) & ~flat, div(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w)))
     return rows.withColumn("rolling_ic", F.when(s.index() > n, value))
 
 

@@ -422,14 +422,13 @@ def spread_d(tape: DataFrame, method: str, n: int) -> DataFrame:
 
 
 def spread_percentile_d(rows: DataFrame, column: str = "spread", n: int = 100) -> DataFrame:
-    """Share of the window strictly below the current value, in percent."""
-    a = F.collect_list(column).over(T.r(n))
-    return rows.withColumn("spread_pct", F.when(F.size(a) >= 10, 100.0 * F.size(F.filter(a, lambda v: v < c(column))) / F.size(a)))
+    """Share of the window strictly below the current value, in percent; values that agree to 9 digits count as equal."""
+    a = F.collect_list(F.round(column, 9)).over(T.r(n))
+    return rows.withColumn("spread_pct", F.when(F.size(a) >= 10, 100.0 * F.size(F.filter(a, lambda v: v < F.round(column, 9))) / F.size(a)))
 
 
 def spread_expansion_d(tape: DataFrame, n: int = 100, threshold: float = 90) -> DataFrame:
-    """Trades whose spread is high among the last ones; spreads that agree to 9 digits count as equal."""
-    rows = spread_percentile_d(spread_d(tape, "trade_diff", n).withColumn("spread", F.round("spread", 9)), "spread", n)
+    rows = spread_percentile_d(spread_d(tape, "trade_diff", n), "spread", n)
     return rows.withColumn("expanded", F.coalesce(c("spread_pct") >= threshold, F.lit(False)))
 
 

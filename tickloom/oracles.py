@@ -11,7 +11,7 @@ import math
 import numpy as np
 
 from tickloom.queries import BARS_SQL, MERGE_SQL, MERGED_AGG, OHLC_SQL, ORACLE_SQL, P, SEC, TAKER_SQL, TAPE_SQL, at_least, r, w
-from tickloom.queries_more import BOOK_SQL, BSEC, FX, HELD_SQL, LABEL, MB_SQL, BOTH, PATH_SQL, PS, SIG_SQL, XY_SQL, H, sides, time_window, tl, ws
+from tickloom.queries_more import BOOK_SQL, BSEC, DB_SQL, DCOLS, FX, HELD_SQL, LABEL, MB_SQL, BOTH, PATH_SQL, PS, SIG_SQL, XY_SQL, H, sides, time_window, tl, ws
 
 S = ORACLE_SQL
 E = "1e-10"
@@ -240,3 +240,26 @@ S["eval_half_life"] = f"""WITH {ROLL}, l AS (SELECT symbol, bar, k, v, row_numbe
 a AS (SELECT x.symbol, x.k, corr(x.v, p.v) AS acf FROM l x JOIN l p ON p.symbol = x.symbol AND p.k = x.k AND p.i = x.i - x.k WHERE x.v IS NOT NULL AND p.v IS NOT NULL GROUP BY x.symbol, x.k),
 b AS (SELECT symbol, k, acf FROM a JOIN n USING (symbol) WHERE k <= floor(n / 4)), s AS (SELECT symbol, min(k) FILTER (acf < 0.5) AS first, regr_slope(ln(CASE WHEN acf > 0 THEN acf END), k) AS slope FROM b GROUP BY symbol)
 SELECT symbol, {r('coalesce(first, CASE WHEN slope < 0 THEN -ln(2) / slope END)', 'half_life')} FROM s"""
+S["eval_signal_metrics"] = f"""WITH {XY_SQL}, s AS (SELECT *, sign(round(x, 1)) AS s FROM xy), l AS (SELECT *, lag(s) {P} AS l, rank() OVER (PARTITION BY symbol ORDER BY x) + (count(*) OVER (PARTITION BY symbol, x) - 1) / 2 AS a,
+  rank() OVER (PARTITION BY symbol ORDER BY y) + (count(*) OVER (PARTITION BY symbol, y) - 1) / 2 AS b, quantile_cont(abs(y), 0.33) OVER (PARTITION BY symbol) AS t FROM s)
+SELECT symbol, count(*) AS n, {', '.join(r(f'CASE WHEN count(*) >= 30 THEN coalesce({x}, 0) ELSE 0 END', k) for k, x in {
+    'ic': 'corr(x, y)', 'rank_ic': 'corr(a, b)', 'triple_acc': 'avg((CASE WHEN abs(y) < t THEN 0 ELSE sign(y) END = s)::INT)',
+    'long_hit': 'CASE WHEN count(*) FILTER (s = 1) > 5 THEN avg((y > 0)::INT) FILTER (s = 1) END', 'short_hit': 'CASE WHEN count(*) FILTER (s = -1) > 5 THEN avg((y < 0)::INT) FILTER (s = -1) END',
+    'mean_bps': 'avg(y * s) FILTER (s <> 0) * 1e4', 'signal_autocorr': 'corr(s, l)', 'change_rate': 'avg((s <> l)::INT)', 'long_share': 'avg((s = 1)::INT)', 'short_share': 'avg((s = -1)::INT)'}.items())} FROM l GROUP BY symbol"""
+FWD = "OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING)"
+S["sim_threshold_paths"] = f"""WITH {BARS_SQL}, a AS (SELECT symbol, {FX} AS x, -sign({FX}) AS side, lead(close, 8) {P} / close - 1 AS far, max(high) {FWD} / close - 1 AS up, min(low) {FWD} / close - 1 AS down FROM bars),
+b AS (SELECT symbol, x, side * far AS ret, CASE WHEN side > 0 THEN up ELSE -down END AS mfe, CASE WHEN side > 0 THEN down ELSE -up END AS mae FROM a WHERE far IS NOT NULL)
+SELECT symbol, threshold::DOUBLE AS threshold, count(*) AS n, {named({f'{k}_{n}': f'{f}({n})' for n in ('ret', 'mfe', 'mae') for k, f in (('mean', 'avg'), ('median', 'median'))})} FROM b JOIN (VALUES (0.1), (0.3), (0.5)) t(threshold) ON abs(x) >= threshold GROUP BY symbol, threshold"""
+S["sim_reversion_grid"] = f"""WITH {NUM}, a AS (SELECT symbol, i, abs({FX}) AS x FROM n), g AS (SELECT e::DOUBLE AS entry, l::DOUBLE AS leave FROM (VALUES (0.3), (0.5)) t(e), (VALUES (0.1), (0.2)) u(l)),
+t AS (SELECT a.symbol, a.i, entry, leave, min(b.i - a.i) FILTER (b.x <= leave) AS tau FROM a JOIN g ON a.x >= entry JOIN a b ON b.symbol = a.symbol AND b.i > a.i AND b.i <= a.i + 8 GROUP BY ALL)
+SELECT symbol, entry, leave, count(*) AS n, {named({'hit_rate': 'avg((tau IS NOT NULL)::INT)', 'mean_tau': 'avg(tau)'})} FROM t GROUP BY symbol, entry, leave"""
+SHOCK = f"""{DB_SQL}, sp AS (SELECT *, round(abs(avg(price) FILTER (side = 'buy') {ws(50)} - avg(price) FILTER (side <> 'buy') {ws(50)}), 9) AS spread, sum(CASE WHEN side = 'buy' THEN qty ELSE -qty END) {ws(50)} / sum(qty) {ws(50)} AS imbalance FROM tape),
+sl AS (SELECT *, list(spread) FILTER (spread IS NOT NULL) {ws(50)} AS l FROM sp), st AS (SELECT symbol, us // 1000 AS at, arg_max(CASE WHEN len(l) >= 10 THEN 100.0 * len(list_filter(l, lambda v: v < spread)) / len(l) END, seq) AS spread_pct, arg_max(imbalance, seq) AS imbalance FROM sl GROUP BY ALL),
+hit AS (SELECT *, (bucket + 1) * {BSEC * 1000} - 1 AS at, (last - first) / first * 100 AS move FROM g WHERE n_trades >= 2),
+shock AS (SELECT hit.*, spread_pct, imbalance, CASE WHEN move > 0 THEN top ELSE bottom END AS peak FROM hit ASOF JOIN st ON hit.symbol = st.symbol AND hit.at >= st.at WHERE abs(move) >= 0.3 AND spread_pct >= 50 AND abs(imbalance) >= 0.1)"""
+_SHOWN = f"{DCOLS}, CAST(\"at\" AS BIGINT) AS \"at\", {named({k: k for k in ('spread_pct', 'imbalance', 'peak')})}"
+S["detect_liquidity_shocks"] = f"WITH {SHOCK} SELECT {_SHOWN} FROM shock"
+S["detect_refills"] = f"""WITH {SHOCK}, w AS (SELECT k.symbol, k.bucket, max(CASE WHEN move > 0 THEN (t.price - peak) / peak * 100 ELSE (peak - t.price) / peak * 100 END) AS beyond, arg_max(t.price, t.us // 1000) AS end_price, sum(t.qty) AS volume_after
+  FROM shock k JOIN tape t ON t.symbol = k.symbol AND t.us // 1000 > k.at AND t.us // 1000 <= k.at + {4 * BSEC * 1000} GROUP BY k.symbol, k.bucket),
+j AS (SELECT shock.*, beyond, end_price, volume_after, coalesce(beyond <= 0.5, false) AS held FROM shock LEFT JOIN w USING (symbol, bucket))
+SELECT {_SHOWN}, {named({'beyond_pct': 'beyond', 'end_price': 'end_price', 'volume_after': 'volume_after'})}, held, CASE WHEN held AND coalesce(CASE WHEN move > 0 THEN end_price < peak ELSE end_price > peak END, false) THEN -sign(move) ELSE 0 END::INT AS signal FROM j"""
