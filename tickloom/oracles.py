@@ -263,3 +263,19 @@ S["detect_refills"] = f"""WITH {SHOCK}, w AS (SELECT k.symbol, k.bucket, max(CAS
   FROM shock k JOIN tape t ON t.symbol = k.symbol AND t.us // 1000 > k.at AND t.us // 1000 <= k.at + {4 * BSEC * 1000} GROUP BY k.symbol, k.bucket),
 j AS (SELECT shock.*, beyond, end_price, volume_after, coalesce(beyond <= 0.5, false) AS held FROM shock LEFT JOIN w USING (symbol, bucket))
 SELECT {_SHOWN}, {named({'beyond_pct': 'beyond', 'end_price': 'end_price', 'volume_after': 'volume_after'})}, held, CASE WHEN held AND coalesce(CASE WHEN move > 0 THEN end_price < peak ELSE end_price > peak END, false) THEN -sign(move) ELSE 0 END::INT AS signal FROM j"""
+S["exit_path"] = f"""WITH {PATH_SQL}, p AS (SELECT symbol, bar, k, bl / close - 1 AS lo, bh / close - 1 AS hi, bc / close - 1 AS gain, max(k) OVER (PARTITION BY symbol, bar) AS len,
+  coalesce(greatest(0, max(bc / close - 1) OVER (PARTITION BY symbol, bar ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 0) AS peak FROM h),
+o AS (SELECT *, CASE WHEN peak > 0 AND lo <= peak - 0.006 THEN 'trail' WHEN lo <= -0.01 THEN 'stop' WHEN hi >= 0.012 THEN 'target' WHEN k = len THEN 'time' END AS why FROM p)
+SELECT symbol, bar, k::INT AS exit_bar, why AS exit_reason, {r("CASE why WHEN 'trail' THEN peak - 0.006 WHEN 'stop' THEN -0.01 WHEN 'target' THEN 0.012 ELSE gain END", 'exit_ret')} FROM o WHERE why IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, bar ORDER BY k) = 1"""
+
+
+def weighted(name: str, span: int) -> str:
+    """Exponential mean with weights that start at 1, from span values on."""
+    a = f"(2.0::DOUBLE / {span + 1})"
+    return f"""{name}0 AS (SELECT symbol, i, x AS u, 1.0::DOUBLE AS v FROM q WHERE i = 1 UNION ALL SELECT q.symbol, q.i, u * (1 - {a}) + q.x, v * (1 - {a}) + 1 FROM {name}0 z JOIN q ON q.symbol = z.symbol AND q.i = z.i + 1),
+{name} AS (SELECT symbol, i, CASE WHEN i >= {span} THEN u / v END AS {name} FROM {name}0)"""
+
+
+S["signal_dual_ma_band"] = f"""WITH RECURSIVE {SIG_SQL}, q AS (SELECT symbol, bar, x, row_number() {P} AS i FROM f), {weighted("fast", 5)}, {weighted("slow", 15)},
+d AS (SELECT q.symbol, q.bar, fast - slow AS d FROM q JOIN fast USING (symbol, i) JOIN slow USING (symbol, i)), b AS (SELECT symbol, bar, d, {at_least(7, "d", 30, "stddev_samp(d)")} AS band FROM d)
+SELECT symbol, bar, {sides('d > band', 'd < -band')} AS signal FROM b"""
