@@ -279,3 +279,32 @@ def weighted(name: str, span: int) -> str:
 S["signal_dual_ma_band"] = f"""WITH RECURSIVE {SIG_SQL}, q AS (SELECT symbol, bar, x, row_number() {P} AS i FROM f), {weighted("fast", 5)}, {weighted("slow", 15)},
 d AS (SELECT q.symbol, q.bar, fast - slow AS d FROM q JOIN fast USING (symbol, i) JOIN slow USING (symbol, i)), b AS (SELECT symbol, bar, d, {at_least(7, "d", 30, "stddev_samp(d)")} AS band FROM d)
 SELECT symbol, bar, {sides('d > band', 'd < -band')} AS signal FROM b"""
+
+
+def scanned(factors: dict[str, str], windows: tuple[int, ...], rules: dict[str, str]) -> str:
+    """Figures of every factor, window and rule as m. A factor's SQL may hold {n} and {least}, a rule's SQL is over x."""
+    own = lambda sql: sql.replace("PARTITION BY symbol", "PARTITION BY symbol, factor, win")
+    key = "symbol, factor, win, rule"
+    rows = " UNION ALL ".join(f"SELECT symbol, bar, y, '{f}' AS factor, {n} AS win, {q(n)} AS x FROM base" for f, q in factors.items() for n in windows)
+    kinds = " UNION ALL ".join(f"SELECT *, '{name}' AS rule, {own(q)} AS s FROM xs" for name, q in rules.items())
+    ranks = ", ".join(f"rank() OVER (PARTITION BY {key} ORDER BY {v}) + (count(*) OVER (PARTITION BY {key}, {v}) - 1) / 2 AS {n}" for v, n in (("x", "a"), ("y", "b")))
+    figures = {
+        "ic": "corr(x, y)", "rank_ic": "corr(a, b)", "triple_acc": "avg((CASE WHEN abs(y) < t THEN 0 ELSE sign(y) END = s)::INT)",
+        "long_hit": "CASE WHEN count(*) FILTER (s = 1) > 5 THEN avg((y > 0)::INT) FILTER (s = 1) END", "short_hit": "CASE WHEN count(*) FILTER (s = -1) > 5 THEN avg((y < 0)::INT) FILTER (s = -1) END",
+        "mean_bps": "avg(y * s) FILTER (s <> 0) * 1e4", "signal_autocorr": "CASE WHEN min(s) < max(s) THEN corr(s, l) END", "change_rate": "avg((s <> l)::INT)", "long_share": "avg((s = 1)::INT)", "short_share": "avg((s = -1)::INT)",
+    }
+    return f"""{BARS_SQL}, base AS (SELECT *, lead(close) {P} / close - 1 AS y FROM bars), xs AS ({rows}), ss AS ({kinds}), ok AS (SELECT {key}, avg((x IS NOT NULL)::INT) AS valid FROM ss GROUP BY ALL HAVING valid >= 0.3),
+ls AS (SELECT *, lag(s) OVER (PARTITION BY {key} ORDER BY bar) AS l, quantile_cont(abs(y), 0.33) OVER (PARTITION BY {key}) AS t, {ranks} FROM ss WHERE x IS NOT NULL AND y IS NOT NULL),
+m AS (SELECT {key}, count(*) AS n, {', '.join(f'CASE WHEN count(*) >= 30 THEN coalesce({x}, 0) ELSE 0 END AS {k}' for k, x in figures.items())}, any_value(valid) AS valid FROM ls JOIN ok USING ({key}) GROUP BY {key})"""
+
+
+_FIGURES = ("ic", "rank_ic", "triple_acc", "long_hit", "short_hit", "mean_bps", "signal_autocorr", "change_rate", "long_share", "short_share")
+_Z40 = f"(x - avg(x) {w(40)}) / (stddev_samp(x) {w(40)} + {E})"
+_IMBALANCE = lambda n: f"(buy_volume - sell_volume) / (volume + {E})"
+_RULES = {
+    "zscore": sides(f"count(x) {w(40)} >= 10 AND {_Z40} > 1", f"count(x) {w(40)} >= 10 AND {_Z40} < -1"),
+    "quantile": sides(f"count(x) {w(40)} >= 10 AND x > quantile_cont(x, 0.8) {w(40)}", f"count(x) {w(40)} >= 10 AND x < quantile_cont(x, 0.2) {w(40)}"),
+}
+_VOLUME = lambda n: f"CASE WHEN count(volume) {w(n)} >= {max(5, n // 4)} THEN (volume - avg(volume) {w(n)}) / (stddev_samp(volume) {w(n)} + {E}) END"
+S["scan_signals"] = f"""WITH {scanned({'trade_imbalance': _IMBALANCE, 'volume_zscore': _VOLUME}, (20, 40), _RULES)}
+SELECT symbol, factor, win AS "window", rule, n, {named({k: k for k in (*_FIGURES, 'valid')})} FROM m"""
