@@ -70,19 +70,6 @@ def test_join_equals_brute_force(spark, sf):
     assert joined(docs, 4, 85) == brute_join([tuple(r) for r in docs.collect()], 4, 85)
 
 
-def test_large_tiles_meet_in_cells(spark, monkeypatch):
-    """Tiles of many rows are parted into blocks; every pair of blocks meets once."""
-    rng = random.Random(6)
-    monkeypatch.setattr(ngram_join, "CELL", 8)
-    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
-    rows = []
-    for g in range(6):
-        base = [f"g{g}w{i}" for i in range(60)]
-        rows += [" ".join(x if rng.random() > 0.01 else f"q{rng.randint(0, 9)}" for x in base[: rng.randint(52, 60)]) for _ in range(40)]
-    rows = list(enumerate(rows))
-    assert joined(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85) == brute_join(rows, 4, 85)
-
-
 def test_threshold_is_exact(spark):
     words = [f"t{k}" for k in range(203)]
     base = " ".join(words)  # 200 shingles of 4 words
