@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, dedup, html_text, knn, mixing, ngram_join, pii, secrets, toxicity, warc
+from tickloom.llm import bpe, dedup, html_text, knn, mixing, ngram_join, pii, secrets, token_counts, toxicity, warc
 from tickloom.llm.common import sliced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +223,12 @@ SELECT record_id, canonical, CASE WHEN verdict IN ('resolved', 'unverified') THE
        WHEN bare THEN 'date=day ' || ts || ';server=x' ELSE 'date=day ' || ts || ';etag=W/' || etag END AS headers
 FROM j
 """
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether they exceed a context of 1024 tokens."""
+    import public_tokenizers
+
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
