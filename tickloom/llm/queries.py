@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, dedup, html_text, knn, mixing, ngram_join, pii, secrets, token_counts, toxicity, warc
+from tickloom.llm import bpe, dedup, html_text, knn, mixing, ngram_join, periodic_runs, pii, secrets, token_counts, toxicity, warc
 from tickloom.llm.common import sliced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,6 +226,51 @@ FROM j
 """
 
 
+def with_period(words: list[bytes], doc_id: int | None) -> list[bytes]:
+    """Every tenth document by crc32 gets a period: its words from a place on repeat the p words there."""
+    h = crc32(b"%d" % doc_id) if doc_id is not None else 1
+    n = len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def digest_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, the strongest run, and digests of all runs and of the collapsed text."""
+
+    def strongest(runs: list[list[int]]) -> list[int | None]:
+        best = None
+        for start, length, q in runs:
+            if best is None or length * best[2] > best[1] * q:
+                best = [start, length, q]
+        return [*best, 1000 * best[1] // best[2]] if best else [None] * 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", 4 << 20):
+            ids = batch.column("doc_id").to_pylist()
+            words = [with_period(periodic_runs.words_of(t.as_py()), i) for t, i in zip(batch.column("text"), ids, strict=True)]
+            found = periodic_runs.find_runs(map(periodic_runs.numbered, words))
+            lists = [r.tolist() for r in found]
+            best = list(zip(*map(strongest, lists), strict=True))
+            shown = [sha256("".join(f"{s},{n},{q}\n" for s, n, q in r).encode()).hexdigest() for r in lists]
+            kept = [sha256(periodic_runs.collapsed(w, r)).hexdigest() for w, r in zip(words, found, strict=True)]
+            numbers = [ids, list(map(len, lists)), *best]
+            yield pa.record_batch([*[pa.array(x, pa.int64()) for x in numbers], pa.array(shown), pa.array(kept)], names=names)
+
+    names = ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(run, ", ".join(f"{n} {'string' if n.endswith('256') else 'long'}" for n in names))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three periods and 24 words or more in every document."""
+    return digest_runs(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether they exceed a context of 1024 tokens."""
