@@ -37,6 +37,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+PART = re.compile(r"[A-Za-z0-9_-]*")
 
 #: Keywords in lower case and the kind whose pattern is tried at a hit.
 KEYWORDS = {
@@ -112,10 +113,15 @@ class Scanner:
         begin = sorted({(end - n + 1, kind) for end, (n, kind) in self.hits.iter(_lower(text))})
         free = [0] * len(KINDS)
         for start, kind in begin:
-            if start >= free[kind] and (m := PATTERNS[kind].match(text, start)):
+            if start < free[kind]:
+                continue
+            if m := PATTERNS[kind].match(text, start):
                 free[kind] = m.end()
                 if _valid(kind, m):
                     found.append((start, kind, m.end()))
+            elif kind == 5 and text.startswith("eyJ", start):
+                # What is missing stands behind the first part, so no later start within it can match.
+                free[kind] = PART.match(text, start).end()
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         return sorted(found)
 
@@ -126,7 +132,8 @@ SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("
 def scan(docs: DataFrame) -> DataFrame:
     """docs (text, ...) -> the same columns and spans array<struct<start, kind, end>>; a column spans is replaced.
 
-    A null or empty text has no spans. Repeated rows get alike spans.
+    A null or empty text has no spans, no rows give none. Repeated rows get alike spans.
+    Time is in proportion to a text's length, whatever it repeats.
     """
     docs = docs.drop("spans")
 
