@@ -254,14 +254,15 @@ def parted(s: SparkSession, d: str) -> DataFrame:
     """Rows before a day, and rows from it on with the last three before it to warm up."""
     b = daily(s, d).withColumn("ts", F.timestamp_seconds("bar"))
     before, after = ft.split_by_date(b, "ts", "2024-01-20", 3, Series(order=("bar",)))
-    return before.withColumn("part", F.lit("before")).withColumn("warm", F.lit(None).cast("boolean")).unionByName(after.withColumn("part", F.lit("after"))).select("symbol", "bar", "close", "part", "warm")
+    parts = before.withColumn("part", F.lit("before")).withColumn("warm", F.lit(False)).unionByName(after.withColumn("part", F.lit("after")))
+    return parts.select("symbol", "bar", "close", "part", c("warm").cast("int").alias("warm"))
 
 
 register(
     "features_split_by_date",
     parted,
     f"""{_HALVES}, k AS (SELECT *, bar < epoch(TIMESTAMP '2024-01-20')::BIGINT AS early, row_number() OVER (PARTITION BY symbol, bar < epoch(TIMESTAMP '2024-01-20')::BIGINT ORDER BY bar DESC) AS back FROM a)
-SELECT symbol, bar, {r('close', 'close')}, 'before' AS part, NULL::BOOLEAN AS warm FROM k WHERE early UNION ALL SELECT symbol, bar, {r('close', 'close')}, 'after', early FROM k WHERE NOT early OR back <= 3""",
+SELECT symbol, bar, {r('close', 'close')}, 'before' AS part, 0 AS warm FROM k WHERE early UNION ALL SELECT symbol, bar, {r('close', 'close')}, 'after', early::INTEGER FROM k WHERE NOT early OR back <= 3""",
 )
 register(
     "features_tokens",
