@@ -196,15 +196,53 @@ def test_near_dedup_of_tiny_and_huge_components(spark):
     assert got == {1: (1, 1), 3: (1, 1), 2: (2, 2), 4: (2, 2), 5: (2, 2)}
 
 
-def test_near_dedup_fails_under_its_recall(spark, monkeypatch):
+def frame(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def test_near_dedup_finds_rare_links_without_the_audit(spark):
+    """50 lone pairs among 30,000 vectors: no audit adds a link, and the probes tell the recall although hardly a sampled node has one."""
+    x, m = lone_pairs(30_000, 50 / 30_000, dim=24)
+    out, seen = dedup.dedup_audited(frame(spark, x))
+    got = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in out.collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = [(i, len(x) - m + i) for i in range(m)]
+    assert np.mean([got[i][0] == got[j][0] for i, j in pairs]) >= 0.9
+    assert seen.probes == dedup.PROBES and seen.probes_found >= dedup.PROBED * seen.probes and not seen.exact
+    assert seen.links < 40 and len(got) == len(x)
+    for i, j in pairs[:10]:
+        assert got[i][1] in (0, int((u @ u[i] >= 0.95).sum()) - 1)
+
+
+def test_near_dedup_compares_everything_at_last(spark, monkeypatch):
+    """One table of one set of planes and short lists find too little; the exact pass adds the rest, block by block."""
     assert [dedup._tables(b, 0.95) for b in (7, 12, 16)] == [9, 17, 27]
-    asked = []
-    monkeypatch.setattr(dedup, "PLANES", 2)
-    monkeypatch.setattr(dedup, "recall", lambda *a: asked.append(1) or 0.9)
-    df = spark.createDataFrame([(i, [1.0, i / 50]) for i in range(60)], "vec_id long, embedding array<double>")
-    with pytest.raises(dedup.RecallError, match="0.9"):
-        dedup.dedup(df)
-    assert len(asked) == 2
+    for name, value in (("PLANES", 1), ("ROUNDS", 1), ("SAMPLE_BYTES", 40_000)):
+        monkeypatch.setattr(dedup, name, value)
+    monkeypatch.setattr(dedup, "_tables", lambda bits, threshold: 1)
+    x, _ = lone_pairs(1_500, 0.2, dim=24)
+    x = np.concatenate([x, x[:40] * 1.5, x[5:6] + np.random.default_rng(0).normal(size=(30, 24)) * 0.02])
+    out, seen = dedup.dedup_audited(frame(spark, x), neighbours=2)
+    assert seen.exact and not seen.holds and seen.planes == 1
+    got = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in out.collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    for _ in range(len(x)):
+        low = np.minimum(label, np.where(near, label, len(x)).min(axis=1))
+        if (low == label).all():
+            break
+        label = low
+    assert [got[i] for i in range(len(x))] == list(zip(label.tolist(), near.sum(axis=1).tolist(), strict=True))
+
+
+def test_near_dedup_without_links_or_dimensions(spark):
+    rng = np.random.default_rng(4)
+    out, seen = dedup.dedup_audited(frame(spark, rng.normal(size=(300, 40))))
+    assert out.filter("n_links > 0 or not kept").count() == 0 and (seen.links, seen.exact) == (0, False) and seen.probes_found >= 198
+    out, seen = dedup.dedup_audited(frame(spark, [[1.0], [2.0], [-1.0]]))
+    assert [tuple(r) for r in out.orderBy("vec_id").collect()] == [(0, 1, 0, True), (1, 1, 0, False), (2, 0, 2, True)] and seen.probes == 0
 
 
 # --- mixing ---------------------------------------------------------------------------------------

@@ -7,12 +7,15 @@ compared with each other, so neighbours of neighbours become neighbours. Only
 neighbourhoods with a new edge are joined again. A list whose last entry still reaches
 the threshold is saturated and is allowed to grow to twice its length.
 
-Recall is audited: for a sample of nodes all links are found by comparing with every
-node. The sample grows with the square root of the table, and further until enough of
-its nodes have links. Recall is the share of those nodes that the graph connects with
-all they link with, so a lone pair weighs as much as a member of a large group. Rounds
-go on until the number of near pairs settles; while recall is under RECALL, new planes
-start over on the lists so far, and after PLANES of them RecallError is raised.
+Recall is audited, apart from the result: nothing that an audit finds becomes an edge. Two
+figures are taken. Probes are sampled nodes turned to the threshold exactly, which makes
+lone pairs of the hardest kind; they go through the lists like nodes, and it counts how
+many end up connected with their source, however rare links are in the table. And for a
+sample of nodes, as large as the root of the table and bounded in bytes, all links are found
+by comparing with every node; it counts how many of these links the lists connect. Rounds
+go on until the number of near pairs settles; while a figure is too low, new planes start
+over on the lists so far. After PLANES of them an exact pass compares all nodes in blocks and
+adds what links different components: quadratic, but whole.
 
 Edges at the threshold give components. Members of a component are then compared with
 each other in blocks, so n_links is the number of all links within it, whatever the
@@ -28,6 +31,7 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +48,10 @@ NEIGHBOURS, BLOCK, ROUNDS, PLANES = 6, 48, 8, 6
 START = 0.995
 #: Tables of one set of planes at most: 0.95 needs them from 20 billion vectors on, low thresholds sooner; the audit then asks for more sets.
 TABLES = 128
-#: Nodes with links that are audited at least, and the share that must be found.
-AUDIT, RECALL = 200, 0.995
+#: Probes; share of the probes, and of the links of sampled nodes, that must be connected.
+PROBES, PROBED, RECALL = 200, 0.99, 0.995
+#: Sampled nodes are SAMPLED times the root of the table; they, and a block of the exact pass, have so many bytes at most.
+SAMPLED, SAMPLE_BYTES = 4, 32 << 20
 #: Bits of a bucket's code; those past a table's own part its large buckets.
 BITS = 48
 #: Members of a component in one block of the final comparison.
@@ -55,8 +61,20 @@ PART = 1024
 log = logging.getLogger(__name__)
 
 
-class RecallError(RuntimeError):
-    """The audited recall stayed under RECALL."""
+@dataclass(frozen=True)
+class Recall:
+    """What the audit saw: probes and links of sampled nodes, how many were connected, sets of planes, and whether an exact pass followed."""
+
+    probes: int
+    probes_found: int
+    links: int
+    links_found: int
+    planes: int
+    exact: bool = False
+
+    @property
+    def holds(self) -> bool:
+        return self.probes_found >= PROBED * self.probes and self.links_found >= RECALL * self.links
 
 
 def _tables(bits: int, threshold: float) -> int:
@@ -124,16 +142,20 @@ def _blocks(rows: DataFrame, key: list[str], seed: int) -> DataFrame:
     return rows.join(sizes, key).withColumn("block", F.xxhash64(*key, part)).drop("parts", *key)
 
 
-def _buckets(nodes: DataFrame, dims: list[int], bits: int, tables: int, seed: int) -> DataFrame:
+def _buckets(nodes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
     """(table, dim, bucket, id): signs against random hyperplanes, for each table; a large bucket is parted by further planes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = {d: np.random.default_rng([seed, d]).standard_normal((tables, BITS, d)) for d in dims}
+        planes: dict[int, np.ndarray] = {}
         for batch in batches:
             v, ids = batch.column("v").to_pylist(), batch.column("id").to_numpy()
             size = np.array([len(x) // 8 for x in v])
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
+                if d not in planes:
+                    if len(planes) >= 64:
+                        planes.clear()
+                    planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((tables, BITS, d))
                 x = _normal(np.frombuffer(b"".join(v[i] for i in at), np.float64).reshape(len(at), d))
                 for k in range(tables):
                     b = ((x @ planes[d][k].T > 0).astype(np.int64) << np.arange(BITS)).sum(axis=1)
@@ -151,45 +173,84 @@ def _buckets(nodes: DataFrame, dims: list[int], bits: int, tables: int, seed: in
     return rows.select("table", "dim", F.xxhash64("depth", first("depth")).alias("bucket"), "id")
 
 
-def _links(nodes: DataFrame, sample: int, threshold: float) -> DataFrame:
-    """All links (a, b) of a sample of nodes, against every node."""
-    taken = nodes.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample).select("id", "v").toArrow()
-    own = [(int(i), np.frombuffer(v, np.float64)) for i, v in zip(taken.column("id").to_pylist(), taken.column("v").to_pylist(), strict=True)]
-    dims = {d: (np.array([i for i, v in own if len(v) == d]), np.array([v for _, v in own if len(v) == d])) for d in {len(v) for _, v in own}}
+def _against(nodes: DataFrame, taken: pa.Table, threshold: float) -> DataFrame:
+    """(a, b): component or id of taken rows (id, v, of) and of nodes (id, v, of) that link, unlike ones only, each once a batch."""
+    v = taken.column("v").to_pylist()
+    own = [(int(i), np.frombuffer(x, np.float64)) for i, x in zip(taken.column("of").to_pylist(), v, strict=True)]
+    dims = {d: (np.array([i for i, x in own if len(x) == d]), np.array([x for _, x in own if len(x) == d])) for d in {len(x) for _, x in own}}
     data = nodes.sparkSession.sparkContext.broadcast({d: (i, _normal(x)) for d, (i, x) in dims.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, ids = batch.column("v").to_pylist(), batch.column("id").to_numpy()
+            v, of = batch.column("v").to_pylist(), batch.column("of").to_numpy()
             size = np.array([len(x) // 8 for x in v])
             for d, (mine, x) in data.value.items():
-                of = np.flatnonzero(size == d)
+                at_all = np.flatnonzero(size == d)
                 # No more than 32 MB of products at once.
                 step = max(1, (4 << 20) // len(mine))
-                for lo in range(0, len(of), step):
-                    at = of[lo : lo + step]
-                    s = x @ _unit(pa.array([v[i] for i in at])).T
-                    i, j = np.nonzero(s >= threshold)
-                    a, b = mine[i], ids[at][j]
-                    yield pa.record_batch([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64())], names=["a", "b"])
-
-    return nodes.select("id", "v").mapInArrow(run, "a long, b long")
-
-
-def _audit(nodes: DataFrame, n: int, threshold: float) -> tuple[DataFrame, int]:
-    """Links (a, b) of sampled nodes and how many of these have any: at least AUDIT and the root of n, if the largest sample holds them."""
-    root = math.isqrt(n)
-    want, most = max(AUDIT, root), max(100 * AUDIT, 16 * root)
-    sample = 4 * want
-    while True:
-        audit = materialize(_links(nodes, sample, threshold), "near-audit")
-        linked = audit.select("a").distinct().count()
-        if linked >= want or sample >= min(n, most):
-            break
-        sample = min(4 * sample, most)
-    if linked < want and sample < n:
-        log.warning("near-dedup: of %d audited nodes only %d have links; recall is known from these", sample, linked)
-    return audit, linked
+                for lo in range(0, len(at_all), step):
+                    at = at_all[lo : lo + step]
+                    i, j = np.nonzero(x @ _unit(pa.array([v[k] for k in at])).T >= threshold)
+                    pairs = np.stack([mine[i], of[at][j]], axis=1)
+                    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+                    yield pa.record_batch([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+
+    return nodes.select("id", "v", "of").mapInArrow(run, "a long, b long")
+
+
+def _sampled_links(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """All links (a, b) of a sample of nodes; the audit only counts them."""
+    longest = nodes.agg(F.max(F.length("v"))).first()[0] or 8
+    size = min(n, max(PROBES, SAMPLED * math.isqrt(n)), max(1, SAMPLE_BYTES // longest))
+    rows = nodes.select("id", "v", F.col("id").alias("of"))
+    return _against(rows, rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(size).toArrow(), threshold)
+
+
+def _probes(nodes: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """(id, v, source): sampled nodes of two components or more, each turned to the threshold in a direction of its own. Their ids are no node's."""
+    low, high = nodes.agg(F.min("id"), F.max("id")).first()
+    first, step = (low - 1, -1) if low > -(1 << 62) else (high + 1, 1)
+    cosine = min(1.0, threshold + 1e-9)
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = 0
+        for batch in batches:
+            out = []
+            for source, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                x = _normal(np.frombuffer(v, np.float64)[None, :])[0]
+                r = np.random.default_rng([seed, k]).standard_normal(len(x))
+                r -= (r @ x) * x
+                out.append((first + step * k, (cosine * x + math.sqrt(1 - cosine * cosine) * r / np.sqrt(r @ r)).tobytes(), source))
+                k += 1
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["id", "v", "source"])
+
+    taken = nodes.filter(F.length("v") >= 16).select("id", "v").orderBy(F.xxhash64("id", F.lit(9)), "id").limit(PROBES)
+    return materialize(taken.coalesce(1).mapInArrow(turn, "id long, v binary, source long"), "near-probes")
+
+
+def _audited(near: DataFrame, probes: DataFrame, links: DataFrame, planes: int) -> Recall:
+    """How many probes have their source, and how many links both their ends, in one component of the near pairs."""
+    labels = materialize(components(near.select(F.col("u").alias("a"), F.col("v").alias("b"))), "near-audited")
+    x, y = (labels.select(F.col("id").alias(c), F.col("component_id").alias(f"c{c}")) for c in "ab")
+    together = F.coalesce(F.sum((F.col("ca") == F.col("cb")).cast("long")), F.lit(0))
+    seen = [pairs.join(x, "a", "left").join(y, "b", "left").agg(F.count("*"), together).first() for pairs in (probes.select(F.col("id").alias("a"), F.col("source").alias("b")), links)]
+    return Recall(*seen[0], *seen[1], planes)
+
+
+def _exact(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): components that link, by comparing all nodes in blocks; each block is broadcast and met by one scan."""
+    rows = materialize(nodes.join(labels, "id", "left").select("id", "v", F.coalesce("component_id", "id").alias("of")), "near-exact")
+    total = rows.agg(F.sum(F.length("v"))).first()[0] or 0
+    blocks = max(1, math.ceil(2 * total / SAMPLE_BYTES))
+    found = None
+    for k in range(blocks):
+        taken = rows.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)) == k).toArrow()
+        if not taken.num_rows:
+            continue
+        links = materialize(_against(rows, taken, threshold).distinct(), "near-exact-links")
+        found = links if found is None else found.unionByName(links)
+    return found if found is not None else labels.select(F.col("id").alias("a"), F.col("id").alias("b")).filter("false")
 
 
 def _counted(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
@@ -246,16 +307,17 @@ def _improve(graph: DataFrame, found: DataFrame, threshold: float, base: int) ->
     return pairs.drop("i")
 
 
-def connect(nodes: DataFrame, n: int, dims: list[int], threshold: float, neighbours: int, seed: int) -> tuple[DataFrame, DataFrame, float]:
-    """The lists of n nodes (id, v), the audited links and the recall of the lists, which is RECALL at least."""
+def connect(nodes: DataFrame, n: int, threshold: float, neighbours: int, seed: int) -> tuple[DataFrame, Recall]:
+    """The near pairs (a, b) of n nodes (id, v) by NN-descent, and what the audit saw of them."""
     bits = max(1, min(40, math.ceil(math.log2(max(n, 2) / 24))))
     tables = _tables(bits, threshold)
-    lists = lambda rows: rows.join(nodes.select("id", "v"), "id")
-    audit, linked = _audit(nodes, n, threshold)
+    links = materialize(_sampled_links(nodes, n, threshold), "near-audit")
+    probes = _probes(nodes, threshold, seed)
+    every = nodes.select("id", "v").unionByName(probes.select("id", "v"))
+    lists = lambda rows: rows.join(every, "id")
     graph = nodes.sparkSession.createDataFrame([], "u long, v long, sim double, fresh int, keep int")
-    reached = 0.0
     for planes in range(PLANES):
-        start = _blocks(_buckets(nodes, dims, bits, tables, seed + planes), ["table", "dim", "bucket"], seed + planes)
+        start = _blocks(_buckets(every, bits, tables, seed + planes), ["table", "dim", "bucket"], seed + planes)
         found = _blockwise(lists(start.withColumn("worst", F.lit(-1.0)).withColumn("keep", F.lit(neighbours))))
         graph = materialize(_improve(graph, found, threshold, neighbours), "near-lists")
         before = -1
@@ -273,22 +335,35 @@ def connect(nodes: DataFrame, n: int, dims: list[int], threshold: float, neighbo
             state = state.select(F.col("u").alias("id"), F.when(F.col("n") >= F.col("keep"), F.col("low")).otherwise(-1.0).alias("worst"), "keep")
             found = _blockwise(lists(around.join(state, "id")))
             graph = materialize(_improve(graph, found, threshold, neighbours), "near-lists")
-        reached = recall(graph.filter(F.col("sim") >= threshold), audit, linked)
-        log.info("near-dedup: %d nodes, %d tables, planes %d: recall %.4f of %d audited nodes with links", n, tables, planes + 1, reached, linked)
-        if reached >= RECALL:
-            return graph, audit, reached
-    raise RecallError(f"near-dedup reached a recall of {reached:.4f} after {PLANES} sets of planes; {RECALL} is asked")
+        near = graph.filter(F.col("sim") >= threshold)
+        seen = _audited(near, probes, links, planes + 1)
+        log.info("near-dedup: %d nodes, %d tables: %s", n, tables, seen)
+        if seen.holds:
+            break
+    # No probe is an end of an edge.
+    edges = near.join(probes.select(F.col("id").alias("u")), "u", "left_anti").join(probes.select(F.col("id").alias("v")), "v", "left_anti")
+    edges = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
+    if not seen.holds:
+        log.warning("near-dedup: %s; all nodes are compared in blocks", seen)
+        labels = materialize(components(edges), "near-components")
+        edges = labels.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(_exact(nodes, labels, threshold))
+        seen = replace(seen, exact=True)
+    return edges, seen
 
 
 def dedup(vectors: DataFrame, threshold: float = 0.95, neighbours: int = NEIGHBOURS, seed: int = 11) -> DataFrame:
-    """vectors (vec_id, embedding) -> vec_id, n_links, component_id, kept, for every row.
+    """``dedup_audited`` without the audit's figures."""
+    return dedup_audited(vectors, threshold, neighbours, seed)[0]
+
+
+def dedup_audited(vectors: DataFrame, threshold: float = 0.95, neighbours: int = NEIGHBOURS, seed: int = 11) -> tuple[DataFrame, Recall]:
+    """vectors (vec_id, embedding) -> vec_id, n_links, component_id, kept, for every row; and the audited recall.
 
     Vectors that are null, zero or hold null or non-finite components link with
     nothing: their component is their own vec_id and they are kept. Vectors of
     different lengths don't link. A repeated row (same vec_id, same vector) counts
     once as a link of others; rows that share a vec_id are one vertex. A null vec_id
     links with nothing and keeps a null component. No rows give no rows.
-    RecallError is raised when the audited recall stays under RECALL.
     """
     good = F.col("vec_id").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
     rows = materialize(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, F.col("embedding").cast("array<double>")).alias("e")), "near-rows")
@@ -303,16 +378,18 @@ def dedup(vectors: DataFrame, threshold: float = 0.95, neighbours: int = NEIGHBO
     nodes = materialize(nodes.mapInArrow(pack, "id long, m long, v binary"), "near-nodes")
     member = rows.join(nodes_of(valid), rows["e"].eqNullSafe(F.col("e_")), "left").select("vec_id", F.col("rep"))
     n = nodes.count()
-    dims = [r[0] // 8 for r in nodes.select(F.length("v")).distinct().limit(4096).collect()]
-    graph, audit, _ = connect(nodes, n, dims, threshold, neighbours, seed)
-    edges = graph.filter(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(audit)
+    if n:
+        edges, seen = connect(nodes, n, threshold, neighbours, seed)
+    else:
+        edges, seen = vectors.sparkSession.createDataFrame([], "a long, b long"), Recall(0, 0, 0, 0, 0)
     tied = member.filter("rep is not null").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")).join(several(member), "a", "left_semi")
     labels = materialize(components(edges.unionByName(tied)), "near-components")
     links = _counted(nodes, labels, threshold)
     per = nodes.select("id", "m").join(links, "id", "left").join(labels, "id", "left")
     per = per.select(F.col("id").alias("rep"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     out = member.join(per, "rep", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", (F.coalesce("vec_id", F.lit(0)) == F.coalesce("component_id", F.lit(0))).alias("kept"))
+    result = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", (F.coalesce("vec_id", F.lit(0)) == F.coalesce("component_id", F.lit(0))).alias("kept"))
+    return result, seen
 
 
 def nodes_of(valid: DataFrame) -> DataFrame:
@@ -323,12 +400,3 @@ def several(member: DataFrame) -> DataFrame:
     """The vec_ids that stand with more than one vector."""
     return member.filter("rep is not null").groupBy(F.col("vec_id").alias("a")).agg(F.countDistinct("rep").alias("n")).filter("n > 1").select("a")
 
-
-def recall(near: DataFrame, audit: DataFrame, linked: int) -> float:
-    """Share of the audited nodes with links that the near pairs connect with all they link with."""
-    if not linked:
-        return 1.0
-    labels = components(near.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    x, y = (labels.select(F.col("id").alias(c), F.col("component_id").alias(f"c{c}")) for c in "ab")
-    apart = F.max(F.when(F.col("ca") == F.col("cb"), 0).otherwise(1))
-    return audit.join(x, "a", "left").join(y, "b", "left").groupBy("a").agg(apart.alias("apart")).filter("apart = 0").count() / linked
