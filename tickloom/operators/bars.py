@@ -1,17 +1,16 @@
 """Bars, taker orders and within-bar statistics.
 
-Time, count and carried volume bars are one groupBy over a bar id. Volume bars that
-restart at zero are a true recursion; only their ids come from a grouped Arrow pass, the
-aggregation stays built in. first and last follow (ts, seq).
+Time, count and carried volume bars are one groupBy over a bar id. Row numbers, orders and
+volume bars that restart at zero go chunk by chunk with a carry (``chunks``), so a long
+symbol is many tasks; the aggregation stays built in. first and last follow (ts, seq).
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators import chunks
 from tickloom.windows import Series, div
 
 EPS = 1e-15
@@ -59,35 +58,23 @@ def time_bars(tape: DataFrame, sec: int) -> DataFrame:
     return tape.groupBy("symbol", time_bin(F.col("ts"), sec).alias("bar")).agg(*ohlcv())
 
 
-def count_bar_id(n: int, key: str = "symbol") -> Column:
-    return F.floor((F.row_number().over(Window.partitionBy(key).orderBy("ts", "seq")) - 1) / n).cast("long")
+def with_count_id(tape: DataFrame, n: int) -> DataFrame:
+    """Add bar_id: n trades each."""
+    rows = chunks.numbered(tape, "bar_id", chunks.by_time())
+    return rows.withColumn("bar_id", F.floor(F.col("bar_id") / n).cast("long"))
 
 
 def count_bars(tape: DataFrame, n: int) -> DataFrame:
     """Bars of n trades; the last may be partial."""
-    return _event_bars(tape.withColumn("bar_id", count_bar_id(n)), ohlcv())
+    return _event_bars(with_count_id(tape, n), ohlcv())
 
 
 def volume_bar_ids(tape: DataFrame, volume: float, carry: bool = False, size: str = "qty") -> DataFrame:
     """Add bar_id. A bar closes with the trade that reaches volume; what it has too much is dropped, or carried on."""
-    if carry:
-        before = Window.partitionBy("symbol").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-        return tape.withColumn("bar_id", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0.0)) / volume).cast("long"))
-
-    def ids(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("ts", "ascending"), ("seq", "ascending")])
-        # Within a bar the sum is a difference of prefix sums, so each bar end is one search.
-        total = np.concatenate([[0.0], np.cumsum(t.column(size).to_numpy())])
-        out, at, bar = np.empty(t.num_rows, np.int64), 0, 0
-        while at < len(out):
-            end = min(int(np.searchsorted(total, total[at] + volume, side="left")), len(out))
-            out[at:end] = bar
-            at, bar = max(end, at + 1), bar + 1
-        return t.append_column("bar_id", pa.array(out))
-
-    from pyspark.sql.types import LongType, StructType
-
-    return tape.groupBy("symbol").applyInArrow(ids, StructType([*tape.schema.fields]).add("bar_id", LongType()))
+    if not carry:
+        return chunks.volume_ids(tape, volume, size)
+    before = Window.partitionBy("symbol").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    return tape.withColumn("bar_id", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0.0)) / volume).cast("long"))
 
 
 def volume_bars(tape: DataFrame, volume: float, carry: bool = False) -> DataFrame:
@@ -100,12 +87,13 @@ def merge_trades(tape: DataFrame, gap_ms: int = 100) -> DataFrame:
     A row continues the one before if it has the same side, its ids follow without a
     gap, less than gap_ms passed (whole milliseconds), and its price is no better.
     """
-    s = Series()
-    micros = F.unix_micros("ts")
-    gap = F.floor((micros - s.lag(micros)) / 1000)
-    worse = F.when(F.col("side") == "buy", F.col("price") >= s.lag(F.col("price"))).otherwise(F.col("price") <= s.lag(F.col("price")))
-    goes_on = (F.col("side") == s.lag(F.col("side"))) & (F.col("first_id") == s.lag(F.col("last_id")) + 1) & (gap < gap_ms) & worse
-    rows = tape.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("grp", F.sum("new").over(s.u))
+
+    def goes_on(before: chunks.Field, now: chunks.Field) -> Column:
+        gap = F.floor((F.unix_micros(now("ts")) - F.unix_micros(before("ts"))) / 1000)
+        worse = F.when(now("side") == "buy", now("price") >= before("price")).otherwise(now("price") <= before("price"))
+        return (now("side") == before("side")) & (now("first_id") == before("last_id") + 1) & (gap < gap_ms) & worse
+
+    rows = chunks.run_ids(tape, "grp", goes_on, ["ts", "side", "price", "first_id", "last_id"], chunks.by_time())
     at = F.struct("ts", "seq")
     out = rows.groupBy("symbol", "grp").agg(
         F.min("ts").alias("ts"),
@@ -126,9 +114,8 @@ def merge_trades(tape: DataFrame, gap_ms: int = 100) -> DataFrame:
 
 def taker_orders(tape: DataFrame) -> DataFrame:
     """Orders as runs of fills with one side and no gap in ids, with their metrics."""
-    s = Series(order=("seq",))
-    goes_on = (F.col("side") == s.lag(F.col("side"))) & (F.col("first_id") == s.lag(F.col("last_id")) + 1)
-    rows = tape.withColumn("taker_id", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(s.u))
+    goes_on = lambda before, now: (now("side") == before("side")) & (now("first_id") == before("last_id") + 1)
+    rows = chunks.run_ids(tape, "taker_id", goes_on, ["side", "first_id", "last_id"], chunks.by_id(), order=("seq",))
     at = "seq"
     out = rows.groupBy("symbol", "taker_id").agg(
         F.count("*").alias("levels_swept"),
@@ -205,7 +192,7 @@ def merged_time_bars(merged: DataFrame, sec: int) -> DataFrame:
 
 
 def merged_count_bars(merged: DataFrame, n: int) -> DataFrame:
-    return _event_bars(merged.withColumn("bar_id", count_bar_id(n)), merged_aggs())
+    return _event_bars(with_count_id(merged, n), merged_aggs())
 
 
 def merged_volume_bars(merged: DataFrame, volume: float, carry: bool = False) -> DataFrame:

@@ -1,37 +1,40 @@
 """Join shapes that Spark has no operator for: as-of and interval joins.
 
-As-of joins are a union and one window, so they take a single shuffle on the key.
+As-of joins are a union and windows within chunks of the key, with a carry from chunk to
+chunk, so they take one shuffle and a long key is many tasks.
 Interval joins are equi-joins on exploded time buckets with the range as a residual
 predicate; no nested loop is planned.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators import chunks
 
-def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], columns: list[str], forward: bool = False, fallback_last: bool = False, tolerance: float | None = None) -> DataFrame:
+
+def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], columns: list[str], forward: bool = False, fallback_last: bool = False, tolerance: float | None = None, span: float = chunks.SECONDS) -> DataFrame:
     """left with the columns of right's latest row at or before ``on`` (forward: the first at or after).
 
     All columns come from one row of right, nulls included. fallback_last: a forward
     search that finds nothing takes the last row of right. tolerance: the largest
-    distance in the units of a numeric ``on``, or in seconds.
+    distance in the units of a numeric ``on``, or in seconds. span: the length of a chunk, in
+    the same units.
     """
+    timed = dict(left.dtypes)[on].startswith("timestamp")
+    num = lambda x: F.unix_micros(x) / 1e6 if timed else x
     names = left.columns
     both = left.select(*names, F.lit(None).cast(_struct(right, on, columns)).alias("_r"), F.lit(1 if not forward else 0).alias("_side")).unionByName(
         right.select(*by, on, F.struct(F.col(on).alias("_on"), *columns).alias("_r"), F.lit(0 if not forward else 1).alias("_side")), allowMissingColumns=True
     )
-    w = Window.partitionBy(*by).orderBy(F.col(on), "_side")
-    if forward:
-        found = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        if fallback_last:
-            found = F.coalesce(found, F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    else:
-        found = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("_f", found).filter(F.col("_side") == (0 if forward else 1))
+    out = chunks.last_known(both, "_r", "_f", by, on, [F.col(on), F.col("_side")], F.floor(num(F.col(on)) / span).cast("long"), forward)
+    out = out.filter(F.col("_side") == (0 if forward else 1))
+    if forward and fallback_last:
+        ends = right.groupBy(*by).agg(F.max_by(F.struct(F.col(on).alias("_on"), *columns), on).alias("_end"))
+        out = out.alias("l").join(ends.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by], "left")
+        out = out.select("l.*", F.col("r._end")).withColumn("_f", F.coalesce("_f", "_end"))
     if tolerance is not None:
-        num = lambda c: F.unix_micros(c) / 1e6 if dict(left.dtypes)[on].startswith("timestamp") else c
         out = out.withColumn("_f", F.when(F.abs(num(F.col(on)) - num(F.col("_f._on"))) <= tolerance, F.col("_f")))
     return out.select(*names, *[F.col(f"_f.{c}").alias(c) for c in columns])
 

@@ -1,7 +1,10 @@
-"""Recursive smoothers: each value depends on the one before, so a series is one pass.
+"""Recursive smoothers.
 
-``recur`` runs a NumPy kernel over every series in grouped Arrow batches; series run in
-parallel. The smoothers that are no true recursions are built-in windows.
+Where the pace of a smoother comes from the data alone, its steps are linear and compose:
+``ewm_scan``, ``kaufman_scan`` and ``adaptive_scan`` run within chunks of ROWS rows and hand one
+value on, so a long series is many tasks. ``recur`` runs a NumPy kernel over a whole series
+in grouped Arrow batches, for the others; series run in parallel. The smoothers that are
+no true recursions are built-in windows.
 """
 
 from __future__ import annotations
@@ -14,9 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from tickloom.windows import Series, div
+from tickloom.operators import chunks
+from tickloom.windows import Series, div, with_halo
 
 Kernel = Callable[..., dict[str, np.ndarray]]
+#: Rows of a chunk of a series.
+ROWS = 8192
 
 
 def recur(df: DataFrame, kernel: Kernel, inputs: list[str], outputs: list[str], key: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("bar",), **params) -> DataFrame:
@@ -86,6 +92,69 @@ def adaptive_ema(x: np.ndarray, alpha: np.ndarray) -> dict[str, np.ndarray]:
     return {"y": out}
 
 
+def _placed(df: DataFrame, rows: int, order: tuple[str, ...], key: str, by: Column | None) -> DataFrame:
+    """df with _i, the row's number in its series; ``by`` is the chunk in which rows are numbered."""
+    return chunks.numbered(df, "_i", F.floor(F.col(order[0]) / (rows * 60)).cast("long") if by is None else by, order, key)
+
+
+def _finite(x: Column) -> Column:
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def ewm_scan(df: DataFrame, column: str, out: str, alpha: float, adjust: bool = False, least: int = 1, rows: int = ROWS, order: tuple[str, ...] = ("bar",), key: str = "symbol", by: Column | None = None) -> DataFrame:
+    """The values of ``ewm`` as a scan in chunks of so many rows."""
+    df = _placed(df, rows, order, key, by)
+    x = _finite(F.col(column).cast("double"))
+    good, part, decay = x.isNotNull(), F.floor(F.col("_i") / rows), F.lit(1 - alpha)
+    seen = (F.lit(1.0), good.cast("double"))
+    if adjust:
+        got = chunks.linear(df, {"_num": (decay, F.coalesce(x, F.lit(0.0))), "_den": (decay, good.cast("double")), "_seen": seen}, part, order, key)
+        y = div(F.col("_num"), F.col("_den"))
+    else:
+        # Rows since the last value set how much of it is left.
+        since = (F.when(good, 0.0).otherwise(1.0), F.lit(1.0))
+        got = chunks.linear(df, {"_since": since, "_seen": seen}, part, order, key, before=True)
+        old = F.pow(decay, F.col("_since_before"))
+        first = F.col("_seen_before") == 0
+        a = F.when(~good, 1.0).when(first, 0.0).otherwise(old / (old + alpha))
+        b = F.when(~good, 0.0).when(first, x).otherwise(alpha * x / (old + alpha))
+        got = chunks.linear(got, {"_y": (a, b)}, part, order, key)
+        y = F.col("_y")
+    return got.withColumn(out, F.when(F.col("_seen") >= max(least, 1), y)).select(*[c for c in df.columns if c not in (out, "_i")], out)
+
+
+def kaufman_scan(df: DataFrame, column: str, out: str, n: int = 10, fast: int = 2, slow: int = 30, rows: int = ROWS, order: tuple[str, ...] = ("bar",), key: str = "symbol", by: Column | None = None) -> DataFrame:
+    """The values of ``kaufman`` as a scan; the steps of a chunk's first rows come from the chunk before."""
+    if rows <= n:
+        raise ValueError("a chunk must be longer than the look-back")
+    names = df.columns
+    df = with_halo(_placed(df, rows, order, key, by), F.floor(F.col("_i") / rows), n + 1, (key,), order)
+    s, x = Series((key, "chunk"), order), F.col(column).cast("double")
+    df = df.withColumn("_step", F.abs(x - s.lag(x)))
+    path, move = F.sum("_step").over(s.r(n)), F.abs(x - s.lag(x, n))
+    # A missing value within the path makes it no number, and the value is missing from there on.
+    path = F.when(F.count("_step").over(s.r(n)) == n, path)
+    f, w = 2 / (fast + 1), 2 / (slow + 1)
+    pace = F.pow(F.when(path > 0, move / path).otherwise(0.0) * (f - w) + w, 2)
+    df = df.withColumn("_k", F.when(F.col("_i") >= n, pace)).filter(~F.col("halo"))
+    nan = F.lit(float("nan"))
+    step = (F.when(F.col("_k").isNull(), 0.0).otherwise(1 - F.col("_k")), F.coalesce(F.when(F.col("_k").isNull(), x).otherwise(F.col("_k") * x), nan))
+    got = chunks.linear(df, {"_y": step}, F.floor(F.col("_i") / rows), order, key)
+    return got.withColumn(out, _finite(F.col("_y"))).select(*[c for c in names if c != out], out)
+
+
+def adaptive_scan(df: DataFrame, column: str, pace: str, out: str, rows: int = ROWS, order: tuple[str, ...] = ("bar",), key: str = "symbol", by: Column | None = None) -> DataFrame:
+    """The values of ``adaptive_ema`` as a scan."""
+    df = _placed(df, rows, order, key, by)
+    x, a = _finite(F.col(column).cast("double")), F.coalesce(_finite(F.col(pace).cast("double")), F.lit(0.0))
+    part, good = F.floor(F.col("_i") / rows), x.isNotNull()
+    got = chunks.linear(df, {"_seen": (F.lit(1.0), good.cast("double"))}, part, order, key, before=True)
+    first = F.col("_seen_before") == 0
+    step = (F.when(~good, 1.0).when(first, 0.0).otherwise(1 - a), F.when(~good, 0.0).when(first, x).otherwise(a * x))
+    got = chunks.linear(got, {"_y": step}, part, order, key)
+    return got.withColumn(out, F.when(F.col("_seen") > 0, F.col("_y"))).select(*[c for c in df.columns if c not in (out, "_i")], out)
+
+
 def kalman(x: np.ndarray, q: float | None = None, r: float | None = None, clip: bool = False) -> dict[str, np.ndarray]:
     """Local-level filter. Without q and r they come from the variance of the whole series, which looks ahead."""
     v = x[np.isfinite(x)]

@@ -142,14 +142,14 @@ register("regime_hurst", lambda s, d: sm.recur(bars(s, d), sm.hurst_rs, ["close"
 # --- smoothers ------------------------------------------------------------------------------------
 EWM_SQL = f"""WITH RECURSIVE {BARS_SQL}, n AS (SELECT symbol, bar, close, row_number() {P} AS i FROM bars), e AS (SELECT symbol, bar, i, close AS y FROM n WHERE i = 1 UNION ALL
   SELECT n.symbol, n.bar, n.i, 0.8 * e.y + 0.2 * n.close FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1) SELECT symbol, bar, {r("y", "y")} FROM e"""
-register("smooth_ewm", lambda s, d: sm.recur(bars(s, d), sm.ewm, ["close"], ["y"], alpha=0.2).select("symbol", "bar", "y"), EWM_SQL)
+register("smooth_ewm", lambda s, d: sm.ewm_scan(bars(s, d), "close", "y", 0.2, rows=16).select("symbol", "bar", "y"), EWM_SQL)
 EWMA_SQL = f"""WITH RECURSIVE {BARS_SQL}, n AS (SELECT symbol, bar, close, row_number() {P} AS i FROM bars), e AS (SELECT symbol, bar, i, close AS a, 1.0::DOUBLE AS b FROM n WHERE i = 1 UNION ALL
   SELECT n.symbol, n.bar, n.i, 0.8 * e.a + n.close, 0.8 * e.b + 1 FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1) SELECT symbol, bar, {r("a / b", "y")} FROM e"""
-register("smooth_ewm_adjusted", lambda s, d: sm.recur(bars(s, d), sm.ewm, ["close"], ["y"], alpha=0.2, adjust=True).select("symbol", "bar", "y"), EWMA_SQL)
-register("smooth_kaufman", lambda s, d: sm.recur(bars(s, d), sm.kaufman, ["close"], ["y"]).select("symbol", "bar", "y"))
+register("smooth_ewm_adjusted", lambda s, d: sm.ewm_scan(bars(s, d), "close", "y", 0.2, adjust=True, rows=16).select("symbol", "bar", "y"), EWMA_SQL)
+register("smooth_kaufman", lambda s, d: sm.kaufman_scan(bars(s, d), "close", "y", rows=16).select("symbol", "bar", "y"))
 register("smooth_kalman", lambda s, d: sm.recur(bars(s, d), sm.kalman, ["close"], ["y"]).select("symbol", "bar", "y"))
 register("smooth_kalman_clipped", lambda s, d: sm.recur(bars(s, d), sm.kalman, ["close"], ["y"], clip=True).select("symbol", "bar", "y"))
-register("smooth_adaptive_ema", lambda s, d: sm.recur(bars(s, d).withColumn("alpha", F.least(F.lit(0.5), 0.1 * c("volume") / S.mean(c("volume"), 20, 1))), sm.adaptive_ema, ["close", "alpha"], ["y"]).select("symbol", "bar", "y"))
+register("smooth_adaptive_ema", lambda s, d: sm.adaptive_scan(bars(s, d).withColumn("alpha", F.least(F.lit(0.5), 0.1 * c("volume") / S.mean(c("volume"), 20, 1))), "close", "alpha", "y", rows=16).select("symbol", "bar", "y"))
 register("smooth_bilateral", lambda s, d: bars(s, d).withColumn("_i", S.index()).select("symbol", "bar", sm.bilateral(S, c("close"), 3, 2.0, 1.0).alias("y")))
 register("smooth_polyfit", lambda s, d: bars(s, d).select("symbol", "bar", sm.polyfit_last(S, c("close"), 12).alias("y")))
 register(

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from tickloom.operators.bars import EPS, count_bar_id, merge_trades, ohlcv, time_bin
+from tickloom.operators.bars import EPS, merge_trades, ohlcv, time_bin, with_count_id
 
 c = F.col
 VALUES = ("open", "high", "low", "close", "volume", "n_trades", "buy_volume", "sell_volume")
@@ -179,7 +179,7 @@ def warm_state(history: DataFrame, count: int, keep: int = 500, gap_ms: int = 10
         orders = orders.filter(~c("_last"))
     else:
         pending = ends.select("symbol", F.lit(None).cast("string").alias("pending"))
-    bars = orders.withColumn("bar_id", count_bar_id(count)).groupBy("symbol", "bar_id").agg(F.unix_micros(F.min("ts")).alias("us"), *ohlcv())
+    bars = with_count_id(orders, count).groupBy("symbol", "bar_id").agg(F.unix_micros(F.min("ts")).alias("us"), *ohlcv())
     full = c("n_trades") == count
     told = F.struct(*_BAR_NAMES)
     recent = Window.partitionBy("symbol").orderBy(F.desc("bar_id"))
