@@ -7,7 +7,7 @@ import pytest
 from tests.compare import duck, same
 
 from tickloom import queries as engine
-from tickloom import oracles, queries_live, queries_more  # noqa: F401
+from tickloom import oracles, queries_live, queries_models, queries_more  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(engine.ORACLE_SQL))

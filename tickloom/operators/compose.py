@@ -221,6 +221,41 @@ def feature_matrix(tape: DataFrame, sec: int, horizon: int = 5, prefix: str = "f
     return wide.withColumn("target", y).select("symbol", "bar", *[c(x).alias(prefix + x) for x in names], "target")
 
 
+def bar_runs(bars: DataFrame) -> DataFrame:
+    """bars with step (sign of the close's change, 0 at first) and run: how many bars in a row had that step, this one included."""
+    step = F.coalesce(F.signum(c("close") - S.lag(c("close"))), F.lit(0.0)).cast("int")
+    rows = bars.withColumn("step", step).withColumn("_new", F.when(c("step") == S.lag(c("step")), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(S.u))
+    own = Window.partitionBy("symbol", "_island").orderBy("bar")
+    return rows.withColumn("run", F.row_number().over(own)).drop("_new", "_island")
+
+
+def gap_matrix(tape: DataFrame, sec: int, h: int = 12, horizons: tuple[int, ...] = (5, 10, 20), n: int = 20) -> DataFrame:
+    """One row for each gap of the bars: its own features, regimes and runs as of the gap, features crossed with its side, and labels.
+
+    Features see nothing behind the gap's bar. volume_ratio compares the middle bar with the
+    n bars before the gap's, and is 1 with fewer; future returns end at the last bar there
+    is. label_filled comes from the next h bars.
+    """
+    bars = br.time_bars(tape, sec)
+    framed = bar_runs(ind.efficiency_ratio(ind.parkinson_volatility(ind.realized_volatility(bars, n), n), n))
+    flow = div(c("buy_volume") - c("sell_volume"), c("volume"))
+    past = S.p.rowsBetween(-n, -1)
+    framed = framed.withColumns(
+        {
+            "candle2_volume": S.lag(c("volume")),
+            "candle2_range": S.lag(c("high") - c("low")),
+            "volume_ratio": F.when(F.count("volume").over(past) == n, S.lag(c("volume")) / (F.avg("volume").over(past) + 1e-10)).otherwise(1.0),
+            "imbalance": flow,
+        }
+        | {f"future_ret_{k}": (F.coalesce(S.lead(c("close"), k), F.last("close").over(S.p.rowsBetween(0, Window.unboundedFollowing))) / c("close") - 1) * 100 for k in horizons}
+    )
+    gaps = lb.gap_fills(bars, h).select("symbol", "bar", "kind", "size_pct", (c("top") - c("bottom")).alias("gap_size"), (c("status") == "filled").cast("int").alias("label_filled"), "fill_bars")
+    wide = gaps.join(framed, ["symbol", "bar"]).withColumn("side", F.when(c("kind") == "bullish", 1).otherwise(-1))
+    crossed = {"imbalance_with": c("imbalance") * c("side"), "run_with": c("run") * c("step") * c("side"), "size_by_volume": c("size_pct") * c("volume_ratio")}
+    labels = {f"label_direction_{k}": (c(f"future_ret_{k}") > 0).cast("int") for k in horizons}
+    return wide.withColumns(crossed | labels).drop("open", "high", "low", "kind", "n_trades", "buy_volume", "sell_volume")
+
+
 def trade_microstructure(tape: DataFrame, sec: int, windows: tuple[int, ...] = (5, 10, 20, 60)) -> DataFrame:
     """Fill sizes, level profile, side autocorrelation and runs, intensity and VWAP deviation of each bar, with
     their rolling means and deviations (from two values on); missing values are 0."""
