@@ -1,7 +1,6 @@
 """DuckDB SQL of further registered queries, each written from the operator's definition.
 
-Recursions with state of their own (machines, adaptive filters) have none here; loops over
-values stand for them in the tests.
+Machines with state of their own, and compositions of queries that have SQL, have none here.
 """
 
 from __future__ import annotations
@@ -308,3 +307,62 @@ _RULES = {
 _VOLUME = lambda n: f"CASE WHEN count(volume) {w(n)} >= {max(5, n // 4)} THEN (volume - avg(volume) {w(n)}) / (stddev_samp(volume) {w(n)} + {E}) END"
 S["scan_signals"] = f"""WITH {scanned({'trade_imbalance': _IMBALANCE, 'volume_zscore': _VOLUME}, (20, 40), _RULES)}
 SELECT symbol, factor, win AS "window", rule, n, {named({k: k for k in (*_FIGURES, 'valid')})} FROM m"""
+
+
+# --- filters, event windows and exits -------------------------------------------------------------
+S["smooth_adaptive_ema"] = f"""WITH RECURSIVE {NUM}, a AS (SELECT *, least(0.5, 0.1 * volume / avg(volume) {w(20)}) AS pace FROM n),
+y AS (SELECT symbol, bar, i, close AS y FROM a WHERE i = 1 UNION ALL SELECT a.symbol, a.bar, a.i, y.y + a.pace * (a.close - y.y) FROM y JOIN a ON a.symbol = y.symbol AND a.i = y.i + 1)
+SELECT symbol, bar, {r('y', 'y')} FROM y"""
+S["smooth_kalman"] = f"""WITH RECURSIVE {NUM}, v AS (SELECT symbol, var_pop(close) AS v FROM n GROUP BY symbol), z AS (SELECT n.symbol, bar, i, close, v FROM n JOIN v ON n.symbol = v.symbol),
+y AS (SELECT symbol, bar, i, close AS level, v AS p FROM z WHERE i = 1
+  UNION ALL SELECT z.symbol, z.bar, z.i, y.level + CASE WHEN y.p + 1.01 * z.v > 0 THEN (y.p + 0.01 * z.v) / (y.p + 1.01 * z.v) ELSE 0 END * (z.close - y.level),
+    CASE WHEN y.p + 1.01 * z.v > 0 THEN (1 - (y.p + 0.01 * z.v) / (y.p + 1.01 * z.v)) * (y.p + 0.01 * z.v) ELSE y.p END FROM y JOIN z ON z.symbol = y.symbol AND z.i = y.i + 1)
+SELECT symbol, bar, {r('level', 'y')} FROM y"""
+
+
+def _window_stats(name: str, inside: str) -> dict[str, str]:
+    """The statistics of one side of an event window over rows x."""
+    f = f"FILTER ({inside})"
+    signed = "CASE WHEN side = 'buy' THEN qty ELSE -qty END"
+    first = f"arg_min(price, seq) {f}"
+    return {
+        f"{name}_volume": f"coalesce(sum(qty) {f}, 0)",
+        f"{name}_imbalance": f"coalesce(sum({signed}) {f} / sum(qty) {f}, 0)",
+        f"{name}_mean_size": f"coalesce(avg(qty) {f}, 0)",
+        f"{name}_max_size": f"coalesce(max(qty) {f}, 0)",
+        f"{name}_std_size": f"coalesce(stddev_samp(qty) {f}, 0)",
+        f"{name}_return": f"coalesce((arg_max(price, seq) {f} - {first}) / {first}, 0)",
+        f"{name}_range": f"coalesce(max(price) {f} - min(price) {f}, 0)",
+    }
+
+
+_AT = f"{TAPE_SQL}, e AS (SELECT symbol, us / 1e6 AS at, seq AS event_id FROM tape WHERE qty > 95)"
+_BEFORE, _AFTER = _window_stats("pre", "t < hit"), _window_stats("post", "t >= hit")
+_SHIFTS = {"volume_shift": f"{_AFTER['post_volume']} / ({_BEFORE['pre_volume']} + 1e-10)", "imbalance_shift": f"{_AFTER['post_imbalance']} - {_BEFORE['pre_imbalance']}"}
+S["features_around_events"] = f"""WITH {_AT}, x AS (SELECT e.symbol, event_id, e.at AS hit, us / 1e6 AS t, price, qty, side, seq FROM e JOIN tape USING (symbol) WHERE us / 1e6 >= e.at - 7200 AND us / 1e6 < e.at + 3600)
+SELECT symbol, event_id, count(*) FILTER (t < hit) AS pre_n, count(*) FILTER (t >= hit) AS post_n, {named(_BEFORE | _AFTER | _SHIFTS)} FROM x GROUP BY symbol, event_id"""
+S["sim_trade_exits"] = f"""WITH {_AT}, q AS (SELECT symbol, us / 1e6 AS t, price FROM tape), z AS (SELECT symbol, arg_max(price, t) AS last_price FROM q GROUP BY symbol),
+i AS (SELECT e.symbol, e.at, event_id, q.price AS entry_price FROM e JOIN q ON q.symbol = e.symbol AND q.t = e.at),
+o AS (SELECT i.*, i.at + 7200 AS leave FROM i), x AS (SELECT o.*, coalesce(q.price, last_price) AS price FROM o JOIN z ON z.symbol = o.symbol ASOF LEFT JOIN q ON o.symbol = q.symbol AND o.leave <= q.t)
+SELECT symbol, {r('x.at', 'at')}, event_id, 1 AS side, {r('entry_price', 'entry_price')}, {r('price', 'price')}, {r('price / entry_price - 1 - 0.0004', 'ret')} FROM x"""
+S["study_threshold_sensitivity"] = f"""WITH {BARS_SQL}, f AS (SELECT symbol, bar, {FX} AS x FROM bars), d AS (SELECT symbol, bar, x - lag(x) {P} AS d FROM f),
+m AS (SELECT *, {at_least(10, 'd', 40, 'quantile_cont(d, 0.5)')} AS m FROM d), a AS (SELECT *, abs(d - m) AS a FROM m), t AS (SELECT *, {at_least(10, 'a', 40, 'quantile_cont(a, 0.5)')} AS t FROM a),
+h AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) AS held FROM t)
+SELECT symbol, k::DOUBLE AS k, count(*) AS n, {r('avg(coalesce((abs(d) >= k * held)::INTEGER, 0))', 'passed')} FROM h, (VALUES (0.5), (1.0), (2.0)) v(k) GROUP BY symbol, k"""
+
+
+def _gaps_of(sec: int) -> str:
+    """Gaps with their fills within 12 bars of so many seconds."""
+    bars = BARS_SQL.replace(f"us // {SEC * 1_000_000} * {SEC}", f"us // {sec * 1_000_000} * {sec}")
+    up, made = "kind = 'bullish'", "lag(high, 2) {0} AS h2, lag(low, 2) {0} AS l2, lag(close) {0} AS c1".format(P)
+    return f"""SELECT * FROM (WITH {bars}, n AS (SELECT *, row_number() {P} AS i FROM bars), g AS (SELECT *, {made} FROM n),
+k AS (SELECT symbol, bar, i, 'bullish' AS kind, h2 AS bottom, low AS top, (low - h2) / c1 * 100 AS size_pct FROM g WHERE low > h2 UNION ALL SELECT symbol, bar, i, 'bearish', high, l2, (l2 - high) / c1 * 100 FROM g WHERE high < l2),
+h AS (SELECT k.*, n.i - k.i AS j, n.high, n.low FROM k LEFT JOIN n ON n.symbol = k.symbol AND n.i > k.i AND n.i <= k.i + 12),
+f AS (SELECT *, min(CASE WHEN {up} AND low <= bottom OR NOT {up} AND high >= top THEN j END) OVER (PARTITION BY symbol, bar, kind) AS fill FROM h)
+SELECT symbol, {sec}::INTEGER AS sec, bar, kind, {named({x: f'any_value({x})' for x in ('bottom', 'top', 'size_pct')})}, any_value(fill)::INTEGER AS fill_bars,
+  CASE WHEN any_value(fill) IS NOT NULL THEN 'filled' WHEN bool_or(CASE WHEN {up} THEN low < top ELSE high > bottom END) THEN 'partial' WHEN count(j) >= 12 THEN 'expired' ELSE 'open' END AS status,
+  {r(f"greatest(0, coalesce(CASE WHEN {up} THEN max(high) FILTER (fill IS NULL OR j < fill) - any_value(top) ELSE any_value(bottom) - min(low) FILTER (fill IS NULL OR j < fill) END, 0))", 'max_extension')}
+FROM f GROUP BY symbol, bar, kind)"""
+
+
+S["compose_gaps_by_size"] = f"{_gaps_of(SEC)} UNION ALL {_gaps_of(2 * SEC)}"
