@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.rolling import ts_rank
-from tickloom.operators.smoothers import delta_threshold, ewm, recur
+from tickloom.operators.smoothers import delta_threshold, ewm, ewm_scan, recur
 from tickloom.windows import Series, div
 
 S = Series(order=("bar",))
@@ -118,8 +118,47 @@ def flip_entries(bars: DataFrame, column: str, n: int = 100, k: float = 0.0, met
     return bars.withColumn("position", F.coalesce(S.ffill(c("_e")), F.lit(0.0))).drop("_d", "_s", "_e", "threshold")
 
 
+def volume_scaled_mad(bars: DataFrame, column: str, out: str, n: int, k: float, volume: str | None, fill_ahead: bool) -> DataFrame:
+    """bars with k times the median distance of a column from its rolling median, scaled by the root of how busy the last 10 bars are; carried forward.
+
+    ``fill_ahead`` gives the rows before the first threshold that threshold, which looks ahead.
+    """
+    bars = bars.withColumn("_m", S.quantile(c(column), 0.5, n)).withColumn("_a", F.abs(c(column) - c("_m")))
+    level = S.quantile(c("_a"), 0.5, n) * k
+    if volume is not None:
+        bars = bars.withColumn("_local", S.mean(c(volume), 10))
+        level = level * F.sqrt(c("_local") / (S.mean(c("_local"), n) + E))
+    bars = bars.withColumn(out, level).withColumn(out, S.ffill(c(out)))
+    if fill_ahead:
+        bars = bars.withColumn(out, S.bfill(c(out)))
+    return bars.drop("_m", "_a", "_local")
+
+
+def two_sided_entries(
+    bars: DataFrame, buy: str, sell: str, up: tuple[int, int, float] = (8, 10, 1.5), down: tuple[int, int, float] = (10, 10, 1.0), n: int = 100, volume: str | None = "volume", fill_ahead: bool = False
+) -> DataFrame:
+    """bars with position: long and short entries each by an imbalance, window, span and threshold of their own.
+
+    A side (window, span, k) has the imbalance of the mean buy and sell columns over its
+    window, smoothed with its span; it enters when the change of that turns its way and
+    passes k of its ``volume_scaled_mad``. The position is the last entry's, 0 before the first.
+    """
+    names = bars.columns
+    for side, (window, span, k) in (("up", up), ("down", down)):
+        a, b = S.mean(c(buy), window), S.mean(c(sell), window)
+        bars = bars.withColumn("_f", (a - b) / (F.abs(a) + F.abs(b) + E))
+        bars = ewm_scan(bars, "_f", "_y", 2 / (span + 1), adjust=True).withColumn(f"_{side}", c("_y") - S.lag(c("_y"))).drop("_f", "_y")
+        bars = volume_scaled_mad(bars, f"_{side}", f"_{side}_t", n, k, volume, fill_ahead)
+        bars = bars.withColumn(f"_{side}_s", S.ffill(F.when(c(f"_{side}") != 0, F.signum(f"_{side}"))))
+        way = 1 if side == "up" else -1
+        bars = bars.withColumn(f"_{side}_e", (S.lag(c(f"_{side}_s")) == -way) & (c(f"_{side}_s") == way) & (F.abs(f"_{side}") > c(f"_{side}_t")))
+    entry = F.when(c("_down_e"), -1).when(c("_up_e"), 1)  # a bar that enters both ways is short
+    return bars.withColumn("_entry", entry).withColumn("position", F.coalesce(S.ffill(c("_entry")), F.lit(0))).select(*[x for x in names if x != "position"], "position")
+
+
 def size(bars: DataFrame, name: str, column: str = "signal", **p) -> DataFrame:
-    """bars with a column position: fixed, vol_target or proportional sizes of a signal."""
+    """bars with a column position: fixed, vol_target or proportional sizes of a signal, or those of a
+    controller of a raw signal: threshold (all beyond it, else nothing) and scaled (by its size, ``least`` at least)."""
     s = c(column).cast("double")
     if name == "fixed":
         out = s * p.get("size", 1.0)
@@ -129,6 +168,10 @@ def size(bars: DataFrame, name: str, column: str = "signal", **p) -> DataFrame:
         out = s * F.least(F.lit(p.get("most", 3.0)), p.get("target", 10.0) / F.greatest(F.coalesce(bps, F.lit(1e9)), F.lit(1.0)))
     elif name == "proportional":
         out = F.greatest(F.lit(-p.get("most", 1.0)), F.least(F.lit(p.get("most", 1.0)), s * F.abs(c(p.get("by", "factor"))) * p.get("scale", 1.0)))
+    elif name in ("threshold", "scaled"):
+        beyond = F.abs(s) > p.get("threshold", 0.0)
+        share = F.lit(1.0) if name == "threshold" else F.greatest(F.lit(p.get("least", 0.1)), F.least(F.lit(1.0), F.abs(s) / p.get("scale", 5.0)))
+        out = F.when(beyond, F.signum(s) * share * p.get("most", 1.0)).otherwise(0.0)
     else:
         raise ValueError(f"no sizer {name}")
     return bars.withColumn("position", F.coalesce(out, F.lit(0.0))).drop("_r", "_vol")

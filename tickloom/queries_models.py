@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.operators import bars as br
 from tickloom.operators import compose as cm
 from tickloom.operators import ml
-from tickloom.queries import BARS_SQL, P, SEC, S, bars, r, register, tape
+from tickloom.operators import signals as sg
+from tickloom.queries import BARS_SQL, GAP, MERGE_SQL, P, SEC, S, bars, r, register, tape, w
 from tickloom.streaming.replay import scratch
 from tickloom.windows import div
 
@@ -85,6 +87,44 @@ def early(s: SparkSession, d: str) -> DataFrame:
 
 register("ml_early_stopping", early)
 
+# --- signals with two sides, and controllers ------------------------------------------------------
+_N = 20
+
+
+def two_sided(s: SparkSession, d: str) -> DataFrame:
+    b = br.merged_time_bars(br.merge_trades(tape(s, d), GAP), SEC)
+    return sg.two_sided_entries(b, "buy_vwap_dist_sum", "sell_vwap_dist_sum", up=(4, 5, 0.5), down=(6, 8, 0.3), n=_N, fill_ahead=True).select("symbol", "bar", "volume", "position")
+
+
+def _side_sql(name: str, window: int, span: int, k: float, way: int) -> str:
+    """Tables of one side: its imbalance, the mean of that, the change, the threshold and the entries."""
+    a, b = (f"CASE WHEN count({x}) {w(window)} >= {window} THEN avg({x}) {w(window)} END" for x in ("bd", "sd"))
+    keep = 1 - 2 / (span + 1)
+    full = lambda x, v: f"CASE WHEN count({x}) {w(_N)} >= {_N} THEN {v} {w(_N)} END"
+    all_ = "OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING)"
+    after = "OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    return f"""{name}0 AS (SELECT symbol, bar, i, local, {a} AS a, {b} AS b FROM n), {name}1 AS (SELECT *, (a - b) / (abs(a) + abs(b) + 1e-10) AS f FROM {name}0),
+{name}2 AS (SELECT u.symbol, u.bar, u.i, sum(v.f * power({keep}, u.i - v.i)) / sum(power({keep}, u.i - v.i)) AS y FROM {name}1 u JOIN {name}1 v ON v.symbol = u.symbol AND v.i <= u.i AND v.f IS NOT NULL GROUP BY ALL),
+{name}3 AS (SELECT n.symbol, n.bar, n.i, n.local, y - lag(y) OVER (PARTITION BY n.symbol ORDER BY n.bar) AS d FROM n LEFT JOIN {name}2 USING (symbol, i)), {name}4 AS (SELECT *, {full('d', 'quantile_cont(d, 0.5)')} AS m FROM {name}3),
+{name}5 AS (SELECT *, abs(d - m) AS dev FROM {name}4), {name}6 AS (SELECT *, {full('dev', 'quantile_cont(dev, 0.5)')} * {k} * sqrt(local / ({full('local', 'avg(local)')} + 1e-10)) AS t FROM {name}5),
+{name}7 AS (SELECT *, last_value(t IGNORE NULLS) {all_} AS t1, last_value(CASE WHEN d <> 0 THEN sign(d) END IGNORE NULLS) {all_} AS s FROM {name}6),
+{name}8 AS (SELECT symbol, i, abs(d) > coalesce(t1, first_value(t1 IGNORE NULLS) {after}) AND s = {way} AND lag(s) {P} = {-way} AS enters FROM {name}7)"""
+
+
+register(
+    "signal_two_sided",
+    two_sided,
+    f"""WITH {MERGE_SQL}, mb AS (SELECT symbol, us // {SEC * 1_000_000} * {SEC} AS bar, sum(qty) AS volume, coalesce(sum(price - first_price) FILTER (side = 'buy'), 0) AS bd, coalesce(sum(first_price - price) FILTER (side = 'sell'), 0) AS sd FROM m GROUP BY ALL),
+n AS (SELECT *, row_number() {P} AS i, CASE WHEN count(volume) {w(10)} >= 10 THEN avg(volume) {w(10)} END AS local FROM mb), {_side_sql('u', 4, 5, 0.5, 1)}, {_side_sql('v', 6, 8, 0.3, -1)},
+e AS (SELECT n.symbol, n.bar, n.volume, CASE WHEN v8.enters THEN -1 WHEN u8.enters THEN 1 END AS entry FROM n JOIN u8 USING (symbol, i) JOIN v8 USING (symbol, i))
+SELECT symbol, bar, {r('volume', 'volume')}, coalesce(last_value(entry IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING), 0)::INTEGER AS position FROM e""",
+)
+register(
+    "size_controllers",
+    lambda s, d: sg.size(sg.size(scored(s, d), "threshold", "x", threshold=0.1, most=2.0).withColumnRenamed("position", "fixed"), "scaled", "x", threshold=0.1, scale=0.5, least=0.3, most=2.0).select("symbol", "bar", "fixed", c("position").alias("scaled")),
+    f"WITH {SCORED} SELECT symbol, bar, {r('CASE WHEN abs(x) > 0.1 THEN 2 * sign(x) ELSE 0 END', 'fixed')}, {r('CASE WHEN abs(x) > 0.1 THEN 2 * sign(x) * greatest(0.3, least(1, abs(x) / 0.5)) ELSE 0 END', 'scaled')} FROM s",
+)
+
 # --- events ---------------------------------------------------------------------------------------
 register(
     "features_bar_runs",
