@@ -6,9 +6,11 @@ Machines with state of their own, and compositions of queries that have SQL, hav
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 
+from tickloom.operators.indicators import TAIL_BOTTOM, TAIL_FAR, TAIL_TOP
 from tickloom.queries import BARS_SQL, MERGE_SQL, MERGED_AGG, OHLC_SQL, ORACLE_SQL, P, SEC, TAKER_SQL, TAPE_SQL, at_least, r, w
 from tickloom.queries_more import BOOK_SQL, BSEC, DB_SQL, DCOLS, FX, HELD_SQL, LABEL, MB_SQL, BOTH, PATH_SQL, PS, SIG_SQL, XY_SQL, H, sides, time_window, tl, ws
 
@@ -366,3 +368,24 @@ FROM f GROUP BY symbol, bar, kind)"""
 
 
 S["compose_gaps_by_size"] = f"{_gaps_of(SEC)} UNION ALL {_gaps_of(2 * SEC)}"
+
+
+# --- bulk classification --------------------------------------------------------------------------
+
+
+def _normal_sql(x: str) -> str:
+    """The distribution of the standard normal by the same approximation as in columns."""
+    poly = lambda ks: reduce(lambda acc, k: f"({acc}) * abs({x}) + {k!r}", ks[1:], f"{ks[0]!r}")
+    near = f"exp(-({x}) * ({x}) / 2) * ({poly(TAIL_TOP)}) / ({poly(TAIL_BOTTOM)})"
+    tail = f"CASE WHEN abs({x}) < {TAIL_FAR!r} THEN {near} ELSE 0 END"  # beyond, it is under 1e-12
+    return f"CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+_S50 = "OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)"
+_ALL = "OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)"
+_B10 = "OVER (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
+S["ind_vpin"] = f"""WITH {TAPE_SQL}, d AS (SELECT *, price - lag(price) {PS} AS d FROM tape),
+s AS (SELECT *, coalesce(CASE WHEN count(d) {_S50} >= 50 THEN stddev_samp(d) {_S50} END, stddev_samp(d) {_ALL}) AS std, sum(qty) {_ALL} AS run FROM d),
+z AS (SELECT *, CASE WHEN std <> 0 THEN d / std END AS z FROM s), b AS (SELECT symbol, floor(run / 500)::BIGINT AS bucket, qty, qty * CASE WHEN z IS NULL THEN 0.5 ELSE {_normal_sql('z')} END AS buy FROM z),
+k AS (SELECT symbol, bucket, sum(qty) AS volume, sum(buy) AS buy FROM b GROUP BY ALL), i AS (SELECT *, abs(2 * buy - volume) / (volume + {E}) AS i FROM k)
+SELECT symbol, bucket, {named({'volume': 'volume', 'buy': 'buy', 'vpin': f'CASE WHEN count(i) {_B10} >= 5 THEN avg(i) {_B10} END'})} FROM i"""

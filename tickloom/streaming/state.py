@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,36 @@ OUT = "symbol long, ts timestamp, seq long, imbalance double, impact double, spr
 _ROW = "ms long, seq long, price double, qty double, buy boolean"
 
 
+class Window:
+    """Trades of the last ms with running sums, and the highest and lowest price kept in order; each trade enters and leaves once."""
+
+    def __init__(self, ms: int, trades: list[tuple]) -> None:
+        self.ms, self.trades, self.high, self.low = ms, deque(), deque(), deque()
+        self.volume = self.net = 0.0
+        for t in trades:
+            self.add(t)
+
+    def add(self, trade: tuple) -> None:
+        at, _, price, qty, buy = trade
+        while self.trades and self.trades[0][0] <= at - self.ms:
+            _, _, _, q, b = self.trades.popleft()
+            self.volume, self.net = self.volume - q, self.net - (q if b else -q)
+        if not self.trades:  # no rounding is carried into an empty window
+            self.volume = self.net = 0.0
+        self.trades.append(trade)
+        self.volume, self.net = self.volume + qty, self.net + (qty if buy else -qty)
+        for kept, worse in ((self.high, lambda p: p <= price), (self.low, lambda p: p >= price)):
+            while kept and kept[0][0] <= at - self.ms:
+                kept.popleft()
+            while kept and worse(kept[-1][1]):
+                kept.pop()
+            kept.append((at, price))
+
+    @property
+    def width(self) -> float:
+        return self.high[0][1] - self.low[0][1]
+
+
 class Microstructure(StatefulProcessor):
     """Rolling sums over window_ms, a percentile of the price range, and a machine that goes from
     calm to shock when imbalance and impact are large, and signals against the move when they ease
@@ -26,17 +57,15 @@ class Microstructure(StatefulProcessor):
         self.phase = handle.getValueState("phase", "phase string, since long, side int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = [tuple(t) for t in self.trades.get()] if self.trades.exists() else []
+        window = Window(self.window_ms, [tuple(t) for t in self.trades.get()] if self.trades.exists() else [])
         ranges = [t[0] for t in self.ranges.get()] if self.ranges.exists() else []
         phase, since, side = self.phase.get() if self.phase.exists() else ("calm", 0, 0)
         out = []
         for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples(index=False):
             ms = int(r.ts.timestamp() * 1000)
-            kept = [t for t in kept if t[0] > ms - self.window_ms] + [(ms, int(r.seq), float(r.price), float(r.qty), r.side == "buy")]
-            volume = sum(t[3] for t in kept)
-            net = sum(t[3] if t[4] else -t[3] for t in kept)
-            imbalance, impact = net / (volume + 1e-10), kept[-1][2] / kept[0][2] - 1
-            width = max(t[2] for t in kept) - min(t[2] for t in kept)
+            window.add((ms, int(r.seq), float(r.price), float(r.qty), r.side == "buy"))
+            imbalance, impact = window.net / (window.volume + 1e-10), window.trades[-1][2] / window.trades[0][2] - 1
+            width = window.width
             pct = 100.0 * sum(v < width for v in ranges) / len(ranges) if ranges else 0.0
             ranges = (ranges + [width])[-self.history :]
             signal = 0
@@ -48,7 +77,7 @@ class Microstructure(StatefulProcessor):
                 elif abs(imbalance) < self.imbalance / 2:
                     phase, signal = "calm", -side
             out.append((key[0], r.ts, r.seq, imbalance, impact, pct, phase, signal))
-        self.trades.put(kept)
+        self.trades.put(list(window.trades))
         self.ranges.put([(v,) for v in ranges])
         self.phase.update((phase, since, side))
         yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
