@@ -9,7 +9,7 @@ from tickloom.operators import bars as br
 from tickloom.operators import compose as cm
 from tickloom.operators import ml
 from tickloom.operators import signals as sg
-from tickloom.queries import BARS_SQL, GAP, MERGE_SQL, P, SEC, S, bars, r, register, tape, w
+from tickloom.queries import BARS_SQL, GAP, MERGE_SQL, P, SEC, S, bars, book, r, register, tape, w
 from tickloom.streaming.replay import scratch
 from tickloom.windows import div
 
@@ -165,3 +165,33 @@ def two_phases(s: SparkSession, d: str) -> DataFrame:
 
 
 register("ml_two_phase", two_phases)
+
+
+def shocks(s: SparkSession, d: str) -> DataFrame:
+    """Depth round every moment at which the bids are more than twice the asks."""
+    b = book(s, d)
+    size = lambda side: F.aggregate(side, F.lit(0.0), lambda t, x: t + x["size"])
+    events = b.filter(size("bids") > 2 * size("asks")).select("symbol", c("seq").alias("event_id"), (F.unix_micros("ts") / 1e6).alias("at"))
+    return cm.book_around(events, b, 10, 10)
+
+
+def _depth_sql() -> str:
+    """Means before and from the moment on of each side's depth, weighted depth and large levels."""
+    out = []
+    for name, inside in (("pre", "t < hit"), ("post", "t >= hit")):
+        out += [r(f"avg({x}) FILTER ({inside})", f"{name}_{x}") for x in ("bid", "ask", "wbid", "wask", "lbid", "lask")]
+        out += [r(f"stddev_pop(bid + ask) FILTER ({inside})", f"{name}_depth_std"), r(f"avg((bid - ask) / (bid + ask + 1e-10)) FILTER ({inside})", f"{name}_imbalance")]
+    out += [r(f"avg({x}) FILTER (t >= hit) / avg({x}) FILTER (t < hit) - 1", f"{x}_shift") for x in ("bid", "ask")]
+    return ", ".join(out)
+
+
+_SUM = "list_sum(list_transform({0}, lambda v, i: v{1}))"
+_LARGE = "len(list_filter({0}, lambda v: v > 3 * list_sum({0}) / 5))"
+register(
+    "book_around_shocks",
+    shocks,
+    f"""WITH s AS (SELECT vec_id, vec_id::DOUBLE AS t, list_transform(embedding[1:5], lambda x: abs(x)::DOUBLE) AS b, list_transform(embedding[6:10], lambda x: abs(x)::DOUBLE) AS a FROM embeddings),
+l AS (SELECT vec_id, t, list_sum(b) AS bid, list_sum(a) AS ask, {_SUM.format('b', ' / i')} AS wbid, {_SUM.format('a', ' / i')} AS wask, {_LARGE.format('b')} AS lbid, {_LARGE.format('a')} AS lask FROM s),
+e AS (SELECT vec_id AS event_id, t AS hit FROM l WHERE bid > 2 * ask), j AS (SELECT e.event_id, e.hit, l.* FROM e JOIN l ON l.t BETWEEN e.hit - 10 AND e.hit + 10)
+SELECT 0 AS symbol, event_id, {_depth_sql()} FROM j GROUP BY event_id""",
+)
