@@ -27,7 +27,12 @@ KEYS = 1 << 62
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold of toxicity."""
+    """Documents that score under the threshold of toxicity.
+
+    Null and empty texts score low and stay; a long text is scored whole; repeated rows
+    get equal scores and stay or go together; no rows give none. Other columns, a column
+    score among them, are as they were.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.train(docs, labels))
 
@@ -58,7 +63,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with personal data and the terms that reveal it generalised; n_chars follows."""
+    """The same documents with personal data and the terms that reveal it generalised; n_chars follows.
+
+    One row out for each row in: null and empty texts come back as they were, repeated
+    rows are changed alike, texts are read whole, and no rows give none. A null or wrong
+    n_chars stays where the text did not change.
+    """
     out = pii.sanitise(docs.select(packed(docs).alias("row"), "text"))
     changed = F.size("spans") > 0
     new = {"text": F.col("redacted")}
@@ -69,14 +79,22 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Documents without words, null texts among them, are never taken; a null source is a
+    source; repeated rows are drawn one by one; no rows give none.
+    """
     out = mixing.mix(docs.select(packed(docs).alias("row"), "doc_id", "text", "source")).filter("copies > 0")
     out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, the token ids of each document, and whether they decode to its text."""
+    """doc_id, source, the token ids of each document, and whether they decode to its text.
+
+    Null and empty texts have no ids and are intact; long texts are encoded whole;
+    repeated rows have equal ids; no rows give none.
+    """
     docs = docs.select("doc_id", "source", "text")
     found = bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, CACHE, SLICE)
     return found.select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids", "intact")
