@@ -396,8 +396,9 @@ def read_ranks(spark: SparkSession, path: str) -> bytes:
 def encode(docs: DataFrame, path: str, pattern: str, cache: int = CACHE, slice_bytes: int = 4 << 20) -> DataFrame:
     """docs (text, ...) -> the same columns and ids array<int>; a column ids is replaced.
 
-    A null text has the ids of an empty one: none. cache and slice_bytes bound a worker's
-    memory; they change its speed only.
+    A null text has the ids of an empty one: none. A text of any length is encoded whole,
+    repeated rows get equal ids, and no rows give none. cache and slice_bytes bound a
+    worker's memory; they change its speed only.
     """
     docs = docs.drop("ids")
     data = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, path))
@@ -415,7 +416,8 @@ def encode(docs: DataFrame, path: str, pattern: str, cache: int = CACHE, slice_b
 def round_trip(docs: DataFrame, path: str, pattern: str, cache: int = CACHE, slice_bytes: int = 4 << 20) -> DataFrame:
     """docs (text, ...) -> the same columns, ids array<int> and intact: whether the ids decode to the text's bytes.
 
-    A null text counts as an empty one. Columns ids and intact are replaced.
+    A null text counts as an empty one, a text of any length is encoded whole, repeated rows
+    get equal ids, and no rows give none. Columns ids and intact are replaced.
     """
     docs = docs.drop("ids", "intact")
     data = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, path))
@@ -434,7 +436,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, cache: int = CACHE, sli
 
 
 def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
-    """rows (ids, ...) -> the same columns and decoded binary; null ids are none."""
+    """rows (ids, ...) -> the same columns and decoded binary; null ids are none, repeated rows decode alike, no rows give none."""
     rows = rows.drop("decoded")
     data = rows.sparkSession.sparkContext.broadcast(read_ranks(rows.sparkSession, path))
 

@@ -266,7 +266,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score under the threshold, columns as they were."""
+    """The rows of docs that score under the threshold, columns as they were, whatever their names.
+
+    Null and empty texts score low and stay; texts are scored whole; repeated rows stay
+    or go together; no rows give none.
+    """
     kept = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
