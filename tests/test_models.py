@@ -104,6 +104,22 @@ def test_two_phases(spark, tmp_path):
     assert said[0]["support"] + said[1]["support"] == 900 and said[1]["recall"] > 0.85
 
 
+def test_two_phases_of_few_rows_and_of_none(spark, tmp_path):
+    """Fewer distinct rows than clusters, and a table without rows: the model is fitted, stored and read again all the same."""
+    df = spark.createDataFrame([(float(i % 2), 1.0, i % 2) for i in range(8)], "a double, b double, y int")
+    out = ml.TwoPhase.fit(df, ["a", "b"], "y", k=3, trees=3).predict(df)
+    assert sorted(r["n"] for r in ml.cluster_report(out, "y", ["a"]).collect()) == [4, 4]
+    assert ml.clusters(df, ["a", "b"], 3).select("cluster").distinct().count() == 2
+    none = df.limit(0)
+    model = ml.TwoPhase.fit(none, ["a", "b"], "y", k=3, trees=3)
+    model.save(str(tmp_path / "none"))
+    again = ml.TwoPhase.load(str(tmp_path / "none"))
+    assert again.columns == ["a", "b"] and again.importances() == []
+    assert again.predict(none).dtypes == out.dtypes and ml.cluster_report(again.predict(none), "y", ["a"]).count() == 0
+    assert again.predict(df).filter("cluster is null and pred is null and pred_proba is null").count() == 8
+    assert ml.clusters(none, ["a", "b"], 3).columns == ["a", "b", "y", "cluster"]
+
+
 def test_gap_matrix_sees_nothing_ahead(spark, sf):
     """Features of a gap are the same when all trades behind its bar are missing; labels are not asked for that."""
     tape = tape_of_events(spark.read.parquet(f"{sf}/events.parquet")).filter("symbol < 3")

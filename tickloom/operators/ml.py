@@ -61,9 +61,16 @@ def permutation_importance(model, df: DataFrame, columns: list[str], label: str,
     return sorted(out, key=lambda p: -p[1])
 
 
+def _kmeans(features: str, k: int, seed: int) -> KMeans:
+    """At most k clusters: fewer where the rows have fewer distinct starts, which the solver by blocks can't do."""
+    return KMeans(featuresCol=features, predictionCol="cluster", k=k, seed=seed, solver="row")
+
+
 def clusters(df: DataFrame, columns: list[str], k: int, seed: int = 0) -> DataFrame:
     """df with a column cluster."""
-    stages = [VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="keep"), StandardScaler(inputCol="_raw", outputCol="_features", withMean=True), KMeans(featuresCol="_features", predictionCol="cluster", k=k, seed=seed)]
+    if df.isEmpty():
+        return df.withColumn("cluster", F.lit(None).cast("int"))
+    stages = [VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="keep"), StandardScaler(inputCol="_raw", outputCol="_features", withMean=True), _kmeans("_features", k, seed)]
     return Pipeline(stages=stages).fit(df).transform(df).drop("_raw", "_features")
 
 
@@ -199,25 +206,33 @@ class TwoPhase:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str], label: str, k: int = 4, trees: int = 100, depth: int = 3, seed: int = 0) -> TwoPhase:
-        """Missing features count as 0; rows without a label are left out."""
+        """Missing features count as 0; rows without a label are left out. Without a row with a label the model says NULL of every row."""
+        train = df.filter(F.col(label).isNotNull()).fillna(0.0, columns)
+        assembler = VectorAssembler(inputCols=columns, outputCol="_raw")
+        if train.isEmpty():
+            return cls(columns, PipelineModel([assembler]))
         stages = [
-            VectorAssembler(inputCols=columns, outputCol="_raw"),
+            assembler,
             StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True),
-            KMeans(featuresCol="_scaled", predictionCol="cluster", k=k, seed=seed),
+            _kmeans("_scaled", k, seed),
             VectorAssembler(inputCols=["_scaled", "cluster"], outputCol="_both"),
             GBTClassifier(featuresCol="_both", labelCol=label, predictionCol="_class", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed),
         ]
-        return cls(columns, Pipeline(stages=stages).fit(df.filter(F.col(label).isNotNull()).fillna(0.0, columns)))
+        return cls(columns, Pipeline(stages=stages).fit(train))
 
     def predict(self, df: DataFrame) -> DataFrame:
         """df with cluster, pred (0 or 1) and pred_proba."""
+        if len(self.pipeline.stages) == 1:
+            return df.withColumns({"cluster": F.lit(None).cast("int"), "pred": F.lit(None).cast("int"), "pred_proba": F.lit(None).cast("double")})
         key = "_features_in"
         held = df.withColumn(key, F.struct(*df.columns)) if df.columns else df
         out = self.pipeline.transform(held.fillna(0.0, self.columns))
         return out.select(f"{key}.*", "cluster", F.col("_class").cast("int").alias("pred"), vector_to_array("probability")[1].alias("pred_proba"))
 
     def importances(self) -> list[tuple[str, float]]:
-        """Features and the cluster by importance, the largest first."""
+        """Features and the cluster by importance, the largest first; none of a model without rows."""
+        if len(self.pipeline.stages) == 1:
+            return []
         weights = self.pipeline.stages[-1].featureImportances.toArray()
         return sorted(zip([*self.columns, "cluster"], map(float, weights), strict=True), key=lambda x: -x[1])
 
