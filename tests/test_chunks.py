@@ -11,6 +11,7 @@ from tickloom.operators import bars as br
 from tickloom.operators import chunks
 from tickloom.operators import joins as jn
 from tickloom.operators import smoothers as sm
+from tickloom.windows import Series
 
 T0 = datetime(2024, 1, 1)
 
@@ -135,3 +136,15 @@ def test_a_hot_symbol_is_many_tasks(frame):
         for line in plan.splitlines():
             if "Window" in line and "windowspec" in line.lower() and "_chunk" not in line and "chunk" not in line:
                 raise AssertionError(line)
+
+
+def test_no_frame_starts_at_its_row(spark, frame):
+    """Such frames are gone through anew for each row: quadratic in a chunk. A forward search and a fill from behind have none."""
+    left = frame.select("symbol", "ts", "seq")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower().replace(" ", "")
+    for df in (jn.asof(left, frame.select("symbol", "ts", "qty"), "ts", ["symbol"], ["qty"], forward=True), frame.select(Series(order=("seq",)).bfill(F.col("qty")))):
+        assert "currentrow$(),unboundedfollowing" not in plan(df) and "currentrow$(),specifiedwindowframe" not in plan(df) and "1,unboundedfollowing" not in plan(df)
+    gaps = frame.select("symbol", "seq", F.when(F.col("seq") % 7 == 0, F.col("qty")).alias("x")).filter("symbol = 1")
+    own = sorted((r["seq"], r["x"]) for r in gaps.collect())
+    want = {k: next((x for _, x in own[i:] if x is not None), None) for i, (k, _) in enumerate(own)}
+    assert {r["seq"]: r["y"] for r in gaps.select("seq", Series(order=("seq",)).bfill(F.col("x")).alias("y")).collect()} == want

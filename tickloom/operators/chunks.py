@@ -80,14 +80,15 @@ def last_known(rows: DataFrame, value: str, found: str, by: list[str], on: str,
     ``on`` any may be carried.
     """
     rows = rows.withColumn("_chunk", chunk)
-    w = Window.partitionBy(*by, "_chunk").orderBy(*sort)
-    pick, edge = (F.first, F.min_by) if forward else (F.last, F.max_by)
-    frame = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
+    # Forward is backward over the reversed order: a frame that ends at its row is kept as it
+    # runs, one that starts there is gone through anew for every row.
+    turned = (lambda x: x.desc()) if forward else (lambda x: x.asc())
+    edge = F.min_by if forward else F.max_by
     told = rows.groupBy(*by, "_chunk").agg(edge(value, F.when(F.col(value).isNotNull(), F.col(on))).alias("_held"))
-    way = Window.partitionBy(*by).orderBy("_chunk")
-    beyond = way.rowsBetween(1, Window.unboundedFollowing) if forward else way.rowsBetween(Window.unboundedPreceding, -1)
-    told = told.select(*by, "_chunk", pick("_held", ignorenulls=True).over(beyond).alias("_carried"))
-    out = _with(rows.withColumn(found, pick(value, ignorenulls=True).over(frame)), told, [*by, "_chunk"])
+    way = Window.partitionBy(*by).orderBy(turned(F.col("_chunk"))).rowsBetween(Window.unboundedPreceding, -1)
+    told = told.select(*by, "_chunk", F.last("_held", ignorenulls=True).over(way).alias("_carried"))
+    w = Window.partitionBy(*by, "_chunk").orderBy(*map(turned, sort)).rowsBetween(Window.unboundedPreceding, 0)
+    out = _with(rows.withColumn(found, F.last(value, ignorenulls=True).over(w)), told, [*by, "_chunk"])
     return out.withColumn(found, F.coalesce(found, "_carried")).drop("_chunk", "_carried")
 
 

@@ -95,7 +95,9 @@ class Series:
         return F.last(x, ignorenulls=True).over(self.u)
 
     def bfill(self, x: Column) -> Column:
-        return F.first(x, ignorenulls=True).over(self.p.rowsBetween(0, Window.unboundedFollowing))
+        """A running frame over the reversed order: one that starts at its row is gone through anew for every row."""
+        back = Window.partitionBy(*self.key).orderBy(*[F.desc(o) for o in self.order])
+        return F.last(x, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
 
     def index(self) -> Column:
         return F.row_number().over(self.p)
