@@ -5,13 +5,15 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars as br
 from tickloom.operators import chunks
+from tickloom.operators import indicators as ind
 from tickloom.operators import joins as jn
 from tickloom.operators import smoothers as sm
-from tickloom.windows import Series
+from tickloom.windows import Series, trailing
 
 T0 = datetime(2024, 1, 1)
 
@@ -148,3 +150,17 @@ def test_no_frame_starts_at_its_row(spark, frame):
     own = sorted((r["seq"], r["x"]) for r in gaps.collect())
     want = {k: next((x for _, x in own[i:] if x is not None), None) for i, (k, _) in enumerate(own)}
     assert {r["seq"]: r["y"] for r in gaps.select("seq", Series(order=("seq",)).bfill(F.col("x")).alias("y")).collect()} == want
+
+
+def test_time_frames_by_bins(spark, frame):
+    """Sums and extremes of (t - ms, t] equal those of Spark's own frame, which goes through all its rows for each row; none is planned."""
+    rows = frame.withColumn("micros", F.unix_micros("ts")).withColumn("qty", F.when(F.col("seq") % 11 != 0, F.col("qty")))
+    for ms in (1000, 7_000, 3_600_000):
+        w = Window.partitionBy("symbol").orderBy("micros").rangeBetween(-ms * 1000 + 1, 0)
+        want = rows.select("seq", F.sum("qty").over(w).alias("s"), F.min("qty").over(w).alias("l"), F.max("qty").over(w).alias("h"))
+        got = trailing(rows, ms, {"s": ("sum", F.col("qty")), "l": ("min", F.col("qty")), "h": ("max", F.col("qty"))})
+        assert got.columns == [*rows.columns, "s", "l", "h"]
+        assert sorted(map(str, got.select("seq", "s", "l", "h").collect())) == sorted(map(str, want.collect()))
+    tape = frame.withColumn("price", F.col("qty"))
+    plan = ind.aggressive_flow(tape, 3_600_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "3599999999" not in plan and "window_volume" in plan

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.bars import time_bin
 from tickloom.operators.rolling import ts_rank
-from tickloom.windows import Series, div, grid, timed
+from tickloom.windows import Series, div, grid, trailing
 
 E = 1e-10
 T = Series()
@@ -40,15 +40,13 @@ def _timed(tape: DataFrame) -> DataFrame:
 
 def tick_price_impact(tape: DataFrame, ms: int = 5000) -> DataFrame:
     """Sum of absolute price steps by volume over the last ms."""
-    w = timed(("symbol",), "micros", ms)
-    rows = _timed(tape).withColumn("_d", F.abs(_step()))
-    return rows.withColumn("tick_price_impact", F.sum("_d").over(w) / (F.sum("qty").over(w) + E)).drop("_d", "micros")
+    rows = trailing(_timed(tape).withColumn("_d", F.abs(_step())), ms, {"_s": ("sum", c("_d")), "_w": ("sum", c("qty"))})
+    return rows.withColumn("tick_price_impact", c("_s") / (c("_w") + E)).drop("_d", "_s", "_w", "micros")
 
 
 def volume_weighted_impact(tape: DataFrame, ms: int = 10000) -> DataFrame:
-    w = timed(("symbol",), "micros", ms)
-    rows = _timed(tape).withColumn("_d", F.abs(_step()) * c("qty"))
-    return rows.withColumn("volume_weighted_impact", F.sum("_d").over(w) / (F.sum("qty").over(w) + E)).drop("_d", "micros")
+    rows = trailing(_timed(tape).withColumn("_d", F.abs(_step()) * c("qty")), ms, {"_s": ("sum", c("_d")), "_w": ("sum", c("qty"))})
+    return rows.withColumn("volume_weighted_impact", c("_s") / (c("_w") + E)).drop("_d", "_s", "_w", "micros")
 
 
 def kyles_lambda(tape: DataFrame, n: int = 100) -> DataFrame:
@@ -72,10 +70,9 @@ def roll_spread(tape: DataFrame, n: int = 200) -> DataFrame:
 
 def effective_spread(tape: DataFrame, ms: int = 5000) -> DataFrame:
     """Distance of the lowest buy from the highest sell of the last ms, each carried forward over the other's trades."""
-    w = timed(("symbol",), "micros", ms)
-    rows = _timed(tape)
     buy, sell = F.when(c("side") == "buy", c("price")), F.when(c("side") != "buy", c("price"))
-    rows = rows.withColumn("_b", F.when(c("side") == "buy", F.min(buy).over(w))).withColumn("_s", F.when(c("side") != "buy", F.max(sell).over(w)))
+    rows = trailing(_timed(tape), ms, {"_b": ("min", buy), "_s": ("max", sell)})
+    rows = rows.withColumn("_b", F.when(c("side") == "buy", c("_b"))).withColumn("_s", F.when(c("side") != "buy", c("_s")))
     return rows.withColumn("effective_spread", F.abs(T.ffill(c("_b")) - T.ffill(c("_s")))).drop("_b", "_s", "micros")
 
 
@@ -125,10 +122,8 @@ def vpin(tape: DataFrame, bucket_volume: float = 1000, buckets: int = 50, sigma:
 
 def aggressive_flow(tape: DataFrame, ms: int = 5000, imbalance: float = 0.7, ratio: float = 2.0) -> DataFrame:
     """Trades at which the last ms are one-sided and busier than usual."""
-    w = timed(("symbol",), "micros", ms)
-    rows = _timed(tape).withColumn("_q", _signed())
-    total = F.sum("qty").over(w)
-    rows = rows.withColumn("imbalance", F.sum("_q").over(w) / (total + E)).withColumn("window_volume", total)
+    rows = trailing(_timed(tape), ms, {"_q": ("sum", _signed()), "window_volume": ("sum", c("qty"))})
+    rows = rows.withColumn("imbalance", c("_q") / (c("window_volume") + E))
     rows = rows.withColumn("volume_ratio", c("window_volume") / (T.mean(c("window_volume"), 100, 20) + E))
     return rows.filter((F.abs("imbalance") >= imbalance) & (c("volume_ratio") >= ratio)).drop("_q", "micros")
 

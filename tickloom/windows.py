@@ -103,9 +103,29 @@ class Series:
         return F.row_number().over(self.p)
 
 
-def timed(key: tuple[str, ...], micros: str, ms: int) -> WindowSpec:
-    """Trailing time frame (t - ms, t] over a column of microseconds."""
-    return Window.partitionBy(*key).orderBy(micros).rangeBetween(-ms * 1000 + 1, 0)
+def trailing(df: DataFrame, ms: int, values: dict[str, tuple[str, Column]], key: tuple[str, ...] = KEY, micros: str = "micros") -> DataFrame:
+    """Add by name the (sum, min or max) of a column over the trailing time frame (t - ms, t] of a column of microseconds.
+
+    Time is cut into bins of ms. A frame is what its bin holds up to t and what the bin before
+    holds behind t - ms: a running value in each direction, where every row of the bin
+    before is placed ms later. So a row is met twice, however many rows a frame has, a
+    bin is a task of its own, and nothing is subtracted.
+    """
+    us = ms * 1000
+    names = {n: f"_v_{n}" for n in values}
+    rows = df.withColumns({names[n]: x for n, (_, x) in values.items()} | {"_t": F.col(micros), "_own": F.lit(True)})
+    later = rows.filter(F.col("_t").isNotNull()).select(*key, (F.col("_t") + us).alias("_t"), F.lit(False).alias("_own"), *names.values())
+    both = rows.unionByName(later, allowMissingColumns=True).withColumn("_bin", F.col("_t") - F.pmod("_t", F.lit(us)))
+    part = Window.partitionBy(*key, "_bin")
+    here = part.orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    before = part.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, -1)
+    kinds = {"sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)), "min": (F.min, F.least), "max": (F.max, F.greatest)}
+    found = {}
+    for n, (kind, _) in values.items():
+        agg, both_of = kinds[kind]
+        found[n] = both_of(agg(F.when(F.col("_own"), F.col(names[n]))).over(here), agg(F.when(~F.col("_own"), F.col(names[n]))).over(before))
+    kept = [x for x in df.columns if x not in values]
+    return both.withColumns(found).filter("_own").select(*kept, *values)
 
 
 def paired(x: Column, y: Column) -> tuple[Column, Column]:
