@@ -129,3 +129,18 @@ def test_gap_matrix_sees_nothing_ahead(spark, sf):
     ahead = [c for c in whole.columns if c.startswith(("label", "future", "fill"))]
     known = whole[whole.index.get_level_values("bar") <= cut].drop(columns=ahead)
     assert len(known) > 5 and known.equals(part.drop(columns=ahead)[known.columns])
+
+
+def test_models_are_fitted_on_rows_that_are_made_once(spark, sf, monkeypatch):
+    """A fit passes over its rows many times, so it gets them stored, not as a plan over the tape."""
+    from tickloom import queries_models as qm
+
+    seen = []
+    for name in ("calibrate", "fit_early", "fit"):
+        f = getattr(ml, name)
+        monkeypatch.setattr(ml, name, lambda df, *a, f=f, **p: seen.append(df) or f(df, *a, **p))
+    qm.calibrated(spark, sf)
+    assert seen
+    for df in seen:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Aggregate" not in plan

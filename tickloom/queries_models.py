@@ -24,6 +24,13 @@ def scored(s: SparkSession, d: str) -> DataFrame:
     return b.withColumns({"x": flow, "z": div(c("close"), S.lag(c("close"))) - 1, "p": F.round(1 / (1 + F.exp(-2 * flow)), 4), "y": y}).select("symbol", "bar", "x", "z", "p", "y", "volume")
 
 
+def trained_on(df: DataFrame, label: str) -> DataFrame:
+    """df written once and read from there: a fit goes through its rows many times, and would make them of the whole tape each time."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 SCORED = f"""{BARS_SQL}, q AS (SELECT symbol, bar, (buy_volume - sell_volume) / volume AS x, CASE WHEN lead(close) {P} IS NOT NULL THEN (lead(close) {P} > close)::INTEGER END AS y, volume FROM bars),
 s AS (SELECT *, round(1 / (1 + exp(-2 * x)), 4) AS p FROM q), k AS (SELECT * FROM s WHERE y IS NOT NULL AND p IS NOT NULL)"""
 _BINS = "SELECT least(floor(p * 10), 9)::INTEGER AS bin, count(*) AS n, avg(p) AS mean_p, avg(y) AS rate FROM k GROUP BY ALL"
@@ -59,7 +66,7 @@ register(
 
 def line(s: SparkSession, d: str) -> DataFrame:
     """A least-squares line of the label on one feature, and what it predicts."""
-    df = scored(s, d).filter("y is not null")
+    df = trained_on(scored(s, d).filter("y is not null"), "scored")
     return ml.fit(df, ["x"], "y", "ridge", reg=0.0).transform(df).select("symbol", "bar", "prediction")
 
 
@@ -68,7 +75,7 @@ register("ml_linear", line, f"WITH {SCORED}, f AS (SELECT regr_slope(y, x) AS a,
 
 def calibrated(s: SparkSession, d: str) -> DataFrame:
     """Reliability of held-out probabilities of a logistic model, as they are and after the isotonic map; the model is stored and read again."""
-    df = scored(s, d).filter("y is not null and z is not null").drop("p")
+    df = trained_on(scored(s, d).filter("y is not null and z is not null").drop("p"), "scored")
     path = scratch(s, "model")
     ml.calibrate(df, ["x", "z"], "y", "logistic", "bar").save(path)
     seen = ml.Calibrated.load(path).transform(df)
@@ -80,7 +87,7 @@ register("ml_calibrated", calibrated)
 
 def early(s: SparkSession, d: str) -> DataFrame:
     """Metrics of boosted trees that stop early, with the number of trees they stopped at."""
-    df = scored(s, d).filter("y is not null and z is not null")
+    df = trained_on(scored(s, d).filter("y is not null and z is not null"), "scored")
     model = ml.fit_early(df, ["x", "z"], "y", "gbt_classifier", "bar", trees=40)
     return ml.classification_metrics(ml.probabilities(model, df), "p_raw", "y").withColumn("trees", F.lit(model.stages[-1].getNumTrees))
 
@@ -157,7 +164,7 @@ SELECT symbol, bar, side, {r('sp', 'size_pct')}, {r('gs', 'gap_size')}, {r('v1',
 
 def two_phases(s: SparkSession, d: str) -> DataFrame:
     """The report of clusters of gaps and what the classifier that sees them says, from a model that was stored and read again."""
-    m = matrix(s, d)
+    m = trained_on(matrix(s, d), "matrix")
     path = scratch(s, "two-phase")
     ml.TwoPhase.fit(m, FEATURES, "label_filled", k=3, trees=10).save(path)
     seen = ml.TwoPhase.load(path).predict(m)
