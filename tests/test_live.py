@@ -171,6 +171,87 @@ def test_tail_computed_anew(spark, tape, tmp_path):
     same(live.read_features(spark, root), want, columns)
 
 
+def test_batches_larger_than_the_tail(spark, tape, tmp_path):
+    """Batches with more trades than the tail keeps lose no bar, and the bars that features look back over are whole."""
+    root = str(tmp_path / "root")
+    replay(slices(tape, 3), lambda s: s, lambda s: live.bar_features(s, features, 86_400, root, keep=3, bars=3))
+    last = tape.groupBy("symbol").agg(F.max(br.time_bin(F.col("ts"), 86_400)).alias("last"))
+    same(live.read_features(spark, root), features(tape).join(last, "symbol").filter("bar < last").drop("last"), ["symbol", "bar", "close", "volume", "mean"])
+    kept = spark.read.parquet(f"{root}/tail/2")
+    assert kept.columns == tape.columns and kept.groupBy("symbol").agg(F.countDistinct(br.time_bin(F.col("ts"), 86_400)).alias("n")).filter("n > 3").count() == 0
+
+
+class Value:
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    def clear(self):
+        self.held = None
+
+
+class Handle:
+    def getValueState(self, name, schema):
+        return Value()
+
+    def listTimers(self):
+        return []
+
+    def registerTimer(self, at):
+        pass
+
+    deleteTimer = registerTimer
+
+
+def test_a_large_batch_is_no_list_of_python_rows():
+    """Memory of merging 300,000 fills of one symbol, in frames as Spark hands them over, and the orders of a loop over them."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from tickloom.streaming.bars import Merger
+
+    rng, n = np.random.default_rng(3), 300_000
+    whole = pd.DataFrame({"ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.cumsum(rng.integers(1, 150, n)), "ms"), "seq": np.arange(n), "price": rng.integers(1, 9, n) / 4.0, "qty": rng.integers(1, 9, n) * 1.0})
+    whole["notional"], whole["side"] = whole["price"] * whole["qty"], np.where(rng.random(n) < 0.5, "buy", "sell")
+    whole["first_id"] = whole["last_id"] = np.arange(n)
+    whole["n_fills"] = 1
+    want, p = 0, None
+    for r in whole.itertuples(index=False):
+        on = p and r.side == p.side and (r.ts - p.ts) < pd.Timedelta(milliseconds=100) and (r.price >= p.price if r.side == "buy" else r.price <= p.price)
+        want, p = want + (not on), r
+    whole = whole.sample(frac=1, random_state=1)
+    merger = Merger(100)
+    merger.init(Handle())
+    parts = [whole[whole["seq"] < n // 2], whole[whole["seq"] >= n // 2]]
+    tracemalloc.start()
+    base = tracemalloc.get_traced_memory()[0]
+    got = sum(len(f) for part in parts for f in merger.handleInputRows((1,), (part[a : a + 10_000] for a in range(0, len(part), 10_000)), None))
+    peak = tracemalloc.get_traced_memory()[1] - base
+    tracemalloc.stop()
+    assert got == want - 1  # the last order is under way
+    assert peak < 250 * n / 2
+
+
+def test_bars_of_a_history_are_not_cut(spark, tape):
+    """history_bars has every bar; warm_state keeps the last of the same bars."""
+    whole = live.history_bars(tape, 4, 3_600_000).filter("n_trades = 4")
+    warm = live.warm_state(tape, 4, keep=2, gap_ms=3_600_000).collect()
+    count = {r["symbol"]: r["n"] for r in whole.groupBy("symbol").agg(F.count("*").alias("n")).collect()}
+    assert {r["symbol"]: r["n_bars"] for r in warm if r["n_bars"]} == count and max(count.values()) > 2
+    rows = {(r["symbol"], r["bar_id"]): r.asDict() for r in whole.collect()}
+    assert all(b == {k: rows[r["symbol"], b["bar_id"]][k] for k in b} for r in warm for b in json.loads(r["bars"] or "[]"))
+
+
 def captured(features, root, schema):
     """The function that bar_features gives to foreachBatch."""
     held = []

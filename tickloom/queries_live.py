@@ -75,9 +75,7 @@ _Z = f"(x - avg(x) {_W}) / (stddev_samp(x) {_W} + 1e-10)"
 def spliced_whole(s: SparkSession, d: str) -> DataFrame:
     """Bars of the history and of the stream behind it: those of all trades in one batch."""
     first = slices(tape(s, d), 3)[0]
-    warm = live.warm_state(first, PER_BAR, keep=10**6, gap_ms=GAP)
-    kind = "array<struct<bar_id: bigint, " + ", ".join(f"{x}: {'bigint' if x == 'n_trades' else 'double'}" for x in BARS) + ">>"
-    before = warm.select("symbol", F.inline(F.from_json("bars", kind)))
+    before = live.history_bars(first, PER_BAR, GAP).filter(c("n_trades") == PER_BAR).select("symbol", "bar_id", *BARS)
     return plain(before.unionByName(spliced(s, d).select("symbol", "bar_id", *BARS)))
 
 
@@ -114,7 +112,7 @@ def tail_features(s: SparkSession, d: str) -> DataFrame:
         return b.withColumn("mean", days.mean(c("close"), 3, 1)).select("symbol", "bar", "close", "volume", "mean")
 
     root = scratch(s, "tail")
-    replay(slices(tape(s, d), 2), lambda x: x, lambda x: live.bar_features(x, features, DAY, root))
+    replay(slices(tape(s, d), 2), lambda x: x, lambda x: live.bar_features(x, features, DAY, root, bars=3))
     return live.read_features(s, root)
 
 

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from tickloom.operators.bars import EPS, merge_trades, ohlcv, time_bin, with_count_id
+from tickloom.streaming.ordered import Columns, cuts, frames, joined, order_starts, ordered, pieces
+from tickloom.streaming.ordered import plain as own
 
 c = F.col
 VALUES = ("open", "high", "low", "close", "volume", "n_trades", "buy_volume", "sell_volume")
@@ -107,79 +109,105 @@ class LiveBars(StatefulProcessor):
             for bar in json.loads(row.bars or "[]"):
                 self.ring.updateValue((bar["bar_id"] % self.history,), tuple(bar[f] for f in _BAR_NAMES))
 
-    def _goes_on(self, p: dict, r) -> bool:
-        worse = r.price >= p["last_price"] if r.side == "buy" else r.price <= p["last_price"]
-        # Whole milliseconds, as in the batch.
-        return r.side == p["side"] and (r.us - p["last_us"]) // 1000 * 1000 < self.gap_us and worse and (not self.require_ids or r.first_id == p["last_id"] + 1)
+    def _orders(self, p: dict | None, t: Columns) -> tuple[dict | None, Columns]:
+        """The order under way after these rows, and us, price, qty and side of those that are over."""
+        if not self.merge or not len(t["us"]):
+            return p, {n: t[n] for n in ("us", "price", "qty", "side")}
+        before = p and {"side": p["side"], "us": p["last_us"], "price": p["last_price"], "last_id": p["last_id"]}
+        starts = np.flatnonzero(order_starts(before, t, self.gap_us, self.require_ids))
+        n = len(t["us"])
+        lead = starts[0] if len(starts) else n
+        if p and lead:  # rows that go on with the order under way
+            p |= {"last_us": t["us"][lead - 1], "last_id": t["last_id"][lead - 1], "last_price": t["price"][lead - 1]}
+            p |= {x: p[x] + t[x][:lead].sum() for x in ("qty", "notional")}
+        last = (np.append(starts[1:], n) - 1)[: len(starts)]
+        runs = {"us": t["us"][starts], "side": t["side"][starts], "last_us": t["us"][last], "last_id": t["last_id"][last], "last_price": t["price"][last]}
+        runs |= {x: np.add.reduceat(t[x], starts) if len(starts) else t[x][:0] for x in ("qty", "notional")}
+        runs = joined(p, _ORDER_NAMES, runs)
+        p, whole = {x: runs[x][-1] for x in _ORDER_NAMES}, {x: v[:-1] for x, v in runs.items()}
+        return p, {"us": whole["us"], "price": whole["notional"] / (whole["qty"] + EPS), "qty": whole["qty"], "side": whole["side"]}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        p = dict(zip(_ORDER_NAMES, self.pending.get(), strict=True)) if self.pending.exists() else None
         bar = dict(zip(_BAR_NAMES, self.open.get(), strict=True)) if self.open.exists() else None
         us, seq, n_bars = self.seen.get() if self.seen.exists() else (-(2**62), -(2**62), 0)
-        held: list[tuple] | None = None
-        closed: list[tuple] = []
-        out = []
-        orders: list[tuple[int, float, float, str]] = []
-        for r in pd.concat(list(rows)).sort_values(["us", "seq"]).itertuples(index=False):
-            if (r.us, r.seq) <= (us, seq):
-                continue  # the history, or an earlier batch, holds it
-            us, seq = int(r.us), int(r.seq)
-            if not self.merge:
-                orders.append((us, r.price, r.qty, r.side))
-            elif p and self._goes_on(p, r):
-                p |= {"last_us": us, "last_id": int(r.last_id), "last_price": r.price, "qty": p["qty"] + r.qty, "notional": p["notional"] + r.notional}
-            else:
-                if p:
-                    orders.append((p["us"], p["notional"] / (p["qty"] + EPS), p["qty"], p["side"]))
-                p = {"us": us, "last_us": us, "last_id": int(r.last_id), "last_price": r.price, "qty": r.qty, "notional": r.notional, "side": r.side}
-        for at, price, qty, side in orders:
-            if bar is None:
-                bar = {"bar_id": n_bars, "us": at, "open": price, "high": price, "low": price, "close": price, "volume": 0.0, "n_trades": 0, "buy_volume": 0.0, "sell_volume": 0.0}
-            buy = qty if side == "buy" else 0.0
-            bar |= {"high": max(bar["high"], price), "low": min(bar["low"], price), "close": price, "volume": bar["volume"] + qty, "n_trades": bar["n_trades"] + 1}
-            bar |= {"buy_volume": bar["buy_volume"] + buy, "sell_volume": bar["sell_volume"] + qty - buy}
-            if bar["n_trades"] < self.count:
-                continue
-            if held is None:
-                held = sorted(tuple(v) for v in self.ring.values())
-            row = tuple(bar[f] for f in _BAR_NAMES)
-            held = [*held, row][-self.history :]
-            closed.append(row)
-            n_bars, bar, ready = n_bars + 1, None, n_bars + 1 >= self.warmup
-            signal = self.signal(dict(zip(_BAR_NAMES, map(np.array, zip(*held, strict=True)), strict=True))) if ready else 0
-            out.append((*key, *row, n_bars, ready, int(signal)))
-        self.seen.update((us, seq, n_bars))
-        for state, value, fields in ((self.pending, p, _ORDER_NAMES), (self.open, bar, _BAR_NAMES)):
-            if value is not None:
-                state.update(tuple(value[f] for f in fields))
-            elif state.exists():
-                state.clear()
-        for row in closed[-self.history :]:
-            self.ring.updateValue((row[0] % self.history,), row)
-        yield pd.DataFrame(out, columns=["symbol", *_BAR_NAMES, "n_bars", "ready", "signal"])
+        t = ordered(rows, ["us", "seq", "price", "qty", "notional", "side", "first_id", "last_id"], ("us", "seq"))
+        p = dict(zip(_ORDER_NAMES, self.pending.get(), strict=True)) if self.pending.exists() else None
+        over_by_now = []
+        for part in cuts(t):
+            # The history, or an earlier row, holds what is not behind the last row consumed.
+            at, of = (np.concatenate([[x], part[n][:-1]]) for x, n in ((us, "us"), (seq, "seq")))
+            if (part["us"][0], part["seq"][0]) < (us, seq):
+                at, of = np.where((at > us) | (at == us) & (of > seq), at, us), np.where((at > us) | (at == us) & (of > seq), of, seq)
+            fresh = (part["us"] > at) | (part["us"] == at) & (part["seq"] > of)
+            p, orders = self._orders(p, {n: x[fresh] for n, x in part.items()})
+            over_by_now.append(orders)
+            us, seq = max((us, seq), (int(part["us"][-1]), int(part["seq"][-1])))
+        del t
+        if p is not None:
+            self.pending.update(tuple(own(p[x]) for x in _ORDER_NAMES))
+        o = {n: np.concatenate([x[n] for x in over_by_now]) for n in ("us", "price", "qty", "side")}
+        del over_by_now
+        there = bar["n_trades"] if bar else 0
+        n = len(o["us"])
+        starts = np.concatenate([np.zeros(1 if n else 0, np.int64), np.arange(self.count - there, n, self.count)]).astype(np.int64)
+        bought = np.where(o["side"] == "buy", o["qty"], 0.0)
+        over = lambda f, x: f.reduceat(x, starts) if n else np.empty(0)
+        last = np.append(starts[1:], n)[: len(starts)] - 1
+        made = {"us": o["us"][starts], "open": o["price"][starts], "high": over(np.fmax, o["price"]), "low": over(np.fmin, o["price"]), "close": o["price"][last]}
+        made |= {"volume": over(np.add, o["qty"]), "n_trades": last + 1 - starts, "buy_volume": over(np.add, bought), "sell_volume": over(np.add, o["qty"] - bought)}
+        made["bar_id"] = n_bars + np.arange(len(starts))
+        if bar and n:  # the first bar goes on with the one under way
+            made["us"][0], made["open"][0] = bar["us"], bar["open"]
+            made["high"][0], made["low"][0] = max(bar["high"], made["high"][0]), min(bar["low"], made["low"][0])
+            for x in ("volume", "n_trades", "buy_volume", "sell_volume"):
+                made[x][0] += bar[x]
+        closed = int((made["n_trades"] == self.count).sum())
+        if len(starts) > closed:
+            self.open.update(tuple(own(made[x][-1]) for x in _BAR_NAMES))
+        elif n and self.open.exists():
+            self.open.clear()
+        made = {x: made[x][:closed] for x in _BAR_NAMES}
+        self.seen.update((us, seq, n_bars + closed))
+        ring = np.array(sorted(tuple(v) for v in self.ring.values())[-self.history :], float).reshape(-1, len(_BAR_NAMES)) if closed else None
+        held = ring is not None and {x: np.concatenate([ring[:, i].astype(made[x].dtype), made[x]]) for i, x in enumerate(_BAR_NAMES)}
+        signals = np.zeros(closed, np.int64)
+        for i in range(max(0, self.warmup - n_bars - 1), closed):
+            end = len(ring) + i + 1
+            signals[i] = self.signal({x: v[max(0, end - self.history) : end] for x, v in held.items()})
+        for i in range(max(0, closed - self.history), closed):
+            self.ring.updateValue((int(made["bar_id"][i]) % self.history,), tuple(own(made[x][i]) for x in _BAR_NAMES))
+        count = n_bars + 1 + np.arange(closed)
+        yield from frames({"symbol": np.full(closed, key[0])} | made | {"n_bars": count, "ready": count >= self.warmup, "signal": signals})
 
     def close(self) -> None:
         pass
 
 
+def history_bars(history: DataFrame, count: int, gap_ms: int = 100, merge: bool = True) -> DataFrame:
+    """symbol, bar_id, us and OHLCV of the bars of a history as ``LiveBars`` sees them: the last order is not over, the last bar may have fewer orders."""
+    orders = history
+    if merge:
+        orders = merge_trades(history, gap_ms)
+        last = orders.groupBy("symbol").agg(F.max(F.struct("ts", "seq")).alias("_end"))
+        orders = orders.join(last, "symbol").filter(~F.struct("ts", "seq").eqNullSafe(c("_end"))).drop("_end")
+    return with_count_id(orders, count).groupBy("symbol", "bar_id").agg(F.unix_micros(F.min("ts")).alias("us"), *ohlcv())
+
+
 def warm_state(history: DataFrame, count: int, keep: int = 500, gap_ms: int = 100, merge: bool = True) -> DataFrame:
     """One row for each symbol: the state of ``LiveBars`` after these trades, computed in one batch.
 
     The last taker order is still under way, and so is the bar of the orders behind the
     last full count. Nested state travels as JSON.
     """
-    orders = merge_trades(history, gap_ms) if merge else history.withColumn("last_price", c("price"))
     ends = history.groupBy("symbol").agg(F.max(F.struct(F.unix_micros("ts").alias("us"), "seq")).alias("at"))
-    last = Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("seq"))
     if merge:
-        orders = orders.withColumn("_last", F.row_number().over(last) == 1)
-        under_way = orders.filter("_last").join(ends, "symbol")
+        last = merge_trades(history, gap_ms).groupBy("symbol").agg(F.max_by(F.struct("ts", *_ORDER_NAMES[2:]), F.struct("ts", "seq")).alias("o")).select("symbol", "o.*")
+        under_way = last.join(ends, "symbol")
         told = {"us": F.unix_micros("ts"), "last_us": c("at.us"), **{n: c(n) for n in _ORDER_NAMES[2:]}}
         pending = under_way.select("symbol", F.to_json(F.struct(*[x.alias(n) for n, x in told.items()])).alias("pending"))
-        orders = orders.filter(~c("_last"))
     else:
         pending = ends.select("symbol", F.lit(None).cast("string").alias("pending"))
-    bars = with_count_id(orders, count).groupBy("symbol", "bar_id").agg(F.unix_micros(F.min("ts")).alias("us"), *ohlcv())
+    bars = history_bars(history, count, gap_ms, merge)
     full = c("n_trades") == count
     told = F.struct(*_BAR_NAMES)
     recent = Window.partitionBy("symbol").orderBy(F.desc("bar_id"))
@@ -233,17 +261,17 @@ class Staleness(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ms, us, n, stale = self.last.get() if self.last.exists() else (None, None, 0, False)
         out = []
-        for r in pd.concat(list(rows)).sort_values("us").itertuples(index=False):
-            if us is not None and r.us < us:
+        for (at,) in pieces(ordered(rows, ["us"], ("us",)), ["us"]):
+            if us is not None and at < us:
                 n += 1
                 continue
-            if not self.clock and us is not None and not stale and r.us - us > self.stale_ms * 1000:
+            if not self.clock and us is not None and not stale and at - us > self.stale_ms * 1000:
                 out.append((*key, "stale", us, n))
                 stale = True
             if stale:
-                out.append((*key, "back", int(r.us), n))
+                out.append((*key, "back", at, n))
                 stale = False
-            us, n = int(r.us), n + 1
+            us, n = at, n + 1
         ms = timerValues.getCurrentProcessingTimeInMs() if self.clock else us // 1000
         self.last.update((int(ms), int(us), n, stale))
         self._wait(int(ms) + (0 if self.clock else 1))
@@ -289,30 +317,37 @@ def _drop(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def bar_features(tape: DataFrame, features: Callable[[DataFrame], DataFrame], sec: int, root: str, keep: int = 50_000) -> DataStreamWriter:
-    """A writer that computes features(tail) for the bars of ``sec`` seconds that each batch completes.
+def bar_features(tape: DataFrame, features: Callable[[DataFrame], DataFrame], sec: int, root: str, keep: int = 50_000, bars: int = 1) -> DataStreamWriter:
+    """A writer that computes features(trades) for the bars of ``sec`` seconds that each batch completes.
 
-    ``features`` maps trades to rows with symbol and bar (its start in epoch seconds). The
-    tail is the last ``keep`` trades of each symbol, in root/tail/<batch>; results are in
-    root/out/<batch>, read by ``read_features``. A bar is complete when a later bar of the
-    symbol has a trade, and is written once, by the batch that completes it. Batch n reads
-    the tail of n - 1 and replaces its own folders, so running it again changes nothing;
-    the tail of n - 2 is deleted when n is written.
+    ``features`` maps trades to rows with symbol and bar (its start in epoch seconds) and may
+    look back over ``bars`` bars with trades, the bar itself included. It sees the tail of the batch before and
+    all rows of this one, however many they are. The tail, in root/tail/<batch>, is the last ``keep`` trades of
+    each symbol, and more where its bar under way and the ``bars`` - 1 before it have more: none of
+    these is cut. Results are in root/out/<batch>, read by ``read_features``. A bar is complete
+    when a later bar of the symbol has a trade, and is written once, by the batch that completes
+    it. Batch n reads the tail of n - 1 and replaces its own folders, so running it again changes
+    nothing; the tail of n - 2 is deleted when n is written.
     """
     schema = tape.schema
 
     def write(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         before = _read(spark, f"{root}/tail/{batch - 1}", schema)
-        last = Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("seq"))
         joint = rows if before is None else before.unionByName(rows)
-        tail = joint.withColumn("_k", F.row_number().over(last)).filter(c("_k") <= keep).drop("_k")
-        tail.write.mode("overwrite").parquet(f"{root}/tail/{batch}")
-        tail = spark.read.schema(schema).parquet(f"{root}/tail/{batch}")
-        under_way = lambda df, name: df.groupBy("symbol").agg(F.max(time_bin(c("ts"), sec)).alias(name))
-        now = under_way(tail, "_now")
+        at = time_bin(c("ts"), sec)
+        sizes = joint.groupBy("symbol", at.alias("bar")).agg(F.count("*").alias("_n"))
+        newest = Window.partitionBy("symbol").orderBy(F.desc("bar"))
+        # Trades of the later bars; a bar is whole in the tail, or cut at keep, or not there.
+        held = sizes.withColumns({"_newer": F.coalesce(F.sum("_n").over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_i": F.row_number().over(newest)})
+        held = held.filter((c("_i") <= bars) | (c("_newer") < keep)).withColumn("_left", F.when((c("_i") <= bars) | (c("_newer") + c("_n") <= keep), c("_n")).otherwise(keep - c("_newer")))
+        last = Window.partitionBy("symbol", "bar").orderBy(F.desc("ts"), F.desc("seq"))
+        tail = joint.withColumn("bar", at).join(held.select("symbol", "bar", "_left"), ["symbol", "bar"]).withColumn("_k", F.row_number().over(last)).filter(c("_k") <= c("_left"))
+        tail.select(*schema.names).write.mode("overwrite").parquet(f"{root}/tail/{batch}")
+        under_way = lambda df, name: df.groupBy("symbol").agg(F.max(at).alias(name))
+        now = under_way(joint, "_now")
         done = now.withColumn("_was", F.lit(None).cast("long")) if before is None else now.join(under_way(before, "_was"), "symbol", "left")
-        out = features(tail).join(done, "symbol").filter((c("bar") < c("_now")) & (c("_was").isNull() | (c("bar") >= c("_was"))))
+        out = features(joint).join(done, "symbol").filter((c("bar") < c("_now")) & (c("_was").isNull() | (c("bar") >= c("_was"))))
         out.drop("_now", "_was").write.mode("overwrite").parquet(f"{root}/out/{batch}")
         _drop(spark, f"{root}/tail/{batch - 2}")
 

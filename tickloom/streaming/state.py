@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tickloom.streaming.ordered import PIECE, ordered, pieces
+
 OUT = "symbol long, ts timestamp, seq long, imbalance double, impact double, spread_pct double, phase string, signal int"
 _ROW = "ms long, seq long, price double, qty double, buy boolean"
 
@@ -61,9 +64,10 @@ class Microstructure(StatefulProcessor):
         ranges = [t[0] for t in self.ranges.get()] if self.ranges.exists() else []
         phase, since, side = self.phase.get() if self.phase.exists() else ("calm", 0, 0)
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples(index=False):
-            ms = int(r.ts.timestamp() * 1000)
-            window.add((ms, int(r.seq), float(r.price), float(r.qty), r.side == "buy"))
+        t = ordered(rows, ["ts", "seq", "price", "qty", "side"], ("ts", "seq"))
+        t["ms"] = t["ts"].astype("datetime64[ms]").astype(np.int64)
+        for i, (ms, seq, price, qty, trade_side) in enumerate(pieces(t, ["ms", "seq", "price", "qty", "side"])):
+            window.add((ms, int(seq), float(price), float(qty), trade_side == "buy"))
             imbalance, impact = window.net / (window.volume + 1e-10), window.trades[-1][2] / window.trades[0][2] - 1
             width = window.width
             pct = 100.0 * sum(v < width for v in ranges) / len(ranges) if ranges else 0.0
@@ -76,7 +80,10 @@ class Microstructure(StatefulProcessor):
                     phase = "calm"
                 elif abs(imbalance) < self.imbalance / 2:
                     phase, signal = "calm", -side
-            out.append((key[0], r.ts, r.seq, imbalance, impact, pct, phase, signal))
+            out.append((key[0], t["ts"][i], seq, imbalance, impact, pct, phase, signal))
+            if len(out) == PIECE:
+                yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
+                out = []
         self.trades.put(list(window.trades))
         self.ranges.put([(v,) for v in ranges])
         self.phase.update((phase, since, side))
