@@ -161,6 +161,44 @@ def test_bpe_of_other_patterns(reference):
         bpe.Codec(data, "[a-z]+").encode(["a b"])
 
 
+def test_bpe_work_goes_with_different_pieces(reference):
+    """A piece is looked up once in a slice of texts, and a look-up does not go through what the caches hold."""
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def keys(self):
+            raise AssertionError("all that is held was read")
+
+        __iter__ = keys
+
+    c = bpe.Codec(open(PATH, "rb").read(), PATTERN)
+    for m in (c.words, c.decoded):
+        m.young, m.old = Counted(), Counted()
+    text = "some words, and wxqz vkjq " * 4_000
+    (ids,), (back,) = c.round_trip([text])
+    assert ids.tolist() == reference.encode_ordinary(text) and back == text.encode()
+    assert Counted.asked < 100
+
+
+def test_bpe_pieces_of_columns():
+    """Every kind of white space, in every place, beside even texts: the pieces are those of one text at a time."""
+    space = [c for c in map(chr, range(0x11_0000)) if re.match(r"\s", c)]
+    texts = [t for c in space for t in (f"a b{c}c d", f"a b {c}c d", f"a b{c} c d", f"{c}a b", f"a b{c}", c, f"{c} ", f" {c}")]
+    texts = [None, "", "a b c", *texts, "a  b c", "a\x1fb c", "a\u200bb c", "x" * 50, "é 漢 😀", "even text\nof lines", None]
+    want = []
+    for t in texts:
+        first, *rest = bpe.BREAK.split(t or "")
+        want.append([first, *[" " + p for p in rest]])
+    assert bpe.split_at_spaces(texts).to_pylist() == want
+    assert bpe.split_at_spaces([]).to_pylist() == []
+    assert bpe.split_at_spaces(["a \ud800 b"]).to_pylist() == [["a", " ?", " b"]]
+
+
 def test_bpe_query_digests(spark, sf, reference):
     got = {r["doc_id"]: r for r in queries.QUERIES["op5_bpe"](spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()

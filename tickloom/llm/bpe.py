@@ -35,6 +35,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm.common import sliced
@@ -95,14 +96,15 @@ class Memory:
         self.young.update(found)
         self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY * len(found)
 
-    def lacking(self, keys: set) -> set:
-        """The keys that neither holds; all others are in young afterwards."""
+    def lacking(self, keys: Iterable) -> list:
+        """Those of different keys that neither holds; all others are in young afterwards. Takes time by keys, not by what is held."""
         if self.held > self.limit:
             self.old, self.young, self.held = self.young, {}, 0
-        missing = keys - self.young.keys()
-        known = missing & self.old.keys()
-        self.put({k: self.old[k] for k in known})
-        return missing - known
+        young, old = self.young, self.old
+        missing = [k for k in keys if k not in young]
+        known = {k: v for k in missing if (v := old.get(k)) is not None}
+        self.put(known)
+        return [k for k in missing if k not in known]
 
 
 class Codec:
@@ -261,26 +263,30 @@ class Codec:
                     known[t] = own
         merged = self._merge(list(todo.values()))
         merged = {t: merged[raw] for t, raw in todo.items()}
-        known |= merged
+        known.update(merged)
         # A word with another mark behind it is then known.
-        self.words.put(merged | {p: known[own[0]] if len(own) == 1 else b"".join([known[t] for t in own]) for p, own in cut.items()})
+        self.words.put(merged)
+        self.words.put({p: known[own[0]] if len(own) == 1 else b"".join([known[t] for t in own]) for p, own in cut.items() if p not in merged})
 
-    def _cut(self, text: str) -> list[str]:
+    def _cut(self, texts: list[str | None]) -> pa.ListArray:
+        """Pieces of each text that concatenate to it."""
         if self.spaced:
-            return split_at_spaces(text)
-        pieces = [m.group() for m in self.pattern.finditer(text)]
-        if sum(map(len, pieces)) != len(text):
+            return split_at_spaces(texts)
+        pieces = [[m.group() for m in self.pattern.finditer(t or "")] for t in texts]
+        if any(sum(map(len, own)) != len(t or "") for own, t in zip(pieces, texts, strict=True)):
             raise ValueError("the pattern leaves out parts of a text")
-        return pieces
-
-    def _pieces(self, texts: list[str | None]) -> list[list[bytes]]:
-        """Packed ids of the pieces of each text."""
-        pieces = [self._cut(t) if t else [] for t in texts]
-        lacking = self.words.lacking(set().union(*pieces))
+        return strings(pieces, pa.list_(pa.large_string()))
+
+    def _pieces(self, texts: list[str | None]) -> tuple[list[bytes], pa.Array, pa.Array]:
+        """Packed ids of the different pieces, the number of each piece in order, and where each text's pieces begin."""
+        cut = self._cut(texts)
+        pieces = cut.values.dictionary_encode()
+        different = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        lacking = self.words.lacking(different)
         if lacking:
             self._learn(lacking)
         words = self.words.young
-        return [[words[p] for p in own] for own in pieces]
+        return [words[p] for p in different], pieces.indices, cut.offsets
 
     def _segmented(self, texts: list[str | None], work) -> list[tuple[bytes, ...]]:
         """work(texts) -> tuples of bytes for each; a long text is handled in segments, whose results are joined."""
@@ -294,16 +300,20 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for a null or empty one."""
-        got = self._segmented(texts, lambda own: [(b"".join(p),) for p in self._pieces(own)])
+        def work(own: list[str | None]) -> list[tuple[bytes, ...]]:
+            packed, numbers, starts = self._pieces(own)
+            return list(zip(joined(packed, numbers, starts), strict=True))
+
+        got = self._segmented(texts, work)
         return [np.frombuffer(x, np.int32) for (x,) in got]
 
     def _round_trip(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        pieces = self._pieces(texts)
-        lacking = list(self.decoded.lacking(set().union(*pieces)))
+        packed, numbers, starts = self._pieces(texts)
+        lacking = self.decoded.lacking(dict.fromkeys(packed))
         if lacking:
-            self.decoded.put(dict(zip(lacking, self.decode([np.frombuffer(x, np.int32) for x in lacking]), strict=True)))
+            self.decoded.put(dict(zip(lacking, self._decoded(lacking), strict=True)))
         decoded = self.decoded.young
-        return [(b"".join(own), b"".join([decoded[x] for x in own])) for own in pieces]
+        return list(zip(joined(packed, numbers, starts), joined([decoded[x] for x in packed], numbers, starts), strict=True))
 
     def round_trip(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bytes]]:
         """Ids of each text and what they decode to; like pieces of ids are decoded once."""
@@ -311,36 +321,47 @@ class Codec:
         return [np.frombuffer(x, np.int32) for x, _ in got], [d for _, d in got]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """Bytes of each list of ids. A query takes so many ids; a longer list is several rows whose bytes are joined."""
-        out = [b""] * len(ids)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        """Bytes of each list of ids."""
+        return self._decoded([np.asarray(x, np.int32).tobytes() for x in ids])
+
+    def _decoded(self, packed: list[bytes]) -> list[bytes]:
+        """Bytes of packed ids. A query takes so many ids; a longer list is several rows whose bytes are joined."""
+        out = [b""] * len(packed)
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         ends = np.cumsum(sizes)
         lo = 0
-        while lo < len(ids):
+        while lo < len(packed):
             before = int(ends[lo - 1]) if lo else 0
             hi = max(lo + 1, int(np.searchsorted(ends, before + DECODED, "right")))
             if sizes[lo] > DECODED:
-                out[lo] = b"".join([self._decode([ids[lo][k : k + DECODED]])[0] for k in range(0, int(sizes[lo]), DECODED)])
+                own = packed[lo]
+                out[lo] = b"".join([self._decode([own[k : k + 4 * DECODED]])[0] for k in range(0, len(own), 4 * DECODED)])
             else:
-                out[lo:hi] = self._decode(ids[lo:hi])
+                out[lo:hi] = self._decode(packed[lo:hi])
             lo = hi
         return out
 
-    def _decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        out = [b""] * len(ids)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    def _decode(self, packed: list[bytes]) -> list[bytes]:
+        out = [b""] * len(packed)
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         ends = np.cumsum(sizes)
         rows = {
-            "text": np.repeat(np.arange(len(ids), dtype=np.int32), sizes),
+            "text": np.repeat(np.arange(len(packed), dtype=np.int32), sizes),
             "pos": (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32),
-            "id": np.concatenate(ids).astype(np.int32),
+            "id": np.frombuffer(b"".join(packed), np.int32),
         }
         got = self._run(DECODE, "id_rows", pa.table(rows))
-        for k, s in zip(got.column("text").to_pylist(), got.column("bytes").to_pylist(), strict=True):
+        for k, s in zip(got.column("text").to_numpy().tolist(), got.column("bytes").to_numpy().tolist(), strict=True):
             out[k] = s.encode("latin-1")
         return out
 
 
+def joined(values: list[bytes], numbers: pa.Array, starts: pa.Array) -> list[bytes]:
+    """For each text the values with its numbers, one after the other."""
+    each = pa.array(values, pa.large_binary()).take(numbers)
+    return pc.binary_join(pa.ListArray.from_arrays(starts, each), pa.scalar(b"", each.type)).to_pylist()
+
+
 def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
     sizes = np.cumsum([0] + [len(x) for x in arrays])
     return pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
@@ -350,15 +371,32 @@ def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space between two characters that are no white space always begins a pre-token.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
-#: White space other than a space or a line feed.
-OTHER = re.compile(r"[^\S \n]")
-
-
-def split_at_spaces(text: str) -> list[str]:
-    """Pieces that concatenate to the text, cut where every pre-token of the pattern ends."""
-    even = "  " not in text and " \n" not in text and "\n " not in text and not text[0].isspace() and not text[-1].isspace()
-    parts = text.split(" ") if even and not OTHER.search(text) else BREAK.split(text)
-    return [parts[0], *[" " + p for p in parts[1:]]]
+#: A text with white space at an end, beside a space, or other than a space or a line feed, in RE2's words: not every space of it is such a one.
+UNEVEN = r"\A[ \n]|[ \n]\z|  | \n|\n |[\t\v\f\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: White space, so no text that is even holds it.
+MARK = "\x1f"
+
+
+def strings(values: list, kind: pa.DataType) -> pa.Array:
+    """An array of texts or of lists of texts; halves of surrogate pairs become question marks."""
+    try:
+        return pa.array(values, kind)
+    except UnicodeEncodeError:
+        plain = lambda t: t and t.encode("utf-8", "replace").decode()
+        return pa.array([[plain(t) for t in v] if isinstance(v, list) else plain(v) for v in values], kind)
+
+
+def split_at_spaces(texts: list[str | None]) -> pa.ListArray:
+    """Pieces that concatenate to each text, cut where every pre-token of the pattern ends; a null text is an empty one."""
+    column = pc.fill_null(strings(texts, pa.large_string()), "")
+    uneven = pc.match_substring_regex(column, UNEVEN)
+    cut = pc.split_pattern(pc.replace_substring(column.filter(pc.invert(uneven)), " ", MARK + " "), MARK)
+    if len(cut) == len(texts):
+        return cut
+    rest = [BREAK.split(t) for t in column.filter(uneven).to_pylist()]
+    rest = pa.array([[own[0], *[" " + p for p in own[1:]]] for own in rest], pa.list_(pa.large_string()))
+    # The two parts in the order of the texts.
+    return pa.concat_arrays([cut, rest]).take(np.argsort(np.argsort(uneven.to_numpy(zero_copy_only=False), kind="stable")))
 
 
 def segments(text: str) -> Iterator[str]:

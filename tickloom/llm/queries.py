@@ -11,6 +11,7 @@ from hashlib import sha256
 from zlib import crc32
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,10 +75,12 @@ def digest_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.codec(data.value, pattern)
-        digits = [b"%d" % i for i in range(max(codec.ranks.values()) + 1)]
+        digits = pa.array([b"%d" % i for i in range(max(codec.ranks.values()) + 1)], pa.large_binary())
         for batch in sliced(batches, "text", 4 << 20):
             ids, decoded = codec.round_trip(batch.column("text").to_pylist())
-            shown = [sha256(b" ".join([digits[i] for i in x.tolist()])).hexdigest() for x in ids]
+            rows = bpe.lists_of(ids)
+            shown = pc.binary_join(pa.ListArray.from_arrays(rows.offsets, digits.take(rows.values)), pa.scalar(b" ", digits.type))
+            shown = [sha256(x).hexdigest() for x in shown.to_pylist()]
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(shown), pa.array([sha256(x).hexdigest() for x in decoded])],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
