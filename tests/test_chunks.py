@@ -164,3 +164,15 @@ def test_time_frames_by_bins(spark, frame):
     tape = frame.withColumn("price", F.col("qty"))
     plan = ind.aggressive_flow(tape, 3_600_000)._jdf.queryExecution().optimizedPlan().toString()
     assert "3599999999" not in plan and "window_volume" in plan
+
+
+@pytest.mark.parametrize("span", [1, 100, 10**9])
+def test_asof_in_the_order_of_ties(spark, span):
+    """Of rows of one time the search backward finds the last by order, forward the first, from chunk to chunk too."""
+    left = spark.createDataFrame([(0, at) for at in (50, 100, 150, 400)], "symbol long, at long")
+    right = spark.createDataFrame([(0, at, seq) for seq in random.Random(3).sample(range(60), 60) for at in (100, 300)], "symbol long, at long, seq long").repartition(5)
+    right = right.withColumn("x", F.col("at") + F.col("seq"))
+    find = lambda *how: {r["at"]: r["x"] for r in jn.asof(left, right, "at", ["symbol"], ["x"], *how, span=span, order=("seq",)).collect()}
+    assert find() == {50: None, 100: 159, 150: 159, 400: 359}
+    assert find(True) == {50: 100, 100: 100, 150: 300, 400: None}
+    assert find(True, True) == {50: 100, 100: 100, 150: 300, 400: 359}

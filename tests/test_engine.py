@@ -290,3 +290,14 @@ def test_signal_that_never_changes(spark):
     got = {r["symbol"]: r for r in evaluate.signal_metrics(rows, ["symbol"], "bar").collect()}
     assert math.isnan(got[1]["signal_autocorr"]) and math.isfinite(got[1]["ic"]) and got[1]["short_share"] == 1.0
     assert got[2]["signal_autocorr"] == 0.0
+
+
+def test_trade_exits_between_trades_and_after_the_end(spark):
+    from tickloom.operators import compose as cm
+
+    t = tape(spark, [(0, 100, 1, "buy", 0, 0), (1000, 110, 1, "buy", 1, 1), (1000, 111, 1, "buy", 2, 2), (3000, 120, 1, "buy", 3, 3), (3000, 121, 1, "buy", 4, 4)]).repartition(3)
+    entries = spark.createDataFrame([(1, T0.timestamp() + at, at, side) for at, side in ((0.0, 1), (0.5, -1), (2.0, 1), (9.0, 1))] + [(2, T0.timestamp(), 7.0, 1)], "symbol long, at double, id double, side int")
+    got = cm.trade_exits(entries, t, 1.0).orderBy("id", "entry_price").collect()
+    # an exit takes the first of the tied trades; after the end the fills are those of the last time
+    assert [(r["id"], r["entry_price"], r["price"]) for r in got] == [(0.0, 100, 110), (0.5, 110, 120), (0.5, 111, 120), (2.0, 120, 120), (2.0, 121, 120), (9.0, 120, 120), (9.0, 121, 120)]
+    assert got[1]["ret"] == pytest.approx(-(120 / 110 - 1)) and got[1]["at"] == T0.timestamp() + 0.5

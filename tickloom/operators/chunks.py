@@ -73,18 +73,18 @@ def run_ids(df: DataFrame, name: str, goes_on: Callable[[Field, Field], Column],
     return rows.withColumn(name, F.col("_before") + F.sum(F.coalesce("_new", "_opens")).over(s.u)).select(*df.columns, name)
 
 
-def last_known(rows: DataFrame, value: str, found: str, by: list[str], on: str, sort: list[Column], chunk: Column, forward: bool = False) -> DataFrame:
+def last_known(rows: DataFrame, value: str, found: str, by: list[str], on: str, sort: list[Column], chunk: Column, forward: bool = False, ties: list[Column] | None = None) -> DataFrame:
     """Add found: the value (NULL where a row has none) of the nearest row at or before, or after, in the sorted series.
 
-    sort orders rows of a chunk; ``on`` and value give the carry, so of rows that share
-    ``on`` any may be carried.
+    sort orders rows of a chunk; ``on``, ties and value give the carry, so of rows that share
+    ``on`` and ties any may be carried.
     """
     rows = rows.withColumn("_chunk", chunk)
     # Forward is backward over the reversed order: a frame that ends at its row is kept as it
     # runs, one that starts there is gone through anew for every row.
     turned = (lambda x: x.desc()) if forward else (lambda x: x.asc())
     edge = F.min_by if forward else F.max_by
-    told = rows.groupBy(*by, "_chunk").agg(edge(value, F.when(F.col(value).isNotNull(), F.col(on))).alias("_held"))
+    told = rows.groupBy(*by, "_chunk").agg(edge(value, F.when(F.col(value).isNotNull() & F.col(on).isNotNull(), F.struct(on, *(ties or [])))).alias("_held"))
     way = Window.partitionBy(*by).orderBy(turned(F.col("_chunk"))).rowsBetween(Window.unboundedPreceding, -1)
     told = told.select(*by, "_chunk", F.last("_held", ignorenulls=True).over(way).alias("_carried"))
     w = Window.partitionBy(*by, "_chunk").orderBy(*map(turned, sort)).rowsBetween(Window.unboundedPreceding, 0)

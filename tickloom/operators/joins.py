@@ -14,24 +14,27 @@ from pyspark.sql import functions as F
 from tickloom.operators import chunks
 
 
-def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], columns: list[str], forward: bool = False, fallback_last: bool = False, tolerance: float | None = None, span: float = chunks.SECONDS) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], columns: list[str], forward: bool = False, fallback_last: bool = False, tolerance: float | None = None, span: float = chunks.SECONDS, order: tuple[str, ...] = ()) -> DataFrame:
     """left with the columns of right's latest row at or before ``on`` (forward: the first at or after).
 
     All columns come from one row of right, nulls included. fallback_last: a forward
     search that finds nothing takes the last row of right. tolerance: the largest
     distance in the units of a numeric ``on``, or in seconds. span: the length of a chunk, in
-    the same units.
+    the same units. order: columns of right that order its rows of one ``on``; without them
+    any of those may be found.
     """
     timed = dict(left.dtypes)[on].startswith("timestamp")
     num = lambda x: F.unix_micros(x) / 1e6 if timed else x
     names = left.columns
-    both = left.select(*names, F.lit(None).cast(_struct(right, on, columns)).alias("_r"), F.lit(1 if not forward else 0).alias("_side")).unionByName(
-        right.select(*by, on, F.struct(F.col(on).alias("_on"), *columns).alias("_r"), F.lit(0 if not forward else 1).alias("_side")), allowMissingColumns=True
+    row = F.struct(F.col(on).alias("_on"), *[F.col(o).alias(f"_by_{o}") for o in order], *columns)
+    both = left.select(*names, F.lit(None).cast(right.select(row.alias("_r")).schema["_r"].dataType).alias("_r"), F.lit(1 if not forward else 0).alias("_side")).unionByName(
+        right.select(*by, on, row.alias("_r"), F.lit(0 if not forward else 1).alias("_side")), allowMissingColumns=True
     )
-    out = chunks.last_known(both, "_r", "_f", by, on, [F.col(on), F.col("_side")], F.floor(num(F.col(on)) / span).cast("long"), forward)
+    ties = [F.col(f"_r._by_{o}") for o in order]
+    out = chunks.last_known(both, "_r", "_f", by, on, [F.col(on), F.col("_side"), *ties], F.floor(num(F.col(on)) / span).cast("long"), forward, ties)
     out = out.filter(F.col("_side") == (0 if forward else 1))
     if forward and fallback_last:
-        ends = right.groupBy(*by).agg(F.max_by(F.struct(F.col(on).alias("_on"), *columns), on).alias("_end"))
+        ends = right.groupBy(*by).agg(F.max_by(row, F.when(F.col(on).isNotNull(), F.struct(on, *order))).alias("_end"))
         out = out.alias("l").join(ends.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by], "left")
         out = out.select("l.*", F.col("r._end")).withColumn("_f", F.coalesce("_f", "_end"))
     if tolerance is not None:
@@ -39,10 +42,6 @@ def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], columns: lis
     return out.select(*names, *[F.col(f"_f.{c}").alias(c) for c in columns])
 
 
-def _struct(right: DataFrame, on: str, columns: list[str]):
-    return right.select(F.struct(F.col(on).alias("_on"), *columns).alias("_r")).schema["_r"].dataType
-
-
 def interval(events: DataFrame, rows: DataFrame, by: list[str], at: str, start: Column, end: Column, bucket: float, closed: str = "left") -> DataFrame:
     """Pairs of an event and the rows of its key with ``at`` between start and end.
 
